@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from themeloom.catalog.base import MAX_DF, MAX_FEATURES, MIN_DF, documents
 from themeloom.functions.text import remove_stopwords, tokenize_alpha
 from themeloom.operators import features, topics
+from themeloom.session import stage
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -36,10 +37,11 @@ def stand_in(spark: SparkSession, sf: str) -> StandIn:
     docs = documents(spark, sf)
     vocab = fit_vocabulary(docs)
     cluster = F.regexp_extract("category", "[0-9]+", 0).cast("int").alias("cluster")
-    vectors = features.tfidf_vectors(tokenized(docs).select("doc_id", "lang", "category", cluster, "tokens"), vocab)
+    ready = tokenized(docs).select("doc_id", "lang", "category", cluster, "tokens")
+    vectors = stage(features.tfidf_vectors(ready, vocab), "tfidf")
     cells = features.tfidf_rows(vectors)
     langs = sorted(r.lang for r in docs.select("lang").distinct().limit(1000).collect())
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = vectors.groupBy("lang").agg(F.count("*").alias("n"))
     by_lang = cells.groupBy("lang", "term_id").agg(F.sum("tfidf").alias("s")).join(sizes, "lang")
     number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
     topic_terms = by_lang.select(
@@ -54,7 +56,7 @@ def stand_in(spark: SparkSession, sf: str) -> StandIn:
     weighted = cells.join(h, "term_id").groupBy("doc_id").agg(F.array(*mass).alias("_w"))
     zero = F.array(*[F.lit(0.0)] * len(langs))
     points = (
-        docs.select("doc_id", "lang", "category", cluster)
+        vectors.select("doc_id", "lang", "category", "cluster")
         .join(weighted, "doc_id", "left")
         .withColumn("w", F.coalesce("_w", zero))
         .drop("_w")

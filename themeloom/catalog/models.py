@@ -408,12 +408,14 @@ worst AS (
 SELECT round(avg(r), 6) AS davies_bouldin_score FROM worst""",
 )
 def _db(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.davies_bouldin(points(spark, sf)).select(F.round("davies_bouldin_score", 6).alias("davies_bouldin_score"))
+    found = quality.davies_bouldin(quality.center_distances(points(spark, sf)))
+    return found.select(F.round("davies_bouldin_score", 6).alias("davies_bouldin_score"))
 
 
 @query("cluster_density", "WITH " + POINTS_SQL + " SELECT round(avg(spread), 6) AS cluster_density FROM spreads")
 def _density(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.cluster_density(points(spark, sf)).select(F.round("cluster_density", 6).alias("cluster_density"))
+    found = quality.cluster_density(quality.center_distances(points(spark, sf)))
+    return found.select(F.round("cluster_density", 6).alias("cluster_density"))
 
 
 @query("cluster_volumes", "SELECT label AS cluster, count(*) AS volume FROM embeddings GROUP BY label")

@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from themeloom.operators.ranking import top_rows
+
 MAX_CENTERS = 4096
 
 
@@ -35,8 +37,8 @@ def _square_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def sample_rows(points: DataFrame, k: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """``k`` distinct rows in a seeded hash order; a top-k plan, the same for any partitioning."""
-    return points.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    """``k`` distinct rows in a seeded hash order: the same rows for any partitioning."""
+    return top_rows(points, [F.xxhash64(F.col(key), F.lit(seed)), key], k)
 
 
 def _vectors_of(rows: DataFrame, value: str, limit: int = MAX_CENTERS) -> np.ndarray:
@@ -93,13 +95,15 @@ def kmeans_lloyd(
     """
     centers = np.array(start, dtype=np.float64)
     previous, used = None, centers
+    rows = points.select(value).persist()
     for _ in range(max_iter):
         used, moved = centers, centers.copy()
-        for row in cluster_means(assign_nearest(points.select(value), centers, value), value).collect():
+        for row in cluster_means(assign_nearest(rows, centers, value), value).collect():
             moved[row.cluster] = row.mean
         if previous is not None and np.linalg.norm(moved - previous) < tol:
             break
         centers = previous = moved
+    rows.unpersist()
     return used, centers
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from themeloom.functions.text import term_counts
+from themeloom.operators.ranking import top_rows
 
 MAX_VOCABULARY = 500_000
 
@@ -63,12 +65,8 @@ def vocabulary(
     counted = (
         document_terms(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     )
-    kept = (
-        counted.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
-        .orderBy(F.desc("tf"), "term")
-        .limit(max_features)
-    )
-    return kept.select(
+    kept = counted.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
+    return top_rows(kept, [F.desc("tf"), "term"], max_features).select(
         (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"),
         "term",
         "df",
@@ -175,11 +173,10 @@ def hashed_term_model(dim: int = 64, seed: int = 42) -> Callable:
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float32)
             for i, text in enumerate(texts):
-                terms = word.findall((text or "").lower())
-                for term in terms:
-                    out[i] += vector(term)
-                if terms:
-                    out[i] /= len(terms)
+                counts = Counter(word.findall((text or "").lower()))
+                if counts:
+                    weights = np.fromiter(counts.values(), np.float32)
+                    out[i] = weights @ np.stack([vector(t) for t in counts]) / weights.sum()
             return out
 
         return predict

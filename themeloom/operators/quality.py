@@ -1,8 +1,7 @@
 """Quality of a given clustering ``<..., w array<double>, cluster int>``.
 
-Cluster-level tables are small, but how small is up to the caller's labels. They are therefore joined
-without a hint (Spark broadcasts by size and splits skewed partitions otherwise); only the
-all-clusters-against-all comparison asks for a bound.
+Rows are only ever reduced by cluster with map-side combine, so a cluster that holds most rows is no hot
+task. Cluster-level tables are broadcast after their size is checked.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from themeloom.operators.clusters import MAX_CENTERS, cluster_means
+from themeloom.operators.ranking import bounded
 
 
 def _distance(a: str | Column, b: str | Column) -> Column:
@@ -121,31 +121,29 @@ def calinski_harabasz(labelled: DataFrame, value: str = "w") -> DataFrame:
 
 
 def center_distances(labelled: DataFrame, value: str = "w") -> DataFrame:
-    """``<cluster, n, mean, spread>``: spread is the mean distance of a cluster's rows to their mean."""
+    """``<cluster, n, mean, spread>``: spread is the mean distance of a cluster's rows to their mean.
+
+    Up to ``MAX_CENTERS`` means are counted first and then broadcast, so the rows do not move. More
+    clusters than that are joined by a shuffle.
+    """
     means = cluster_means(labelled, value)
+    rows = means.limit(MAX_CENTERS + 1).collect()
+    if len(rows) <= MAX_CENTERS:
+        means = F.broadcast(labelled.sparkSession.createDataFrame(rows, means.schema))
     near = labelled.select("cluster", F.col(value).alias("_x")).join(means, "cluster")
-    return (
-        near.select("cluster", _distance("_x", "mean").alias("_d"))
-        .groupBy("cluster")
-        .agg(F.avg("_d").alias("spread"))
-        .join(means, "cluster")
-        .select("cluster", "n", "mean", "spread")
+    return near.groupBy("cluster").agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.avg(_distance("_x", "mean")).alias("spread")
     )
 
 
-def davies_bouldin(labelled: DataFrame, value: str = "w") -> DataFrame:
+def davies_bouldin(centers: DataFrame) -> DataFrame:
     """One row: mean over clusters of the worst (spread + spread) / distance between means.
 
-    Each cluster meets the others through one array of at most ``MAX_CENTERS`` clusters, so there is no
-    join of clusters with clusters.
+    ``centers`` is :func:`center_distances`. Each cluster meets the others through one array of at most
+    ``MAX_CENTERS`` clusters, so there is no join of clusters with clusters.
     """
-    clusters = center_distances(labelled, value)
-    everyone = clusters.agg(
-        F.when(
-            F.count("*") > MAX_CENTERS, F.raise_error(F.lit(f"more than {MAX_CENTERS} clusters")).cast("boolean")
-        ).alias("_bound"),
-        F.collect_list(F.struct("cluster", "spread", "mean")).alias("all"),
-    ).select(F.when(F.col("_bound").isNull(), F.col("all"))).scalar()
+    clusters = bounded(centers.select("cluster", "spread", "mean"), MAX_CENTERS, "clusters")
+    everyone = clusters.agg(F.collect_list(F.struct("cluster", "spread", "mean"))).scalar()
     own = F.col("cluster")
     worst = F.array_max(
         F.transform(
@@ -157,9 +155,9 @@ def davies_bouldin(labelled: DataFrame, value: str = "w") -> DataFrame:
     return rated.agg(F.avg("r").alias("davies_bouldin_score"))
 
 
-def cluster_density(labelled: DataFrame, value: str = "w") -> DataFrame:
+def cluster_density(centers: DataFrame) -> DataFrame:
     """One row: mean over non-empty clusters of the mean distance to the cluster mean."""
-    return center_distances(labelled, value).agg(F.avg("spread").alias("cluster_density"))
+    return centers.agg(F.avg("spread").alias("cluster_density"))
 
 
 def cluster_volumes(labelled: DataFrame) -> DataFrame:
@@ -190,12 +188,12 @@ def largest_cluster(labelled: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def quality_record(labelled: DataFrame, k: int, value: str = "w") -> DataFrame:
-    """One row with the five quality fields that accompany a volume."""
-    spread = center_distances(labelled, value)
+    """One row with the five quality fields that accompany a volume, for ``k <= MAX_CENTERS`` clusters."""
+    centers = bounded(center_distances(labelled, value), MAX_CENTERS, "clusters")
     return labelled.sparkSession.range(1).select(
         F.lit(silhouette_squared(labelled, value)).alias("silhouette_score"),
         calinski_harabasz(labelled, value).scalar().alias("calinski_harabasz_score"),
-        davies_bouldin(labelled, value).scalar().alias("davies_bouldin_score"),
+        davies_bouldin(centers).scalar().alias("davies_bouldin_score"),
         cluster_sizes(labelled, k).scalar().alias("cluster_sizes"),
-        spread.agg(F.avg("spread")).scalar().alias("cluster_density"),
+        cluster_density(centers).scalar().alias("cluster_density"),
     )

@@ -28,6 +28,28 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
+def top_rows(df: DataFrame, order: Sequence[Column | str], n: int, groups: int = 64) -> DataFrame:
+    """The first ``n`` rows under a full order, in two levels.
+
+    A plain ``orderBy().limit()`` sends ``n`` rows of every partition to one task. Here groups of partitions
+    are cut to ``n`` rows first, so the last task sees at most ``groups * n`` rows.
+    """
+    grouped = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    first = top_n_per_group(grouped, ["_group"], order, n, "_place")
+    return first.select(*df.columns).orderBy(*order).limit(n)
+
+
+def bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """A copy of a small table held by the plan itself; an error when it has more than ``limit`` rows.
+
+    Joins and subqueries against the copy need no shuffle, and its size is known before they are planned.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} {what}")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def dedup_keep_max(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
     """One row per key with its highest score."""
     return df.groupBy(*keys).agg(F.max(score).alias(score))

@@ -94,7 +94,7 @@ def category_volume_records(docs: DataFrame, max_categories: int = 100_000) -> D
     checked = F.when(F.count("*") <= max_categories, listed).otherwise(
         F.raise_error(F.lit(f"more than {max_categories} categories"))
     )
-    everything = sizes.agg(checked.alias("s")).scalar()
+    everything = sizes.limit(max_categories + 1).agg(checked.alias("s")).scalar()
     total = sizes.agg(F.sum("volume").alias("volume")).select(F.lit("global").alias("grp"), "volume")
     zero = F.lit(0.0)
     return total.unionByName(sizes.select(F.col("category").alias("grp"), "volume")).select(

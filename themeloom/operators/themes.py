@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from themeloom.functions.text import clean_theme_word
 from themeloom.operators.quality import cluster_volumes, largest_cluster
-from themeloom.operators.ranking import by_score, dedup_keep_max, top_n_per_group
+from themeloom.operators.ranking import bounded, by_score, dedup_keep_max, top_n_per_group
 
 GLOBAL = "global"
+MAX_WORDS = 50_000  # topics times words per topic
 
 
 def attach_labels(points: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -67,8 +68,9 @@ def _tfidf_themes(rows: DataFrame, sizes: DataFrame, words: DataFrame, n_themes:
     word that a group never uses is listed with score 0; TF-IDF cells of other words are dropped before
     the aggregate.
     """
-    wanted = words.select("term_id").distinct()
-    mass = rows.join(wanted, "term_id", "left_semi").groupBy(*keys, "term_id").agg(F.sum("tfidf").alias("mass"))
+    words = bounded(words.select("term_id", "word", "weight"), MAX_WORDS, "topic words")
+    ids = sorted({r.term_id for r in words.select("term_id").collect()})
+    mass = rows.where(F.col("term_id").isin(ids)).groupBy(*keys, "term_id").agg(F.sum("tfidf").alias("mass"))
     listed = words.agg(F.collect_list(F.struct("term_id", "word", "weight"))).scalar()
     cells = sizes.select("*", F.inline(listed)).join(mass, [*keys, "term_id"], "left")
     clean = cells.select(

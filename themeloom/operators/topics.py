@@ -24,6 +24,7 @@ from themeloom.operators.ranking import by_score, top_n_per_group
 BLOCK = 256  # terms per row of partial sums
 SLICE = 400_000  # non-zero cells handled at once inside a task
 MAX_TOPICS = 512
+MAX_CELLS = 20_000_000  # the topic-term matrix: on the driver and once in every running task
 TINY = 1e-12
 
 
@@ -249,12 +250,10 @@ def fit_topics(
     ``vectors`` is read once per round: pass a staged table (``session.stage``). Stops after ``max_iter``
     rounds or when the projected gradient of the topics has fallen to ``tol`` of its first value.
     """
-    if not 0 < n_topics <= MAX_TOPICS or n_terms > MAX_VOCABULARY:
-        raise ValueError(f"at most {MAX_TOPICS} topics and {MAX_VOCABULARY} terms")
+    if not 0 < n_topics <= MAX_TOPICS or n_terms > MAX_VOCABULARY or n_topics * n_terms > MAX_CELLS:
+        raise ValueError(f"at most {MAX_TOPICS} topics, {MAX_VOCABULARY} terms and {MAX_CELLS} topic-term weights")
     spark = vectors.sparkSession
-    # Partial sums cost one topic-term matrix per task: a few tasks per core, each with many files.
-    x = vectors.select("indices", "values").coalesce(3 * spark.sparkContext.defaultParallelism)
-    x = x.persist()
+    x = vectors.select("indices", "values").persist()
     total, square, n_rows = x.select(
         F.expr("aggregate(values, 0D, (a, v) -> a + v)").alias("s"),
         F.expr("aggregate(values, 0D, (a, v) -> a + v * v)").alias("q"),

@@ -21,6 +21,7 @@ from themeloom.functions.text import (
     tokenize_words,
 )
 from themeloom.operators import clusters, features, quality, responses, sections, stats, themes, topics
+from themeloom.operators.ranking import bounded
 from themeloom.session import stage
 from themeloom.sources.checks import prepare_documents, require_columns, require_nonempty
 from themeloom.sources.theme_files import (
@@ -67,7 +68,8 @@ class Topics:
 
     def words(self, n_words: int) -> DataFrame:
         spark = self.rows.sparkSession
-        return topics.topic_top_words(self.model.topic_terms(spark), self.vocab.table(spark), n_words)
+        ranked = topics.topic_top_words(self.model.topic_terms(spark), self.vocab.table(spark), n_words)
+        return bounded(ranked, themes.MAX_WORDS, "topic words")
 
 
 def fit(

@@ -73,7 +73,7 @@ def json_object(lines: DataFrame) -> DataFrame:
     checked = F.when(F.count("*") <= MAX_GROUPS, whole).otherwise(
         F.raise_error(F.lit(f"more than {MAX_GROUPS} groups"))
     )
-    return lines.agg(checked.alias("value"))
+    return lines.limit(MAX_GROUPS + 1).agg(checked.alias("value"))
 
 
 def themes_export_json(themes: DataFrame, path: str, digits: int | None = None) -> None:
