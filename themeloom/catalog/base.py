@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.functions.stopwords import ENGLISH
-from themeloom.functions.text import SPACES
 from themeloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,12 +42,14 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 # --- SQL fragments ----------------------------------------------------------------------------------
 
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
-WS_SQL = f"[{SPACES}]"
+# The white-space characters one by one, for a regex engine without the Unicode property.
+SPACES_SQL = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_SQL = f"[{SPACES_SQL}]"
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
 
 def split_words_sql(text: str) -> str:
-    return f"regexp_extract_all({text}, '[^{SPACES}]+')"
+    return f"regexp_extract_all({text}, '[^{SPACES_SQL}]+')"
 
 
 # Alphabetic tokens of the documents without stop words.

@@ -154,6 +154,13 @@ def _fit(spark: SparkSession, sf: str, n_topics: int, max_iter: int, seed: int =
     return topics.fit_topics(vectors, len(vocab), n_topics, seed, max_iter), vocab, vectors
 
 
+def _long(weighted: DataFrame, key: str) -> DataFrame:
+    """One row per topic. The array is rebuilt inside the explode, because Spark adds a filter on an exploded
+    column and would compute the weights once for the filter and once for the rows."""
+    same = F.transform("w", lambda v: v + 0.0)
+    return weighted.select(key, F.posexplode(same).alias("topic", "weight"))
+
+
 @query("nmf_topics")
 def _nmf(spark: SparkSession, sf: str) -> DataFrame:
     model, vocab, _ = _fit(spark, sf, 20, 10)
@@ -163,7 +170,7 @@ def _nmf(spark: SparkSession, sf: str) -> DataFrame:
 @query("nmf_transform")
 def _nmf_transform(spark: SparkSession, sf: str) -> DataFrame:
     model, _, vectors = _fit(spark, sf, 10, 5)
-    return model.transform(vectors).select("doc_id", F.posexplode("w").alias("topic", "weight"))
+    return _long(model.transform(vectors), "doc_id")
 
 
 @query("nmf_embeddings")
@@ -171,7 +178,7 @@ def _nmf_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", features.abs_embedding(F.col("embedding")).alias("embedding"))
     rows = stage(topics.dense_rows(spread(vectors), "embedding").select("vec_id", "indices", "values"), "dense")
     model = topics.fit_topics(rows, 64, 20, 42, 20)
-    return model.transform(rows).select("vec_id", F.posexplode("w").alias("topic", "weight"))
+    return _long(model.transform(rows), "vec_id")
 
 
 @query("topic_stability")

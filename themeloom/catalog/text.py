@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from themeloom.catalog.base import SPACES, STOP_SQL, WORDS_SQL, WS_SQL, documents, query, split_words_sql, table
+from themeloom.catalog.base import SPACES_SQL, STOP_SQL, WORDS_SQL, WS_SQL, documents, query, split_words_sql, table
 from themeloom.catalog.base import clean_word_sql
 from themeloom.functions import text as tx
 from themeloom.operators import sections
@@ -135,7 +135,7 @@ verses AS (
     "normalize_text",
     rf"""
     SELECT doc_id, array_to_string(list_filter(
-      regexp_extract_all(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{SPACES}]', '', 'g'), '[^{SPACES}]+'),
+      regexp_extract_all(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{SPACES_SQL}]', '', 'g'), '[^{SPACES_SQL}]+'),
       lambda t: t NOT IN ({STOP_SQL})), ' ') AS content
     FROM documents""",
 )

@@ -1,6 +1,7 @@
 """Text columns: every function takes and returns Column expressions, so all of it runs in the JVM.
 
-Character classes are written out (``[\\p{L}\\p{N}_]``), because ``\\w`` and ``\\s`` are ASCII-only in Java.
+Character classes are Unicode ones, because ``\\w`` and ``\\s`` are ASCII-only in Java. White space is named
+by its property: a negated list of ranges is an order of magnitude slower.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, functions as F
 
 from themeloom.functions.stopwords import ENGLISH
 
-SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = r"\p{IsWhite_Space}\x{1c}-\x{1f}"
 WORD = r"\p{L}\p{N}_"
 
 # Markers around the body of a public-domain book, and words that name small numbers.
@@ -97,6 +98,12 @@ def word_count_norefs(text: Column) -> Column:
     return word_count_plain(F.regexp_replace(text, r"\p{Nd}+:\p{Nd}+", ""))
 
 
+def has_words(text: Column, strip_refs: bool = True) -> Column:
+    """Whether any word is left; most texts are decided by their first letter, without counting."""
+    count = word_count_norefs(text) if strip_refs else word_count_plain(text)
+    return F.rlike(text, F.lit(rf"[^{SPACES}\p{{Nd}}:]")) | (count > 0)
+
+
 def _first_found(text: Column, markers: Sequence[str]) -> Column:
     """1-based position of the first marker, in list order, that occurs; null when none does."""
     return F.coalesce(*[F.nullif(F.locate(m, text), F.lit(0)) for m in markers])

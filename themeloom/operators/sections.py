@@ -74,10 +74,12 @@ def chunk_sentences(
     sentences = docs.select("doc_id", split_sentences(F.col("content")).alias("sentences"))
     lengths = F.transform("sentences", lambda s: F.length(s))
     cut = sentences.withColumn("spans", chunk_spans(lengths, chunk_size, overlap, min_chunk_size))
-    return cut.select("doc_id", "sentences", F.posexplode("spans").alias("pos", "span")).select(
-        "doc_id",
-        (F.col("pos") + 1).alias("position"),
-        F.array_join(F.slice("sentences", F.col("span.first") + 1, F.col("span.n")), " ").alias("content"),
+    # Chunks are joined before the explode: exploding the spans would copy the whole document to each of them.
+    chunks = F.transform(
+        "spans", lambda s: F.array_join(F.slice("sentences", s["first"] + 1, s["n"]), " ")
+    )
+    return cut.select("doc_id", F.posexplode(chunks).alias("pos", "content")).select(
+        "doc_id", (F.col("pos") + 1).alias("position"), "content"
     )
 
 
@@ -150,18 +152,20 @@ def split_chapters(parts: DataFrame) -> DataFrame:
 
 def line_windows(docs: DataFrame, size: int = 10) -> DataFrame:
     """``<doc_id, window, first_line, last_line, content>``: consecutive lines in groups of ``size``."""
-    lines = docs.select("doc_id", F.split("content", "\n").alias("lines"))
-    n = F.size("lines")
-    windows = positions(F.ceil(n / F.lit(size)).cast("int"))
-    cut = lines.select("doc_id", "lines", F.explode(windows).alias("window"))
-    first = F.col("window") * size
-    return cut.select(
-        "doc_id",
-        "window",
-        (first + 1).alias("first_line"),
-        F.least(first + size, n).alias("last_line"),
-        F.array_join(F.slice("lines", first + 1, F.lit(size)), " ").alias("content"),
-    )
+
+    def cut(lines: Column) -> Column:
+        n = F.size(lines)
+        return F.transform(
+            positions(F.ceil(n / F.lit(size)).cast("int")),
+            lambda w: F.struct(
+                w.alias("window"),
+                (w * size + 1).alias("first_line"),
+                F.least(w * size + size, n).alias("last_line"),
+                F.array_join(F.slice(lines, w * size + 1, F.lit(size)), " ").alias("content"),
+            ),
+        )
+
+    return docs.select("doc_id", F.inline(let(F.split("content", "\n"), cut)))
 
 
 def verse_sections(parts: DataFrame, size: int = 10, lookup: DataFrame | None = None) -> DataFrame:

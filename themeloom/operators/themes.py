@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from themeloom.functions.text import clean_theme_word
+from themeloom.functions.text import clean_theme_word, term_counts
 from themeloom.operators.quality import cluster_volumes, largest_cluster
 from themeloom.operators.ranking import bounded, by_score, dedup_keep_max, top_n_per_group
 
@@ -148,9 +148,9 @@ def word_summary(docs: DataFrame, n_words: int = 50, by: str | None = None) -> D
     """``<[by,] rank, word, frequency>``: the most frequent tokens of ``<[by,] tokens>``."""
     keys = [by] if by else []
     counted = (
-        docs.select(*keys, F.explode("tokens").alias("word"))
+        docs.select(*keys, F.inline(term_counts(F.col("tokens"))).alias("word", "tf"))
         .groupBy(*keys, "word")
-        .agg(F.count("*").alias("frequency"))
+        .agg(F.sum("tf").alias("frequency"))
     )
     ranked = top_n_per_group(counted, keys, [F.desc("frequency"), "word"], n_words)
     return ranked.select(*keys, "rank", "word", "frequency")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from themeloom.functions.text import word_count_norefs
+from themeloom.functions.text import has_words, word_count_norefs, word_count_plain
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -24,10 +24,16 @@ def require_nonempty(df: DataFrame, what: str = "sections") -> DataFrame:
     return df
 
 
-def prepare_documents(docs: DataFrame, count: Callable[[Column], Column] = word_count_norefs) -> DataFrame:
-    """Null content becomes '', ``word_count`` is added and documents without words are dropped."""
+def prepare_documents(docs: DataFrame, strip_refs: bool = True) -> DataFrame:
+    """Null content becomes '', ``word_count`` is added and documents without words are dropped.
+
+    The filter is a cheap test of its own: Spark pushes it to the scan, and a filter on the count would
+    make it count every text twice.
+    """
     filled = docs.withColumn("content", F.coalesce(F.col("content").cast("string"), F.lit("")))
-    return filled.withColumn("word_count", count(F.col("content"))).where("word_count > 0")
+    count = word_count_norefs if strip_refs else word_count_plain
+    kept = filled.where(has_words(F.col("content"), strip_refs))
+    return kept.withColumn("word_count", count(F.col("content")))
 
 
 def split_rejects(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
