@@ -164,7 +164,7 @@ def _long(weighted: DataFrame, key: str) -> DataFrame:
 @query("nmf_topics")
 def _nmf(spark: SparkSession, sf: str) -> DataFrame:
     model, vocab, _ = _fit(spark, sf, 20, 10)
-    return topics.topic_top_words(model.topic_terms(spark), vocab.table(spark), 10)
+    return topics.topic_top_words(model.topic_terms(spark, 10), vocab.table(spark), 10)
 
 
 @query("nmf_transform")

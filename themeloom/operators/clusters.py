@@ -85,6 +85,43 @@ def update_centroids(labelled: DataFrame, old: DataFrame, value: str = "w") -> D
     return old.join(new, "cluster", "left").select("cluster", F.coalesce("_new", "mean").alias("mean"))
 
 
+def _lloyd_round(rows: DataFrame, centers: np.ndarray, value: str) -> np.ndarray:
+    """Means of the rows nearest to each center; a center without rows stays where it is.
+
+    A task sends one row per center it met, with the count and the sum of its rows.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(0))
+            near = _square_distances(x, centers).argmin(axis=1)
+            counts += np.bincount(near, minlength=len(centers))
+            order = np.argsort(near, kind="stable")
+            met, first = np.unique(near[order], return_index=True)
+            sums[met] += np.add.reduceat(x[order], first, axis=0)
+        met = np.flatnonzero(counts)
+        if len(met):
+            offsets = pa.array(np.arange(len(met) + 1) * sums.shape[1], pa.int32())
+            packed = pa.ListArray.from_arrays(offsets, pa.array(sums[met].ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(met, pa.int32()), pa.array(counts[met]), packed], ["cluster", "n", "sums"]
+            )
+
+    total = (
+        rows.select(value)
+        .mapInArrow(partial, "cluster int, n bigint, sums array<double>")
+        .groupBy("cluster")
+        .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    )
+    moved = centers.copy()
+    for row in total.collect():
+        moved[row.cluster] = row.sums.toArray() / row.n
+    return moved
+
+
 def kmeans_lloyd(
     points: DataFrame, start: np.ndarray, max_iter: int = 100, tol: float = 1e-4, value: str = "w"
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +134,7 @@ def kmeans_lloyd(
     previous, used = None, centers
     rows = points.select(value).persist()
     for _ in range(max_iter):
-        used, moved = centers, centers.copy()
-        for row in cluster_means(assign_nearest(rows, centers, value), value).collect():
-            moved[row.cluster] = row.mean
+        used, moved = centers, _lloyd_round(rows, centers, value)
         if previous is not None and np.linalg.norm(moved - previous) < tol:
             break
         centers = previous = moved

@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.operators.features import MAX_VOCABULARY, Vocabulary
-from themeloom.operators.ranking import by_score, top_n_per_group
+from themeloom.operators.ranking import RANK_DIGITS, by_score, top_n_per_group
 
 BLOCK = 256  # terms per row of partial sums
 SLICE = 400_000  # non-zero cells handled at once inside a task
@@ -204,9 +204,18 @@ class TopicModel:
     def n_topics(self) -> int:
         return self.components.shape[0]
 
-    def topic_terms(self, spark: SparkSession) -> DataFrame:
-        """``<topic, term_id, weight>``, non-zero cells only."""
-        topic, term = np.nonzero(self.components)
+    def topic_terms(self, spark: SparkSession, n_words: int | None = None) -> DataFrame:
+        """``<topic, term_id, weight>``, non-zero cells only.
+
+        With ``n_words``, only the cells that can be among the ``n_words`` heaviest of their topic, ties
+        included.
+        """
+        keep = self.components > 0
+        if n_words is not None and n_words < self.components.shape[1]:
+            ranked = np.round(self.components, RANK_DIGITS)
+            least = -np.partition(-ranked, n_words - 1, axis=1)[:, n_words - 1 : n_words]
+            keep &= ranked >= least
+        topic, term = np.nonzero(keep)
         table = pa.table(
             {
                 "topic": pa.array(topic, pa.int32()),
@@ -389,7 +398,7 @@ def topic_stability(runs: dict[int, tuple[TopicModel, Vocabulary]], spark: Spark
     """``<seed, other_seed, topic, overlap>``: best Jaccard overlap of a topic's top words across seeds."""
     sets = None
     for seed, (model, vocab) in runs.items():
-        words = topic_top_words(model.topic_terms(spark), vocab.table(spark), n_words)
+        words = topic_top_words(model.topic_terms(spark, n_words), vocab.table(spark), n_words)
         one = words.groupBy("topic").agg(F.collect_set("word").alias("words")).withColumn("seed", F.lit(seed))
         sets = one if sets is None else sets.unionByName(one)
     by_seed = sets.groupBy("seed").agg(F.collect_list("words").alias("others"))

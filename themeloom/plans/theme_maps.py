@@ -68,7 +68,7 @@ class Topics:
 
     def words(self, n_words: int) -> DataFrame:
         spark = self.rows.sparkSession
-        ranked = topics.topic_top_words(self.model.topic_terms(spark), self.vocab.table(spark), n_words)
+        ranked = topics.topic_top_words(self.model.topic_terms(spark, n_words), self.vocab.table(spark), n_words)
         return bounded(ranked, themes.MAX_WORDS, "topic words")
 
 
