@@ -134,6 +134,14 @@ def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     assert [(r.category, r.content) for r in rows] == [("x", 'a "b"\nc, d'), ("y", None)]
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("filename\tcontent\ttitle\n1.txt\tsome \"text\" here\tx\n")
+    content = schemas.RAW_TEXT.__class__([schemas.DOCUMENTS["content"]])
+    assert [tuple(r) for r in readers.scan_tsv(spark, str(tmp_path), content).collect()] == [('some "text" here',)]
+    with pytest.raises(ValueError, match="category"):
+        readers.scan_tsv(spark, str(tmp_path), schemas.CATEGORY_DOCUMENTS)
+
+
 def test_whole_text_sources(spark, tmp_path):
     (tmp_path / "my.book.txt").write_text("one\ntwo")
     assert [tuple(r) for r in readers.scan_wholetext(spark, str(tmp_path)).collect()] == [("my.book", "one\ntwo")]

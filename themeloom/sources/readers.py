@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from themeloom import schemas
 from themeloom.functions.text import source_id
+from themeloom.sources.checks import require_columns
 
 
 def _delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_line: bool) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    """The columns of ``schema``, found by their names in the header; other columns of the files are not parsed.
+
+    Columns are never inferred from the data: only the header line is read ahead.
+    """
+    found = (
+        spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
@@ -19,6 +23,8 @@ def _delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str, m
         .option("enforceSchema", False)
         .csv(path)
     )
+    require_columns(found, schema.names)
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def scan_tsv(spark: SparkSession, path: str, schema: T.StructType = schemas.DOCUMENTS, multi_line: bool = False) -> DataFrame:
