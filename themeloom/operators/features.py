@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from themeloom.functions.text import term_counts
 from themeloom.operators.ranking import top_rows
+from themeloom.session import stage
 
 MAX_VOCABULARY = 500_000
 
@@ -61,11 +62,16 @@ def vocabulary(
     """
     if not 0 < max_features <= MAX_VOCABULARY:
         raise ValueError(f"max_features must be between 1 and {MAX_VOCABULARY}")
-    n_docs = docs.agg(F.count("*")).scalar()
-    counted = (
-        document_terms(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    # Every document adds one row without a term, so the one pass over the corpus counts the documents too.
+    # The counts are staged: the bounds need the document count before they can be applied.
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")))
+    cells = docs.select(F.inline(F.concat(marker, term_counts(F.coalesce("tokens", F.array().cast("array<string>"))))))
+    counted = stage(cells.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), "term-counts")
+    documents = counted.where("term is null").first()
+    n_docs = F.lit(documents.df if documents else 0)
+    kept = counted.where(
+        F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs)
     )
-    kept = counted.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
     return top_rows(kept, [F.desc("tf"), "term"], max_features).select(
         (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"),
         "term",
