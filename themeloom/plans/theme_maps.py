@@ -108,11 +108,12 @@ def _clustered_map(points: DataFrame, ranked: DataFrame, k: int | None) -> tuple
 
 
 def news_theme_map(
-    docs: DataFrame, max_clusters: int = 100, n_themes: int = 20, n_topics: int = 20, max_iter: int = 200, seed: int = 42
+    docs: DataFrame, max_clusters: int = 100, n_themes: int = 20, n_topics: int = 20, max_iter: int = 200, seed: int = 42,
+    stop_words: Sequence[str] = ENGLISH,
 ) -> ThemeMap:
     """Articles ``<doc_id, content>``: hierarchical groups, their number chosen by silhouette."""
     clean = docs.select("doc_id", normalize_text(F.col("content")).alias("content"))
-    fitted = fit(clean, tokenize_words, 2, 0.5, n_topics, max_iter, seed=seed)
+    fitted = fit(clean, tokenize_words, 2, 0.5, n_topics, max_iter, seed=seed, stop_words=stop_words)
     points = _weights(fitted, "doc_id")
     tree = clusters.fit_hierarchy(points, seed=seed)
     best = clusters.select_k(clusters.score_cuts(points, tree, max_clusters)).first()
@@ -123,11 +124,12 @@ def news_theme_map(
 
 
 def _sections_map(
-    parts: DataFrame, n_clusters: int, max_df: float, n_themes: int, n_topics: int, max_iter: int, seed: int
+    parts: DataFrame, n_clusters: int, max_df: float, n_themes: int, n_topics: int, max_iter: int, seed: int,
+    stop_words: Sequence[str],
 ) -> ThemeMap:
     """Sections ``<doc_id, position, title, content>`` grouped by k-means."""
     require_nonempty(parts)
-    fitted = fit(parts.select("doc_id", "position", "content"), tokenize_alpha, 2, max_df, n_topics, max_iter, seed=seed)
+    fitted = fit(parts.select("doc_id", "position", "content"), tokenize_alpha, 2, max_df, n_topics, max_iter, seed=seed, stop_words=stop_words)
     points = _weights(fitted, "doc_id", "position").withColumn("_key", F.struct("doc_id", "position"))
     k = features.clamp_clusters(fitted.n_rows, n_clusters)
     start = clusters._vectors_of(clusters.sample_rows(points, k, seed, "_key"), "w")
@@ -148,10 +150,11 @@ def chunk_theme_map(
     n_topics: int = 20,
     max_iter: int = 300,
     seed: int = 42,
+    stop_words: Sequence[str] = ENGLISH,
 ) -> ThemeMap:
     """Books ``<doc_id, content>``: overlapping chunks of sentences, k-means groups, quality scores."""
     parts = sections.text_sections(docs, chunk_size, overlap, min_chunk_size)
-    return _sections_map(parts, n_clusters, 0.95, n_themes, n_topics, max_iter, seed)
+    return _sections_map(parts, n_clusters, 0.95, n_themes, n_topics, max_iter, seed, stop_words)
 
 
 def scripture_sections(docs: DataFrame, heading: str, size: int = 10) -> DataFrame:
@@ -170,9 +173,10 @@ def verse_theme_map(
     n_topics: int = 20,
     max_iter: int = 300,
     seed: int = 42,
+    stop_words: Sequence[str] = ENGLISH,
 ) -> ThemeMap:
     """Scripture ``<doc_id, content>``: sections of ten verses, k-means groups."""
-    return _sections_map(scripture_sections(docs, heading), n_clusters, 0.95, n_themes, n_topics, max_iter, seed)
+    return _sections_map(scripture_sections(docs, heading), n_clusters, 0.95, n_themes, n_topics, max_iter, seed, stop_words)
 
 
 def verse_hierarchy_map(
@@ -183,10 +187,11 @@ def verse_hierarchy_map(
     n_topics: int = 20,
     max_iter: int = 300,
     seed: int = 42,
+    stop_words: Sequence[str] = ENGLISH,
 ) -> ThemeMap:
     """Scripture as above with hierarchical groups, their number chosen by silhouette."""
     parts = require_nonempty(scripture_sections(docs, heading))
-    fitted = fit(parts.select("doc_id", "position", "content"), tokenize_alpha, 2, 0.5, n_topics, max_iter, seed=seed)
+    fitted = fit(parts.select("doc_id", "position", "content"), tokenize_alpha, 2, 0.5, n_topics, max_iter, seed=seed, stop_words=stop_words)
     points = _weights(fitted, "doc_id", "position")
     tree = clusters.fit_hierarchy(points, seed=seed)
     best = clusters.select_k(clusters.score_cuts(points, tree, max_clusters)).first()
@@ -197,7 +202,8 @@ def verse_hierarchy_map(
 
 
 def category_theme_map(
-    docs: DataFrame, n_themes: int = 50, n_topics: int = 10, max_iter: int = 200, seed: int = 42
+    docs: DataFrame, n_themes: int = 50, n_topics: int = 10, max_iter: int = 200, seed: int = 42,
+    stop_words: Sequence[str] = ENGLISH,
 ) -> ThemeMap:
     """Documents ``<doc_id, category, headline, content>`` grouped by their category."""
     require_columns(docs, ["category", "headline", "content"])
@@ -210,6 +216,7 @@ def category_theme_map(
         n_topics,
         max_iter,
         seed=seed,
+        stop_words=stop_words,
     )
     cells = fitted.rows.select("category", F.explode(F.arrays_zip("indices", "values")).alias("c")).select(
         "category", F.col("c.indices").alias("term_id"), F.col("c.values").alias("tfidf")
