@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from themeloom.session import stage
 
@@ -16,7 +16,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     and a join, both of which Spark can split where a vertex is hot. Every round is staged, nothing is
     collected. Loops and repeated edges are allowed; null ends are ignored.
     """
-    spark = edges.sparkSession
     edges = stage(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b").distinct(), "edges")
     vertices = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("now", F.col("v"))
     left = not edges.isEmpty()
@@ -24,14 +23,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not left:
             break
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        order = (lambda c: F.struct(c)) if n == 0 else (lambda c, salt=n: F.struct(F.xxhash64(F.lit(salt), c), c))
-        best = (
-            both.select(F.col("e.a").alias("v"), F.col("e.b").alias("w"))
-            .groupBy("v")
-            .agg(F.min(order(F.col("w"))).alias("best"))
-            .select("v", F.least("best", order(F.col("v"))).alias("best"))
-        )
-        moves = stage(best.select("v", F.element_at(F.array("best.*"), -1).alias("to")).where("v <> to"), "moves")
+        ends = both.select(F.col("e.a").alias("v"), F.col("e.b").alias("w"))
+        best = ends.groupBy("v").agg(F.min(_ranked("w", n)).alias("best"))
+        moves = best.select("v", F.least("best", _ranked("v", n)).getField("id").alias("to"))
+        moves = stage(moves.where("v <> to"), "moves")
         vertices = stage(
             vertices.join(moves.withColumnRenamed("v", "now"), "now", "left").select("v", F.coalesce("to", "now").alias("now")),
             "vertices",
@@ -41,7 +36,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if left:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     least = vertices.groupBy("now").agg(F.min("v").alias("component"))
-    return stage(vertices.join(least, "now").select("v", "component"), "components") if max_rounds else spark.range(0)
+    return stage(vertices.join(least, "now").select("v", "component"), "components")
+
+
+def _ranked(vertex: str, n: int) -> Column:
+    """What round ``n`` prefers the smaller of."""
+    rank = F.xxhash64(F.lit(n), vertex) if n else F.lit(0).cast("bigint")
+    return F.struct(rank.alias("rank"), F.col(vertex).alias("id"))
 
 
 def _moved(edges: DataFrame, moves: DataFrame, end: str) -> DataFrame:
