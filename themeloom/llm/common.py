@@ -90,3 +90,26 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 def offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
+
+
+def expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [start, end), and the range that each is of."""
+    sizes = ends - starts
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(offsets(sizes)[:-1], sizes) + starts[of]
+
+
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the ranges [start, end); ranges that end before they start are empty."""
+    marks = np.zeros(n + 1, np.int64)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, np.maximum(ends, starts), -1)
+    return np.cumsum(marks)[:n] > 0
+
+
+def flat_structs(batch: pa.RecordBatch, column: str, fields: tuple[str, ...]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The row number and the fields of all structs in a list column without nulls."""
+    lists = batch.column(column)
+    row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+    flat = lists.flatten()
+    return row, [flat.field(f) for f in fields]

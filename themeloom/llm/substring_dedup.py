@@ -12,14 +12,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from themeloom.llm.common import WordHashes, mixed, offsets, row_keys, slices, table, text_bytes, words_of
+from themeloom.llm.common import WordHashes, covered, flat_structs, mixed, offsets, row_keys, slices, table, text_bytes, words_of
 from themeloom.session import stage
 
 WINDOW = 35
@@ -73,7 +72,7 @@ def _anchors(kmers: np.ndarray, counts: np.ndarray, window: int, anchor: int) ->
     low = np.uint64((1 << max(20, len(kmers).bit_length())) - 1)
     least = _window_minimum((kmers & ~low) | np.arange(len(kmers), dtype=np.uint64), width)
     has = counts >= window
-    valid = _fill(len(least), starts[:-1][has], starts[1:][has] - window + 1)
+    valid = covered(len(least), starts[:-1][has], starts[1:][has] - window + 1)
     return np.unique((least[valid] & low).astype(np.int64))
 
 
@@ -183,22 +182,6 @@ def candidate_spans(anchors: DataFrame, paths: DataFrame, anchor: int = ANCHOR)
     return runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "last", "path"))).alias("spans"))
 
 
-def _ranges(batch: pa.RecordBatch, column: str, fields: tuple[str, ...]):
-    """The row number and the fields of all structs in a list column."""
-    lists = batch.column(column)
-    row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
-    flat = lists.flatten()
-    return row, [flat.field(f) for f in fields]
-
-
-def _fill(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Marks [start, end) for all pairs, in an array of n."""
-    marks = np.zeros(n + 1, np.int64)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, np.maximum(ends, starts), -1)
-    return np.cumsum(marks)[:n] > 0
-
-
 def _claims(window: int, anchor: int):
     """Spans and single windows with the hashes by which they are compared: ``len`` is a span's length in words."""
 
@@ -207,7 +190,7 @@ def _claims(window: int, anchor: int):
         for batch in slices(batches, "text"):
             _, counts, *rolls = _columns(batch, memo)
             starts, n = offsets(counts), int(counts.sum())
-            doc, (first, last, path) = _ranges(batch, "spans", ("first", "last", "path"))
+            doc, (first, last, path) = flat_structs(batch, "spans", ("first", "last", "path"))
             if not len(doc):
                 continue
             begin = starts[doc] + np.asarray(first)
@@ -217,7 +200,7 @@ def _claims(window: int, anchor: int):
             # shares one of these has the whole span.
             low = np.maximum(begin - (window - anchor), starts[doc])
             high = np.minimum(end - anchor + 1, starts[doc + 1] - window + 1)
-            loose = _fill(n, low, high) & ~_fill(n, begin[long] + 1, end[long] - window)
+            loose = covered(n, low, high) & ~covered(n, begin[long] + 1, end[long] - window)
             at = np.flatnonzero(loose)
             of = np.searchsorted(starts, at, "right") - 1
             all_start = np.concatenate([begin[long], at])
@@ -263,9 +246,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         words, counts = words_of(batch.column("text").to_pylist())
         starts = offsets(counts)
-        doc, (pos, size) = _ranges(batch, "ranges", ("pos", "len"))
+        doc, (pos, size) = flat_structs(batch, "ranges", ("pos", "len"))
         begin = starts[doc] + np.asarray(pos)
-        gone = _fill(len(words), begin, begin + np.asarray(size)) if len(doc) else np.zeros(len(words), bool)
+        gone = covered(len(words), begin, begin + np.asarray(size)) if len(doc) else np.zeros(len(words), bool)
         kept_text, kept = [], []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             cut = gone[a:b]
