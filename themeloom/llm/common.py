@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from themeloom.session import stage
+
 SLICE_BYTES = 4 << 20
 HASH_MEMO = 400_000
 
@@ -88,6 +90,18 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int, parts: int = 8) -> DataFrame:
+    """About ``most`` of the rows at most, chosen by a hash of ``key`` so that the choice does not depend on how they lie.
+
+    The result is staged in a few parts, for learners that go over it again and again.
+    """
+    bound = 1 << 30
+    rows = stage(rows, "labelled")
+    share = min(1.0, most / max(1, rows.count()))
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(bound)) < int(share * bound))
+    return stage(chosen.coalesce(parts), "sample")
+
+
 def offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 

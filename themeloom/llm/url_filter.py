@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from themeloom.llm.common import table
+from themeloom.llm.common import bounded_sample, table
 from themeloom.session import stage
 
 
@@ -116,22 +116,16 @@ def suffix_statistics(urls: DataFrame) -> DataFrame:
     )
 
 
-def fit_trees(labelled: DataFrame, names: Sequence[str], max_labelled: int = MAX_LABELLED) -> GBTClassificationModel | float:
-    """Boosted trees over ``labelled`` ``<url, label, ...names>``; a constant where the labels don't differ.
+def fit_trees(labelled: DataFrame, names: Sequence[str]) -> GBTClassificationModel | float:
+    """Boosted trees over ``labelled`` ``<label, ...names>``, a bounded number of rows; a constant where the labels don't differ.
 
-    At most about ``max_labelled`` urls are used, chosen by a hash of the url, so the choice does not depend on how the rows
-    lie. Fitting is by Spark's own distributed learner.
+    Fitting is by Spark's own distributed learner.
     """
     total, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not total or positive in (0, total):
+    if positive in (0, total):
         return float(positive / total) if total else 0.0
-    bound = 1 << 30
-    share = min(1.0, max_labelled / total)
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit(11), "url"), F.lit(bound)) < int(share * bound))
-    if not 0 < (chosen.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]) < 1:
-        chosen = labelled
-    rows = VectorAssembler(inputCols=list(names), outputCol="features").transform(chosen).select("label", "features")
-    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, subsamplingRate=1.0).fit(rows)
+    rows = VectorAssembler(inputCols=list(names), outputCol="features").transform(labelled).select("label", "features")
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7).fit(rows)
 
 
 def judge_urls(
@@ -143,7 +137,7 @@ def judge_urls(
 ) -> DataFrame:
     """``<id, host, path, rule, verdict, score>`` of every row.
 
-    A url that a rule fits gets the rule's verdict and is a labelled example for the trees; the trees judge all others (``score``
+    About ``max_labelled`` labelled urls at most, chosen by a hash of the url, fit the trees. A url that a rule fits gets the rule's verdict and is a labelled example for the trees; the trees judge all others (``score``
     is their probability of ``block``, null under a rule). Null urls and such without ``://`` have an empty host and path and are
     judged by the trees. Without labelled urls, or where all have one label, that label decides (``allow`` without any).
     Repeated rows and null ids stay; an empty table gives an empty result; other columns are ignored.
@@ -158,7 +152,8 @@ def judge_urls(
     featured = stage(featured.join(stats, "suffix", "left").drop("suffix"), "urls")
     names = [*own, "suffix_urls", "suffix_blocked"]
     label = (F.col("verdict") == "block").cast("double").alias("label")
-    model = fit_trees(featured.where("verdict is not null").select("url", label, *names), names, max_labelled)
+    labelled = featured.where("verdict is not null").select("url", label, *names)
+    model = fit_trees(bounded_sample(labelled, "url", max_labelled), names)
     if isinstance(model, float):
         scored = featured.withColumn("score", F.lit(model))
     else:
