@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, decontaminate, html_text, quality, simhash, substring_dedup, url_filter
+from themeloom.llm import bpe, decontaminate, html_text, maxent_lm, quality, simhash, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxent_lm": maxent_lm.op1_maxent_lm,
     "op2_html_text": html_text.op2_html_text,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
