@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,18 @@ def words_of(texts: Iterable[bytes]) -> tuple[list[bytes], np.ndarray]:
     return list(chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
+def worker_state(name: str, key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for later tasks of this Python worker with the same ``key``; one value per name.
+
+    Spark reuses its Python workers. Task functions are shipped by value, so the state hangs on a module of its own. It must only
+    save work: a new worker starts without it.
+    """
+    home = sys.modules.setdefault("_themeloom_worker_state", ModuleType("_themeloom_worker_state"))
+    if getattr(home, name, (None,))[0] != key:
+        setattr(home, name, (key, make()))
+    return getattr(home, name)[1]
+
+
 class WordHashes(dict):
     """XXH64 of byte strings; a bounded memo answers the frequent ones."""
 
