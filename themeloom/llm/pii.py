@@ -25,8 +25,8 @@ STRIDE = 32
 HIDDEN = 12
 EMBEDDED = 8
 SYMBOLS = 100
-MAX_WINDOWS = 3000
-EPOCHS = 6
+MAX_WINDOWS = 2000
+EPOCHS = 5
 BATCH = 64
 SEED = 7
 SURE = 0.95
