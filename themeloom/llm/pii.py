@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import expanded, offsets, slices, table
 from themeloom.session import stage
@@ -449,11 +449,15 @@ def redact_pii(docs: DataFrame, text_col: str = "text", max_windows: int = MAX_W
     return docs.mapInArrow(run, docs.schema)
 
 
-def _listed(spans: str):
+def _number(kind: str) -> Column:
+    return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("bigint")
+
+
+def _listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
+    counts = [_number(kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
