@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, decontaminate, html_text, maxent_lm, pii, quality, simhash, substring_dedup, url_filter
+from themeloom.llm import bpe, decontaminate, embedding_dedup, html_text, maxent_lm, pii, quality, simhash, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxent_lm": maxent_lm.op1_maxent_lm,
     "op2_html_text": html_text.op2_html_text,
     "op3_pii": pii.op3_pii,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality": quality.op7_quality,
