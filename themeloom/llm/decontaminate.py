@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import covered, expanded, flat_structs, offsets, slices, table, text_bytes, words_of
 from themeloom.session import stage
@@ -164,7 +164,7 @@ class Phrases:
         return np.fromiter(map(self.symbol.get, words, repeat(1)), np.int32, len(words))
 
 
-def _search_shards(phrases: Phrases, last: bool):
+def _search_shards(phrases: Phrases, last: bool, carried: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SHARD_BYTES):
             words, counts = words_of(map(folded, batch.column("text").to_pylist()))
@@ -176,7 +176,7 @@ def _search_shards(phrases: Phrases, last: bool):
             start = offsets(counts)[doc]
             hit |= covered(len(words), start + np.asarray(begin), start + np.asarray(end))
             out = {
-                "id": batch.column("id"),
+                carried: batch.column(carried),
                 "n_words": pa.array(counts),
                 "spans": _merged_spans(hit, counts),
                 "items": pa.array([sorted(i) for i in items], pa.list_(pa.string())),
@@ -186,7 +186,7 @@ def _search_shards(phrases: Phrases, last: bool):
     return run
 
 
-SPAN_ROWS = "id bigint, n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
+SPAN_ROWS = "n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
 
 
 def _search(phrases: Phrases, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,18 +252,27 @@ def find_contamination(
     benchmark of more than ``max_words`` words is searched for in blocks, with a pass over the documents for each; only one block
     is on the driver and in the tasks at a time.
     """
+    id_ = F.col(id_col).cast("bigint").alias("id")
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, max_words)
+    return _search_blocks(docs, id_, text_col, blocks, window)
+
+
+def _search_blocks(docs: DataFrame, carried: Column, text_col: str, blocks: list[DataFrame], window: int) -> DataFrame:
+    """``<carried, n_words, spans, items>``, one pass over ``docs`` for each block of the benchmark."""
     found = docs.select(
-        F.col(id_col).cast("bigint").alias("id"),
+        carried,
         text_bytes(text_col).alias("text"),
         F.array().cast("array<struct<start: int, end: int>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, max_words)
+    name = found.columns[0]
+    rows = f"{name} {found.schema[name].dataType.simpleString()}, {SPAN_ROWS}"
     for n, block in enumerate(blocks, 1):
         phrases = Phrases([(r["item"], r["text"].encode()) for r in block.collect()], window)
-        if n == len(blocks):
-            return found.mapInArrow(_search_shards(phrases, True), SPAN_ROWS)
-        found = stage(found.mapInArrow(_search_shards(phrases, False), SPAN_ROWS + ", text binary"), "contamination")
+        last = n == len(blocks)
+        found = found.mapInArrow(_search_shards(phrases, last, name), rows if last else rows + ", text binary")
+        if not last:
+            found = stage(found, "contamination")
     return found
 
 
@@ -274,6 +283,21 @@ def with_rule(found: DataFrame) -> DataFrame:
     return hit.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    max_words: int = MAX_WORDS,
+) -> DataFrame:
+    """The rows of ``docs`` that the rule does not call contaminated, with their columns."""
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, max_words)
+    found = _search_blocks(docs, F.struct("*").alias("row"), text_col, blocks, window)
+    return with_rule(found).where("NOT contaminated").select("row.*")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_rule(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return found.select(

@@ -120,6 +120,13 @@ def fit_rules(labelled: DataFrame, names: Sequence[str], trees: int = TREES, dep
     return RuleEnsemble(float(fitted.intercept), tuple(weighted))
 
 
+def _labelled(scored: DataFrame, labels: DataFrame, names: Sequence[str], folds: int, most: int) -> DataFrame:
+    """A bounded sample ``<id, label, ...names>`` of the rows that may be learnt from."""
+    known = labels.where(crc_mod("doc_id", folds) != 0).groupBy(F.col("doc_id").alias("id"))
+    known = known.agg(F.max("quality").cast("double").alias("label")).where("label is not null")
+    return bounded_sample(scored.join(known, "id").select("id", "label", *names), "id", most)
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -129,24 +136,36 @@ def score_quality(
     threshold: float = THRESHOLD,
     max_labelled: int = MAX_LABELLED,
 ) -> DataFrame:
-    """``<id, key1, key2, held_out, score, predicted>`` of every row of ``docs``, learnt from ``labels`` ``<doc_id, quality>``.
+    """``<id, held_out, score, predicted>`` of every row of ``docs``, learnt from ``labels`` ``<doc_id, quality>``.
 
     Labels of ids with crc32 mod ``folds`` 0 are never used. At most about ``max_labelled`` labelled rows, chosen by a hash of
     the id, fit the rules. Null texts count as empty; rows with null or repeated ids stay and are scored by their texts; a label that is
     null is no label, of several the larger counts. Without labels every score is 0.5, with one label it leans to
-    that. An empty table gives an empty result; other columns are ignored. ``key1, key2`` stand for the row's content.
+    that. An empty table gives an empty result; other columns are ignored.
     """
     stats = text_statistics(text_col)
-    held_out = crc_mod(id_col, folds) == 0
-    keys = F.xxhash64(id_col, text_col).alias("key1"), F.xxhash64(F.lit(7), text_col, id_col).alias("key2")
-    scored = docs.select(F.col(id_col).cast("bigint").alias("id"), *keys, held_out.alias("held_out"), *[c.alias(k) for k, c in stats.items()])
+    held_out = (crc_mod(id_col, folds) == 0).alias("held_out")
+    scored = docs.select(F.col(id_col).cast("bigint").alias("id"), held_out, *[c.alias(k) for k, c in stats.items()])
     scored = stage(scored, "statistics")
-    known = labels.where(crc_mod("doc_id", folds) != 0).groupBy(F.col("doc_id").alias("id"))
-    known = known.agg(F.max("quality").cast("double").alias("label")).where("label is not null")
-    labelled = bounded_sample(scored.join(known, "id").select("id", "label", *stats), "id", max_labelled)
-    score = fit_rules(labelled, list(stats)).score()
-    out = scored.select("id", "key1", "key2", "held_out", score.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = fit_rules(_labelled(scored, labels, list(stats), folds, max_labelled), list(stats)).score()
+    return scored.select("id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    folds: int = 5,
+    threshold: float = THRESHOLD,
+    max_labelled: int = MAX_LABELLED,
+) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` would predict 1, with their columns; the texts are filtered where they are read."""
+    stats = text_statistics(text_col)
+    of_docs = docs.select(F.col(id_col).cast("bigint").alias("id"), *[c.alias(k) for k, c in stats.items()])
+    rules = fit_rules(_labelled(of_docs, labels, list(stats), folds, max_labelled), list(stats))
+    inside = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in stats.items()])
+    return inside.where(rules.score() >= threshold).select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from themeloom.llm.common import slices, table, text_bytes
+from themeloom.llm.common import row_keys, slices, table, text_bytes
 from themeloom.llm.components import connected_components
 from themeloom.session import stage
 
@@ -50,15 +50,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``<id, fp>`` of every row. ``fp`` is a signed bigint; a null text counts as empty and gets 0."""
+    """``<id, k1, k2, fp>`` of every row. ``fp`` is a signed bigint; a null text counts as empty and gets 0. ``k1, k2`` name the content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [fingerprint(text, shingle) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["id", "k1", "k2"]).columns, pa.array(found, pa.int64())], ["id", "k1", "k2", "fp"])
 
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("text"))
-    return narrow.mapInArrow(run, "id bigint, fp bigint")
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), *row_keys(id_col, text_col), text_bytes(text_col).alias("text"))
+    return narrow.mapInArrow(run, "id bigint, k1 bigint, k2 bigint, fp bigint")
 
 
 def _block_keys(fp: str, blocks: int, distance: int) -> Column:
@@ -122,9 +122,9 @@ def simhash_groups(
     shingle: int = SHINGLE,
     distance: int = MAX_DISTANCE,
 ) -> DataFrame:
-    """``<id, fp, component_id>``: groups of rows whose fingerprints are linked by at most ``distance`` bits.
+    """``<id, k1, k2, fp, group, component_id>``: groups of rows whose fingerprints are linked by at most ``distance`` bits.
 
-    ``component_id`` is the smallest id of the group. Null texts and texts without words have fingerprint 0 and are linked
+    ``group`` is a fingerprint of the group, ``component_id`` its smallest id, ``k1, k2`` name a row's content. Null texts and texts without words have fingerprint 0 and are linked
     like others. Rows with a null id stay and get the group's smallest id, null if it has none. Repeated rows share
     a group. An empty table gives an empty result, other columns are ignored.
 
@@ -135,9 +135,24 @@ def simhash_groups(
     groups = connected_components(hamming_links(distinct.select("fp"), distance))
     named = distinct.join(groups.withColumnRenamed("v", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     leaders = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    of_fp = named.where(F.col("component").isNotNull()).join(leaders, "group").select("fp", "component_id")
-    alone = named.where(F.col("component").isNull()).select("fp", F.col("least").alias("component_id"))
-    return fps.join(of_fp.union(alone), "fp").select("id", "fp", "component_id")
+    of_fp = named.where(F.col("component").isNotNull()).join(leaders, "group").select("fp", "group", "component_id")
+    alone = named.where(F.col("component").isNull()).select("fp", "group", F.col("least").alias("component_id"))
+    return fps.join(of_fp.union(alone), "fp").select("id", "k1", "k2", "fp", "group", "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = MAX_DISTANCE
+) -> DataFrame:
+    """``docs`` with one row of each SimHash group: the one with the smallest id, any other before one without an id.
+
+    Of rows that agree in id and text one stays.
+    """
+    groups = simhash_groups(docs, id_col, text_col, shingle, distance)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("first"))
+    k1, k2 = row_keys(id_col, text_col)
+    inside = docs.select(F.struct("*").alias("row"), k1, k2)
+    kept = inside.join(first.select("first.k1", "first.k2"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return kept.select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
