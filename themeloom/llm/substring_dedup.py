@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from themeloom.llm.common import WordHashes, covered, flat_structs, mixed, offsets, row_keys, slices, table, text_bytes, words_of
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 WINDOW = 35
 ANCHOR = 8
@@ -84,10 +84,6 @@ def _columns(batch: pa.RecordBatch, memo: WordHashes):
     return words, counts, Rolling(first, BASES[0]), Rolling(second, BASES[1])
 
 
-def _hash_pairs(rolls, starts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
-    return [pa.array(roll(starts, ends).view(np.int64)) for roll in rolls]
-
-
 def _anchor_rows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -126,11 +122,12 @@ ANCHOR_ROWS = "k1 bigint, k2 bigint, pos int, node bigint, edge bigint"
 
 
 def repeated_anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``<k1, k2, pos, node, edge>``: the anchors of ``docs`` ``<k1, k2, text>`` that occur more than once."""
-    found = docs.mapInArrow(_anchor_rows(window, anchor), ANCHOR_ROWS)
-    found = stage(found, "anchors")
-    again = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    return found.join(again, "node").select("k1", "k2", "pos", "node", "edge")
+    """``<k1, k2, pos, node, edge>``: the anchors of ``docs`` ``<k1, k2, text>`` that occur more than once, staged."""
+    found = stage(docs.mapInArrow(_anchor_rows(window, anchor), ANCHOR_ROWS), "anchors")
+    again = stage(found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "again")
+    repeated = stage(found.join(again, "node").select("k1", "k2", "pos", "node", "edge"), "repeated")
+    drop_staged(found, again)
+    return repeated
 
 
 def compact_paths(anchors: DataFrame) -> DataFrame:
@@ -156,12 +153,14 @@ def compact_paths(anchors: DataFrame) -> DataFrame:
     step = F.col("to").isNotNull().cast("bigint").alias("step")
     jumps = stage(edges.join(through, "edge", "left").select("edge", F.coalesce("to", "edge").alias("to"), step), "jumps")
     for _ in range(MAX_JUMPS):
+        last = jumps
         ahead = jumps.where("step > 0").select(F.col("edge").alias("to"), F.col("to").alias("further"), F.col("step").alias("more"))
         doubled = jumps.join(ahead, "to", "left")
         if doubled.where("more IS NOT NULL").isEmpty():
             break
         new_step = (F.col("step") + F.coalesce("more", F.lit(0))).alias("step")
         jumps = stage(doubled.select("edge", F.coalesce("further", "to").alias("to"), new_step), "jumps")
+        drop_staged(last)
     return jumps.select("edge", F.col("to").alias("path"), "step")
 
 
@@ -183,7 +182,7 @@ def candidate_spans(anchors: DataFrame, paths: DataFrame, anchor: int = ANCHOR)
 
 
 def _claims(window: int, anchor: int):
-    """Spans and single windows with the hashes by which they are compared: ``len`` is a span's length in words."""
+    """Spans and single windows of ``<row, text, spans>`` with the hashes by which they are compared; ``len`` counts words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -202,44 +201,42 @@ def _claims(window: int, anchor: int):
             high = np.minimum(end - anchor + 1, starts[doc + 1] - window + 1)
             loose = covered(n, low, high) & ~covered(n, begin[long] + 1, end[long] - window)
             at = np.flatnonzero(loose)
-            of = np.searchsorted(starts, at, "right") - 1
             all_start = np.concatenate([begin[long], at])
             all_end = np.concatenate([end[long], at + window])
-            all_doc = np.concatenate([doc[long], of])
-            take = pa.array(all_doc)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("k1").take(take),
-                    batch.column("k2").take(take),
-                    pa.array((all_start - starts[all_doc]).astype(np.int32)),
-                    pa.array((all_end - all_start).astype(np.int32)),
-                    *_hash_pairs(rolls, all_start, all_end),
-                ],
-                ["k1", "k2", "pos", "len", "h1", "h2"],
-            )
+            all_doc = np.concatenate([doc[long], np.searchsorted(starts, at, "right") - 1])
+            columns = {
+                "row": batch.column("row").take(pa.array(all_doc)),
+                "pos": pa.array((all_start - starts[all_doc]).astype(np.int32)),
+                "len": pa.array((all_end - all_start).astype(np.int32)),
+                "h1": pa.array(rolls[0](all_start, all_end).view(np.int64)),
+                "h2": pa.array(rolls[1](all_start, all_end).view(np.int64)),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-CLAIM_ROWS = "k1 bigint, k2 bigint, pos int, len int, h1 bigint, h2 bigint"
+CLAIM_ROWS = "row bigint, pos int, len int, h1 bigint, h2 bigint"
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``<k1, k2, ranges>``: the places of ``docs`` ``<k1, k2, text>`` covered by repeated windows, as ``array<struct<pos, len>>``.
 
     Edges have names of 64 bits. Two that share one by chance make a span that no other equals; it is then left in place.
+    Tables are deleted once the next one is written.
     """
-    anchors = stage(repeated_anchors(docs, window, anchor), "repeated")
-    spans = candidate_spans(anchors, compact_paths(anchors), anchor)
-    return _verified(docs, spans, window, anchor)
-
-
-def _verified(docs: DataFrame, spans: DataFrame, window: int, anchor: int) -> DataFrame:
-    keyed = docs.join(spans, ["k1", "k2"])
-    claims = stage(keyed.select("k1", "k2", "text", "spans").mapInArrow(_claims(window, anchor), CLAIM_ROWS), "claims")
-    again = claims.groupBy("h1", "h2", "len").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2", "len")
-    found = claims.join(again, ["h1", "h2", "len"]).select("k1", "k2", "pos", "len")
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "len")).alias("ranges"))
+    anchors = repeated_anchors(docs, window, anchor)
+    spans = candidate_spans(anchors, compact_paths(anchors), anchor).withColumn("row", F.monotonically_increasing_id())
+    spans = stage(spans, "spans")  # from here on a row has a number of its own
+    drop_staged(anchors)
+    keyed = docs.join(spans, ["k1", "k2"]).select("row", "text", "spans")
+    claims = stage(keyed.mapInArrow(_claims(window, anchor), CLAIM_ROWS), "claims")
+    # The hashes include the length.
+    again = stage(claims.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
+    found = claims.join(again, ["h1", "h2"]).groupBy("row").agg(F.collect_list(F.struct("pos", "len")).alias("ranges"))
+    found = stage(found.join(spans.select("k1", "k2", "row"), "row").select("k1", "k2", "ranges"), "ranges")
+    drop_staged(claims, again, spans)
+    return found
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
