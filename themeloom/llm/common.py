@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 from types import ModuleType
 
@@ -64,6 +66,16 @@ def worker_state(name: str, key: object, make: Callable[[], object]) -> object:
     return getattr(home, name)[1]
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Python's search for cycles is off inside: for code that makes millions of objects and no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class WordHashes(dict):
     """XXH64 of byte strings; a bounded memo answers the frequent ones."""
 
