@@ -61,7 +61,7 @@ tok AS (
 ),
 tf AS (SELECT doc_id, lang, source, term, count(*) AS tf FROM tok GROUP BY ALL)"""
 
-MIN_DF, MAX_DF, MAX_FEATURES = 2, 0.95, 5000
+MIN_DF, MAX_DF, MAX_FEATURES = 2, 0.95, 20_000
 
 VOCAB_SQL = TOKENS_SQL + f""",
 kept AS (

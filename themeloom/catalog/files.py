@@ -50,11 +50,11 @@ def _csv(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _wholetext(spark: SparkSession, sf: str) -> DataFrame:
     path = staging_path(spark, "texts")
-    documents(spark, sf).select("content", F.col("category").alias("folder")).write.partitionBy("folder").text(path)
-    # Spark names its files after tasks; the folder is what tells the sources apart.
-    files = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
-    return files.groupBy(F.col("folder").alias("source")).agg(
+    # Folders with a space and a plus sign in their names, and files of equal names in them.
+    documents(spark, sf).select("content", F.concat(F.lit("a + b "), "category").alias("folder")).write.partitionBy("folder").text(path)
+    files = readers.scan_wholetext(spark, path)
+    lines = F.split(F.regexp_replace("text", "\n$", ""), "\n")
+    return files.groupBy(F.regexp_extract("source", r"^folder=a \+ b ([^/]+)/part-", 1).alias("source")).agg(
         F.sum(F.size(lines)).cast("bigint").alias("lines"),
         F.sum(F.aggregate(lines, F.lit(0), lambda a, s: a + F.length(s))).cast("bigint").alias("chars"),
     )
@@ -110,6 +110,42 @@ def _log_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return sized.select("word", "frequency", F.round("size", 6).alias("size"))
 
 
+# --- broken lines -----------------------------------------------------------------------------------
+
+# Every seventh document has a field too many, every eleventh an id that is no number.
+PLAIN_SQL = f"trim(regexp_replace(regexp_replace(text, '[\"\\\\]', '', 'g'), '{WS_SQL}+', ' ', 'g'))"
+
+
+def _broken_lines(spark: SparkSession, sf: str) -> DataFrame:
+    path = staging_path(spark, "broken")
+    docs = documents(spark, sf)
+    plain = tx.collapse_whitespace(F.regexp_replace("content", r'["\\]', ""))
+    lines = docs.select(
+        F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("doc_id").cast("string")).alias("doc_id"),
+        "category",
+        "headline",
+        F.when(F.col("doc_id") % 7 == 0, F.concat(plain, F.lit("\tmore"))).otherwise(plain).alias("content"),
+    )
+    lines.write.option("sep", "\t").option("header", True).option("quote", "\u0000").csv(path)
+    return readers.scan_checked(spark, path, schemas.DOCUMENTS, "\t")
+
+
+@query("scan_accepted", f"SELECT doc_id, source AS category, md5({PLAIN_SQL}) AS content FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+def _accepted(spark: SparkSession, sf: str) -> DataFrame:
+    good = readers.accepted(_broken_lines(spark, sf))
+    return good.select("doc_id", "category", F.md5(F.coalesce("content", F.lit("")).cast("binary")).alias("content"))
+
+
+@query(
+    "scan_rejected",
+    """
+    SELECT CASE WHEN doc_id % 7 = 0 THEN 'too many fields' ELSE 'value of another type' END AS reject_reason, count(*) AS records
+    FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 GROUP BY ALL""",
+)
+def _rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return _broken_lines(spark, sf).where("reject_reason IS NOT NULL").groupBy("reject_reason").agg(F.count("*").alias("records"))
+
+
 # --- manifests --------------------------------------------------------------------------------------
 
 MANIFEST_SQL = """
@@ -142,6 +178,21 @@ def _refresh(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.refresh_changed(texts, old).select("source", "content_hash")
 
 
+@query(
+    "current_texts",
+    "WITH "
+    + MANIFEST_SQL
+    + """
+    SELECT source, md5(CASE WHEN source IN (SELECT source FROM changed) THEN html ELSE 'cached ' || html END) AS content
+    FROM (SELECT url AS source, html FROM pages)""",
+)
+def _current(spark: SparkSession, sf: str) -> DataFrame:
+    texts, old = _manifest(spark, sf)
+    cached = texts.withColumn("text", F.concat(F.lit("cached "), "text"))
+    now = manifest.current_texts(cached, manifest.refresh_changed(texts, old))
+    return now.select("source", F.md5(F.col("text").cast("binary")).alias("content"))
+
+
 @query(
     "manifest_upsert",
     "WITH "
@@ -334,6 +385,31 @@ def _words_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return stats.words_by_category(prepared(spark, sf))
 
 
+@query(
+    "category_report",
+    "WITH "
+    + PREPARED_SQL
+    + f""",
+tokens AS (SELECT category, unnest({split_words_sql('content')}) AS token FROM prepared),
+counted AS (SELECT category, token, count(*) AS n FROM tokens GROUP BY ALL),
+common AS (
+  SELECT category, string_agg(token || '=' || n, ' ' ORDER BY token) AS most_common FROM (
+    SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, token) <= 10
+  ) GROUP BY category
+)
+SELECT category, CAST(sum(word_count) AS BIGINT) AS word_count, count(*) AS verse_count, round(avg(word_count), 6) AS avg_words_per_verse,
+  any_value(u.unique_words) AS unique_words, any_value(common.most_common) AS most_common
+FROM prepared JOIN (SELECT category, count(*) AS unique_words FROM counted GROUP BY category) u USING (category) JOIN common USING (category)
+GROUP BY category""",
+)
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    report = stats.category_report(prepared(spark, sf))
+    entries = F.transform(F.array_sort(F.map_entries("most_common_words")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return report.select(
+        "category", "word_count", "verse_count", F.round("avg_words_per_verse", 6).alias("avg_words_per_verse"), "unique_words", F.array_join(entries, " ").alias("most_common")
+    )
+
+
 @query(
     "category_share",
     "WITH "

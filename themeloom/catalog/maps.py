@@ -297,23 +297,17 @@ def _prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Responses made of conversation words; the turn decides which of them are malformed."""
+    """Responses made of all words of each conversation text; the turn decides which of them are malformed."""
     talk = table(spark, sf, "conversations")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-
-    def word(i: int) -> Column:
-        return F.coalesce(F.get(words, F.lit(i)), F.lit("none"))
-
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
     weight = F.concat(F.lit("0."), F.lpad((F.col("conv_id") % 90).cast("string"), 2, "0"))
+    pairs = F.transform(words, lambda w: F.concat(F.lit('["'), w, F.lit('", '), weight, F.lit("]")))
     turn = F.col("turn") % 5
     text = (
-        F.when(
-            turn == 0,
-            F.concat(F.lit('Here: [["'), word(0), F.lit('", '), weight, F.lit('], ["'), word(1), F.lit('", 0.25], ["'), F.upper(word(2)), F.lit('", 1]] ok')),
-        )
-        .when(turn == 1, F.concat(F.lit('[["'), word(0), F.lit('", 1.5]]')))
-        .when(turn == 2, F.concat(F.lit('[["'), word(0), F.lit("-"), word(1), F.lit('", 0.5]]')))
-        .when(turn == 3, F.lit("no themes [sorry"))
+        F.when(turn == 0, F.concat(F.lit("Here: ["), F.array_join(pairs, ", "), F.lit("] ok")))
+        .when(turn == 1, F.concat(F.lit('[["'), F.array_join(words, ""), F.lit('", 1.5]]')))
+        .when(turn == 2, F.concat(F.lit('[["'), F.array_join(words, "-"), F.lit('", 0.5]]')))
+        .when(turn == 3, F.concat(F.lit("no themes [sorry "), F.array_join(words, " ")))
         .otherwise(F.lit("[]"))
     )
     names = F.array(*[F.lit(p) for p in responses.PERSPECTIVES])
@@ -328,7 +322,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 ANSWERS_SQL = r"""
 talk AS (
-  SELECT *, regexp_extract_all(lower(text), '[a-z]+') AS ws,
+  SELECT *, regexp_extract_all(lower(text), '[a-z]{2,}') AS ws,
     '0.' || lpad(CAST(conv_id % 90 AS VARCHAR), 2, '0') AS weight
   FROM conversations
 ),
@@ -337,11 +331,10 @@ answers AS (
     ['theological', 'narrative', 'emotional', 'literary'][conv_id % 4 + 1] AS perspective,
     conv_id // 4 AS segment, CAST(turn + 1 AS INTEGER) AS attempt,
     CASE turn % 5
-      WHEN 0 THEN 'Here: [["' || coalesce(ws[1], 'none') || '", ' || weight || '], ["' || coalesce(ws[2], 'none')
-        || '", 0.25], ["' || upper(coalesce(ws[3], 'none')) || '", 1]] ok'
-      WHEN 1 THEN '[["' || coalesce(ws[1], 'none') || '", 1.5]]'
-      WHEN 2 THEN '[["' || coalesce(ws[1], 'none') || '-' || coalesce(ws[2], 'none') || '", 0.5]]'
-      WHEN 3 THEN 'no themes [sorry'
+      WHEN 0 THEN 'Here: [' || coalesce(array_to_string(['["' || x || '", ' || weight || ']' FOR x IN ws], ', '), '') || '] ok'
+      WHEN 1 THEN '[["' || coalesce(array_to_string(ws, ''), '') || '", 1.5]]'
+      WHEN 2 THEN '[["' || coalesce(array_to_string(ws, '-'), '') || '", 0.5]]'
+      WHEN 3 THEN 'no themes [sorry ' || coalesce(array_to_string(ws, ' '), '')
       ELSE '[]' END AS response
   FROM talk
 ),
@@ -429,21 +422,54 @@ def _with_volume(result: theme_maps.ThemeMap) -> DataFrame:
 @query("news_theme_map")
 def _news(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "content")
-    return _with_volume(theme_maps.news_theme_map(docs, max_clusters=50, max_iter=10))
+    return _with_volume(theme_maps.news_theme_map(docs))
 
 
 @query("chunk_theme_map")
 def _chunk_map(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "content")
-    return _with_volume(theme_maps.chunk_theme_map(docs, n_topics=10, max_iter=5))
+    return _with_volume(theme_maps.chunk_theme_map(docs))
 
 
 @query("verse_theme_map")
 def _verse_map(spark: SparkSession, sf: str) -> DataFrame:
     docs = verse_text(documents(spark, sf)).select("doc_id", "content")
-    return _with_volume(theme_maps.verse_theme_map(docs, HEADING, n_topics=10, max_iter=5))
+    return _with_volume(theme_maps.verse_theme_map(docs, HEADING))
+
+
+@query("verse_hierarchy_map")
+def _verse_tree(spark: SparkSession, sf: str) -> DataFrame:
+    docs = verse_text(documents(spark, sf)).select("doc_id", "content")
+    return _with_volume(theme_maps.verse_hierarchy_map(docs, HEADING))
+
+
+@query(
+    "response_theme_map",
+    "WITH "
+    + ANSWERS_SQL
+    + """,
+best AS (
+  SELECT grp, lower(json_extract_string(item, '$[0]')) AS word, max(CAST(json_extract_string(item, '$[1]') AS DOUBLE)) AS score
+  FROM items JOIN chosen USING (grp, perspective, segment, attempt) GROUP BY ALL
+),
+ranked AS (
+  SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY score DESC, word) AS INTEGER) AS rank, word, score FROM best
+  QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, word) <= CASE WHEN grp = 'global' THEN 50 ELSE 30 END
+),
+counted AS (
+  SELECT role AS grp, CAST(sum(len(regexp_extract_all(text, '[^ ]+'))) AS BIGINT) AS volume FROM conversations WHERE role <> 'system' GROUP BY role
+),
+volumes AS (SELECT * FROM counted UNION ALL SELECT 'global', CAST(sum(volume) AS BIGINT) FROM counted)
+SELECT grp, rank, word, score, volume FROM ranked JOIN volumes USING (grp)""",
+)
+def _response_map(spark: SparkSession, sf: str) -> DataFrame:
+    talk = table(spark, sf, "conversations").where("role <> 'system'")
+    docs = talk.select(
+        F.col("conv_id").alias("doc_id"), F.col("role").alias("category"), "text", F.regexp_count("text", F.lit("[^ ]+")).alias("word_count")
+    )
+    return _with_volume(theme_maps.response_theme_map(docs, answers(spark, sf)))
 
 
 @query("category_theme_map")
 def _category_map(spark: SparkSession, sf: str) -> DataFrame:
-    return _with_volume(theme_maps.category_theme_map(documents(spark, sf), max_iter=10))
+    return _with_volume(theme_maps.category_theme_map(documents(spark, sf)))

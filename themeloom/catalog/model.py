@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from themeloom.catalog.base import MAX_DF, MAX_FEATURES, MIN_DF, documents
 from themeloom.functions.text import remove_stopwords, tokenize_alpha
 from themeloom.operators import features, topics
+from themeloom.operators.ranking import bounded
 from themeloom.session import stage
 
 
@@ -40,7 +41,8 @@ def stand_in(spark: SparkSession, sf: str) -> StandIn:
     ready = tokenized(docs).select("doc_id", "lang", "category", cluster, "tokens")
     vectors = stage(features.tfidf_vectors(ready, vocab), "tfidf")
     cells = features.tfidf_rows(vectors)
-    langs = sorted(r.lang for r in docs.select("lang").distinct().limit(1000).collect())
+    # Languages are the topics of this model; more of them than a model may have is an error.
+    langs = sorted(r.lang for r in bounded(docs.select("lang").distinct(), topics.MAX_TOPICS, "languages").collect())
     sizes = vectors.groupBy("lang").agg(F.count("*").alias("n"))
     by_lang = cells.groupBy("lang", "term_id").agg(F.sum("tfidf").alias("s")).join(sizes, "lang")
     number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1

@@ -147,7 +147,7 @@ def _abs(spark: SparkSession, sf: str) -> DataFrame:
 # --- topics -----------------------------------------------------------------------------------------
 
 
-def _fit(spark: SparkSession, sf: str, n_topics: int, max_iter: int, seed: int = 42):
+def _fit(spark: SparkSession, sf: str, n_topics: int = 20, max_iter: int = 200, seed: int = 42):
     docs = tokenized(documents(spark, sf)).select("doc_id", "tokens")
     vocab = features.Vocabulary.fit(docs, MIN_DF, MAX_DF, MAX_FEATURES)
     vectors = stage(features.tfidf_vectors(docs, vocab).drop("counts"), "tfidf")
@@ -163,13 +163,13 @@ def _long(weighted: DataFrame, key: str) -> DataFrame:
 
 @query("nmf_topics")
 def _nmf(spark: SparkSession, sf: str) -> DataFrame:
-    model, vocab, _ = _fit(spark, sf, 20, 10)
+    model, vocab, _ = _fit(spark, sf)
     return topics.topic_top_words(model.topic_terms(spark, 10), vocab.table(spark), 10)
 
 
 @query("nmf_transform")
 def _nmf_transform(spark: SparkSession, sf: str) -> DataFrame:
-    model, _, vectors = _fit(spark, sf, 10, 5)
+    model, _, vectors = _fit(spark, sf)
     return _long(model.transform(vectors), "doc_id")
 
 
@@ -177,16 +177,16 @@ def _nmf_transform(spark: SparkSession, sf: str) -> DataFrame:
 def _nmf_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", features.abs_embedding(F.col("embedding")).alias("embedding"))
     rows = stage(topics.dense_rows(spread(vectors), "embedding").select("vec_id", "indices", "values"), "dense")
-    model = topics.fit_topics(rows, 64, 20, 42, 20)
+    model = topics.fit_topics(rows, 64, 20, 42)
     return _long(model.transform(rows), "vec_id")
 
 
 @query("topic_stability")
 def _stability(spark: SparkSession, sf: str) -> DataFrame:
     docs = tokenized(documents(spark, sf)).select("doc_id", "tokens")
-    vocab = features.Vocabulary.fit(docs, MIN_DF, MAX_DF, 2000)
+    vocab = features.Vocabulary.fit(docs, MIN_DF, MAX_DF, MAX_FEATURES)
     vectors = stage(features.tfidf_vectors(docs, vocab).drop("counts"), "tfidf")
-    runs = {s: (topics.fit_topics(vectors, len(vocab), 5, s, 5, start="random"), vocab) for s in (1, 2, 3)}
+    runs = {s: (topics.fit_topics(vectors, len(vocab), 20, s, start="random"), vocab) for s in (1, 2, 3)}
     return topics.topic_stability(runs, spark)
 
 
@@ -333,7 +333,7 @@ def _lloyd(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("kmeans_labels")
 def _kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.kmeans_labels(points(spark, sf).drop("cluster"), 10, max_iter=20).select("doc_id", "cluster")
+    return clusters.kmeans_labels(points(spark, sf).drop("cluster"), 10).select("doc_id", "cluster")
 
 
 @query("hierarchical_labels")
@@ -349,10 +349,10 @@ def _bisecting(spark: SparkSession, sf: str) -> DataFrame:
 @query("select_k")
 def _select_k(spark: SparkSession, sf: str) -> DataFrame:
     pts = points(spark, sf).drop("cluster")
-    return clusters.select_k(clusters.score_cuts(pts, clusters.fit_hierarchy(pts), 50))
+    return clusters.select_k(clusters.score_cuts(pts, clusters.fit_hierarchy(pts), 100))
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT vec_id AS doc_id FROM embeddings ORDER BY md5(vec_id || ':42'), vec_id LIMIT 17")
 def _sample(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.sample_rows(points(spark, sf), 17).select("doc_id")
 

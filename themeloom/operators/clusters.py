@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,8 +37,8 @@ def _square_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def sample_rows(points: DataFrame, k: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """``k`` distinct rows in a seeded hash order: the same rows for any partitioning."""
-    return top_rows(points, [F.xxhash64(F.col(key), F.lit(seed)), key], k)
+    """``k`` distinct rows in the order of md5("key:seed"): the same rows for any partitioning."""
+    return top_rows(points, [F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key], k)
 
 
 def _vectors_of(rows: DataFrame, value: str, limit: int = MAX_CENTERS) -> np.ndarray:
@@ -132,13 +132,12 @@ def kmeans_lloyd(
     """
     centers = np.array(start, dtype=np.float64)
     previous, used = None, centers
-    rows = points.select(value).persist()
+    rows = points.select(value)
     for _ in range(max_iter):
         used, moved = centers, _lloyd_round(rows, centers, value)
         if previous is not None and np.linalg.norm(moved - previous) < tol:
             break
         centers = previous = moved
-    rows.unpersist()
     return used, centers
 
 
@@ -154,15 +153,6 @@ def kmeans_labels(
     return assign_nearest(points, used, value)
 
 
-def _fitted_centers(points: DataFrame, k: int, seed: int, max_iter: int, value: str) -> np.ndarray:
-    model = KMeans(
-        k=k, seed=seed, maxIter=max_iter, tol=1e-4, initMode="random", featuresCol="features"
-    ).fit(
-        points.select(array_to_vector(value).alias("features"))
-    )
-    return np.array(model.clusterCenters())
-
-
 def bisecting_labels(points: DataFrame, k: int, seed: int = 42, max_iter: int = 20, value: str = "w") -> DataFrame:
     """Top-down hierarchical clusters from MLlib; adds ``cluster``."""
     ready = points.withColumn("features", array_to_vector(value))
@@ -211,7 +201,12 @@ class Hierarchy:
         return len(self.centers)
 
     def cut(self, k: int) -> np.ndarray:
-        """Cluster of each micro-center; clusters are numbered by their first micro-center."""
+        """Cluster of each micro-center; clusters are numbered by their first micro-center.
+
+        More clusters than the tree has leaves are an error, unless the points themselves are no more: give the fit more micro-centers.
+        """
+        if k > self.size and self.weights.sum() > self.size:
+            raise ValueError(f"{k} clusters from {self.size} micro-centers")
         owner = np.arange(self.size)
         for a, b in self.merges[: max(0, self.size - k)]:
             owner[owner == b] = a
@@ -225,30 +220,34 @@ class Hierarchy:
 
 
 def fit_hierarchy(
-    points: DataFrame, micro: int = 512, seed: int = 42, max_iter: int = 10, value: str = "w"
+    points: DataFrame, micro: int = 512, seed: int = 42, max_iter: int = 10, value: str = "w", key: str = "doc_id"
 ) -> Hierarchy:
-    """Bottom-up Ward hierarchy.
+    """Bottom-up Ward hierarchy over at most ``micro`` weighted centers.
 
-    Merging points pairwise is quadratic, so a corpus with more than ``micro`` rows is first reduced by
-    distributed k-means to ``micro`` weighted centers; a smaller one is merged point by point.
+    Merging points pairwise is quadratic, so the points are first reduced by Lloyd rounds from ``micro`` rows drawn by a seeded
+    hash of ``key``. The path is the same for every size: with ``micro`` or fewer points each is its own center.
     """
-    if micro > MAX_CENTERS:
-        raise ValueError(f"at most {MAX_CENTERS} micro-clusters")
-    few = points.select(value).limit(micro + 1).collect()
-    if len(few) <= micro:
-        exact = np.array([r[0] for r in few], dtype=np.float64)
-        centers, weights = np.unique(exact, axis=0, return_counts=True)
-    else:
-        fitted = np.unique(_fitted_centers(points, micro, seed, max_iter, value), axis=0)
-        rows = cluster_means(assign_nearest(points.select(value), fitted, value), value).collect()
-        rows.sort(key=lambda r: r.cluster)
-        centers = fitted[[r.cluster for r in rows]]
-        weights = np.array([r.n for r in rows])
+    if not 0 < micro <= MAX_CENTERS:
+        raise ValueError(f"between 1 and {MAX_CENTERS} micro-clusters")
+    start = np.unique(_vectors_of(sample_rows(points, micro, seed, key), value), axis=0)
+    fitted = np.unique(kmeans_lloyd(points, start, max_iter, value=value)[0], axis=0)
+    rows = cluster_means(assign_nearest(points.select(value), fitted, value), value).collect()
+    rows.sort(key=lambda r: r.cluster)
+    centers = fitted[[r.cluster for r in rows]]
+    weights = np.array([r.n for r in rows])
     return Hierarchy(centers, weights, tuple(ward_merges(centers, weights)))
 
 
-def hierarchical_labels(points: DataFrame, k: int, micro: int = 512, seed: int = 42, value: str = "w") -> DataFrame:
-    return fit_hierarchy(points, micro, seed, value=value).labels(points, k, value)
+def micro_for(k: int) -> int:
+    """Enough micro-centers for cuts of up to ``k`` clusters."""
+    return min(MAX_CENTERS, max(512, 2 * k))
+
+
+def hierarchical_labels(
+    points: DataFrame, k: int, micro: int | None = None, seed: int = 42, value: str = "w", key: str = "doc_id"
+) -> DataFrame:
+    """Add ``cluster`` for the cut at ``k``. Without ``micro`` there are at least twice as many micro-centers as clusters."""
+    return fit_hierarchy(points, micro or micro_for(k), seed, value=value, key=key).labels(points, k, value)
 
 
 def score_cuts(points: DataFrame, tree: Hierarchy, max_k: int, value: str = "w") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from themeloom.functions.text import term_counts
-from themeloom.operators.ranking import top_rows
+from themeloom.operators.ranking import at_least_top, top_rows
 from themeloom.session import stage
 
 MAX_VOCABULARY = 500_000
@@ -72,7 +72,7 @@ def vocabulary(
     kept = counted.where(
         F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs)
     )
-    return top_rows(kept, [F.desc("tf"), "term"], max_features).select(
+    return top_rows(at_least_top(kept, "tf", max_features), [F.desc("tf"), "term"], max_features).select(
         (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"),
         "term",
         "df",

@@ -32,13 +32,30 @@ def top_rows(df: DataFrame, order: Sequence[Column | str], n: int, groups: int =
     """The first ``n`` rows under a full order, in two levels.
 
     A plain ``orderBy().limit()`` sends ``n`` rows of every partition to one task. Here groups of partitions
-    are cut to ``n`` rows first, so the last task sees at most ``groups * n`` rows.
+    are cut to ``n`` rows first, so the last task sees at most ``groups * n`` rows. Spark cuts below the shuffle only up to a
+    thousand rows per group; for more, narrow a large table by :func:`at_least_top` first.
     """
     grouped = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
     first = top_n_per_group(grouped, ["_group"], order, n, "_place")
     return first.select(*df.columns).orderBy(*order).limit(n)
 
 
+def at_least_top(df: DataFrame, score: str, n: int, levels: int = 16) -> DataFrame:
+    """The rows that can be among the ``n`` with the highest positive ``score``, and few others.
+
+    Scores are counted in levels of a logarithmic scale, so what reaches the driver is some hundred counts; the rows
+    of the level that the n-th row is on, and of all above it, pass a narrow filter.
+    """
+    level = F.floor(F.log2(score) * levels)
+    counts = df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
+    left, least = n, None
+    for row in sorted(counts, key=lambda r: -r.level):
+        least, left = row.level, left - row.n
+        if left <= 0:
+            break
+    return df if least is None else df.where(level >= least)
+
+
 def bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
     """A copy of a small table held by the plan itself; an error when it has more than ``limit`` rows.
 

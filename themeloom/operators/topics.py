@@ -262,13 +262,12 @@ def fit_topics(
     if not 0 < n_topics <= MAX_TOPICS or n_terms > MAX_VOCABULARY or n_topics * n_terms > MAX_CELLS:
         raise ValueError(f"at most {MAX_TOPICS} topics, {MAX_VOCABULARY} terms and {MAX_CELLS} topic-term weights")
     spark = vectors.sparkSession
-    x = vectors.select("indices", "values").persist()
+    x = vectors.select("indices", "values")
     total, square, n_rows = x.select(
         F.expr("aggregate(values, 0D, (a, v) -> a + v)").alias("s"),
         F.expr("aggregate(values, 0D, (a, v) -> a + v * v)").alias("q"),
     ).agg(F.sum("s"), F.sum("q"), F.count("*")).first()
     if not total:
-        x.unpersist()
         raise ValueError("no document holds a vocabulary term")
     mean = total / (n_rows * n_terms)
     if start == "spectral":
@@ -296,7 +295,6 @@ def fit_topics(
         if violation <= tol * max(first, TINY):
             break
         h = nonnegative_least_squares(wx.T, ww, sweeps=20, start=h.T).T
-    x.unpersist()
     return TopicModel(h, tuple(losses))
 
 

@@ -23,7 +23,7 @@ from themeloom.functions.text import (
 from themeloom.operators import clusters, features, quality, responses, sections, stats, themes, topics
 from themeloom.operators.ranking import bounded
 from themeloom.session import stage
-from themeloom.sources.checks import prepare_documents, require_columns, require_nonempty
+from themeloom.sources.checks import prepare_documents, refuse_value, require_columns, require_nonempty
 from themeloom.sources.theme_files import (
     labelled_sections,
     themes_export_json,
@@ -36,12 +36,13 @@ from themeloom.sources.theme_files import (
 @dataclass(frozen=True)
 class ThemeMap:
     """``themes <grp, rank, word, score>``, ``volumes <grp, volume, ...>`` and, where documents were
-    clustered, ``labels`` (section key and cluster)."""
+    clustered, ``labels`` (section key and cluster). A map of whole documents has their dominant topics in ``document_themes``."""
 
     themes: DataFrame
     volumes: DataFrame
     labels: DataFrame | None = None
     sections: DataFrame | None = None
+    document_themes: DataFrame | None = None
 
     def labelled_sections(self) -> DataFrame:
         if self.labels is None or self.sections is None:
@@ -84,7 +85,7 @@ def fit(
     stop_words: Sequence[str] = ENGLISH,
 ) -> Topics:
     """Vocabulary, staged TF-IDF vectors and topics of ``<keys..., content>``."""
-    ready = docs.withColumn("tokens", remove_stopwords(tokens(F.col("content")), stop_words)).drop("content")
+    ready = stage(docs.withColumn("tokens", remove_stopwords(tokens(F.col("content")), stop_words)).drop("content"), "tokens")
     vocab = features.Vocabulary.fit(ready, min_df, max_df, max_features)
     vectors = stage(features.tfidf_vectors(ready, vocab).drop("counts"), "tfidf")
     n_rows = vectors.count()
@@ -115,12 +116,20 @@ def news_theme_map(
     clean = docs.select("doc_id", normalize_text(F.col("content")).alias("content"))
     fitted = fit(clean, tokenize_words, 2, 0.5, n_topics, max_iter, seed=seed, stop_words=stop_words)
     points = _weights(fitted, "doc_id")
-    tree = clusters.fit_hierarchy(points, seed=seed)
-    best = clusters.select_k(clusters.score_cuts(points, tree, max_clusters)).first()
-    labelled = tree.labels(points, best.k)
+    labelled = _chosen_labels(points, max_clusters, seed, "doc_id")
     ranked = themes.cluster_themes_topic_mean(labelled, fitted.words(5), n_themes)
     named, volumes = _clustered_map(labelled, ranked, None)
-    return ThemeMap(named, volumes, labelled.select("doc_id", "cluster"), docs)
+    title = F.col("title") if "title" in docs.columns else F.concat(F.lit("Document "), F.col("doc_id"))
+    whole = docs.select("doc_id", title.alias("title"), "content", F.lit(0).alias("position"))
+    dominant = topics.document_theme(labelled, fitted.words(5)).select("doc_id", "topic", "theme")
+    return ThemeMap(named, volumes, labelled.select("doc_id", "cluster"), whole, dominant)
+
+
+def _chosen_labels(points: DataFrame, max_clusters: int, seed: int, key: str) -> DataFrame:
+    """Staged ``points`` with the hierarchy's clusters, their number chosen by silhouette."""
+    tree = clusters.fit_hierarchy(points, clusters.micro_for(max_clusters), seed, key=key)
+    best = clusters.select_k(clusters.score_cuts(points, tree, max_clusters)).first()
+    return stage(tree.labels(points, best.k), "labels")
 
 
 def _sections_map(
@@ -134,7 +143,7 @@ def _sections_map(
     k = features.clamp_clusters(fitted.n_rows, n_clusters)
     start = clusters._vectors_of(clusters.sample_rows(points, k, seed, "_key"), "w")
     used, _ = clusters.kmeans_lloyd(points, start)
-    labelled = clusters.assign_nearest(points, used)
+    labelled = stage(clusters.assign_nearest(points, used), "labels")
     ranked = themes.cluster_themes_weighted(labelled, fitted.words(10), n_themes)
     named, volumes = _clustered_map(labelled, ranked, k)
     return ThemeMap(named, volumes, labelled.select("doc_id", "position", "cluster"), parts)
@@ -153,7 +162,7 @@ def chunk_theme_map(
     stop_words: Sequence[str] = ENGLISH,
 ) -> ThemeMap:
     """Books ``<doc_id, content>``: overlapping chunks of sentences, k-means groups, quality scores."""
-    parts = sections.text_sections(docs, chunk_size, overlap, min_chunk_size)
+    parts = stage(sections.text_sections(docs, chunk_size, overlap, min_chunk_size), "sections")
     return _sections_map(parts, n_clusters, 0.95, n_themes, n_topics, max_iter, seed, stop_words)
 
 
@@ -162,7 +171,8 @@ def scripture_sections(docs: DataFrame, heading: str, size: int = 10) -> DataFra
     span = docs.select("doc_id", extract_span(F.col("content")).alias("content"))
     parts = sections.split_headings(span, heading)
     cut = sections.verse_sections(parts, size)
-    return cut.withColumn("position", F.col("part") * 1_000_000 + F.col("position"))
+    # Both numbers are ints, so a part can't run into the next one.
+    return cut.withColumn("position", F.col("part").cast("bigint") * (1 << 32) + F.col("position"))
 
 
 def verse_theme_map(
@@ -176,7 +186,8 @@ def verse_theme_map(
     stop_words: Sequence[str] = ENGLISH,
 ) -> ThemeMap:
     """Scripture ``<doc_id, content>``: sections of ten verses, k-means groups."""
-    return _sections_map(scripture_sections(docs, heading), n_clusters, 0.95, n_themes, n_topics, max_iter, seed, stop_words)
+    parts = stage(scripture_sections(docs, heading), "sections")
+    return _sections_map(parts, n_clusters, 0.95, n_themes, n_topics, max_iter, seed, stop_words)
 
 
 def verse_hierarchy_map(
@@ -190,12 +201,10 @@ def verse_hierarchy_map(
     stop_words: Sequence[str] = ENGLISH,
 ) -> ThemeMap:
     """Scripture as above with hierarchical groups, their number chosen by silhouette."""
-    parts = require_nonempty(scripture_sections(docs, heading))
+    parts = require_nonempty(stage(scripture_sections(docs, heading), "sections"))
     fitted = fit(parts.select("doc_id", "position", "content"), tokenize_alpha, 2, 0.5, n_topics, max_iter, seed=seed, stop_words=stop_words)
-    points = _weights(fitted, "doc_id", "position")
-    tree = clusters.fit_hierarchy(points, seed=seed)
-    best = clusters.select_k(clusters.score_cuts(points, tree, max_clusters)).first()
-    labelled = tree.labels(points, best.k)
+    points = _weights(fitted, "doc_id", "position").withColumn("_key", F.struct("doc_id", "position"))
+    labelled = _chosen_labels(points, max_clusters, seed, "_key")
     ranked = themes.cluster_themes_weighted(labelled, fitted.words(10), n_themes)
     named, volumes = _clustered_map(labelled, ranked, None)
     return ThemeMap(named, volumes, labelled.select("doc_id", "position", "cluster"), parts)
@@ -203,16 +212,20 @@ def verse_hierarchy_map(
 
 def category_theme_map(
     docs: DataFrame, n_themes: int = 50, n_topics: int = 10, max_iter: int = 200, seed: int = 42,
-    stop_words: Sequence[str] = ENGLISH,
+    stop_words: Sequence[str] = ENGLISH, bounds: tuple[int, float] | None = None,
 ) -> ThemeMap:
-    """Documents ``<doc_id, category, headline, content>`` grouped by their category."""
+    """Documents ``<doc_id, category, headline, content>`` grouped by their category.
+
+    ``bounds`` are the least document count and the largest document share of a term; without them they follow the corpus size.
+    """
     require_columns(docs, ["category", "headline", "content"])
+    refuse_value(docs, "category", themes.GLOBAL)
     prepared = prepare_documents(docs)
     n_docs = prepared.count()
     fitted = fit(
         prepared.select("doc_id", "category", "content"),
         tokenize_alpha,
-        *features.adaptive_bounds(n_docs),
+        *(bounds or features.adaptive_bounds(n_docs)),
         n_topics,
         max_iter,
         seed=seed,
@@ -234,6 +247,7 @@ def category_theme_map(
 
 def category_prompts(docs: DataFrame, span: int = 64) -> DataFrame:
     """Prompts for the whole corpus (``global``) and for each category of ``<doc_id, category, content>``."""
+    refuse_value(docs, "category", themes.GLOBAL)
     whole = sections.concat_group_text(docs.withColumn("grp", F.lit(themes.GLOBAL)), ["grp"], span)
     split = sections.concat_group_text(docs.withColumnRenamed("category", "grp"), ["grp"], span)
     return responses.prompt_table(whole.unionByName(split))
@@ -241,6 +255,7 @@ def category_prompts(docs: DataFrame, span: int = 64) -> DataFrame:
 
 def response_theme_map(docs: DataFrame, answers: DataFrame) -> ThemeMap:
     """Themes merged from a response table, volumes from the words of each category."""
+    refuse_value(docs, "category", themes.GLOBAL)
     keys = [c for c in ("grp", "perspective", "segment") if c in answers.columns]
     chosen = responses.first_valid_attempt(responses.validate_responses(answers), keys)
     return ThemeMap(responses.merge_perspectives(chosen), stats.category_volume_records(docs))

@@ -28,6 +28,7 @@ def local_session(cores: int | None = None, memory: str = "12g", app: str = "the
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.files.maxPartitionBytes", str(4 * 1024 * 1024))
         .config("spark.sql.files.openCostInBytes", str(256 * 1024))
+        .config("themeloom.scanPartitions", str(n))
         .getOrCreate()
     )
 
@@ -100,12 +101,9 @@ def clear_staging(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on a scan of a few small files; a large scan is left as it is.
+    """``df`` in as many partitions as the session setting ``themeloom.scanPartitions`` says; unchanged without it.
 
-    A file of one row group is read by one task however many splits it has. Only scans of at most four splits
-    per core are looked at, so what moves is bounded by the cluster's size, not by the corpus.
+    A file of one row group is read by one task however many splits it has. The caller knows whether files are such.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    parts = df.sparkSession.conf.get("themeloom.scanPartitions", None)
+    return df.repartition(int(parts), *keys) if parts else df

@@ -24,6 +24,13 @@ def require_nonempty(df: DataFrame, what: str = "sections") -> DataFrame:
     return df
 
 
+def refuse_value(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The frame itself, or an error when ``column`` has a value that stands for something else in the result."""
+    if not df.where(F.col(column) == value).isEmpty():
+        raise ValueError(f"{column} must not be {value!r}, which names the whole corpus")
+    return df
+
+
 def prepare_documents(docs: DataFrame, strip_refs: bool = True) -> DataFrame:
     """Null content becomes '', ``word_count`` is added and documents without words are dropped.
 

@@ -16,14 +16,22 @@ def refresh_changed(texts: DataFrame, manifest: DataFrame) -> DataFrame:
     A source that could not be read (null text) is not taken: its cached copy stays in use.
     """
     current = fingerprint(texts.where("text is not null"))
-    return current.join(manifest.select("source", "content_hash"), ["source", "content_hash"], "left_anti")
+    # Only names and hashes are joined to the manifest; the texts of changed sources follow.
+    names = current.select("source", "content_hash").distinct()
+    changed = names.join(manifest.select("source", "content_hash"), ["source", "content_hash"], "left_anti")
+    return current.join(changed, ["source", "content_hash"], "left_semi")
 
 
 def manifest_upsert(manifest: DataFrame, changed: DataFrame, now: Column | None = None) -> DataFrame:
     """The manifest with the changed sources replaced or added."""
     stamp = F.current_timestamp() if now is None else now
-    fresh = changed.select("source", "content_hash", stamp.cast("timestamp").alias("last_updated"))
-    return manifest.join(fresh.select("source"), "source", "left_anti").unionByName(fresh)
+    fresh = changed.groupBy("source").agg(F.max("content_hash").alias("_hash"))
+    merged = manifest.join(fresh, "source", "full_outer")
+    return merged.select(
+        "source",
+        F.coalesce("_hash", "content_hash").alias("content_hash"),
+        F.when(F.col("_hash").isNotNull(), stamp.cast("timestamp")).otherwise(F.col("last_updated")).alias("last_updated"),
+    )
 
 
 def current_texts(cached: DataFrame, changed: DataFrame) -> DataFrame:

@@ -2,54 +2,71 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from themeloom import schemas
-from themeloom.functions.text import source_id
-from themeloom.sources.checks import require_columns
+from themeloom.sources.checks import split_rejects
 
 
-def _delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_line: bool) -> DataFrame:
-    """The columns of ``schema``, found by their names in the header; other columns of the files are not parsed.
+def scan_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """The columns of ``schema``, found by their names in the header, with ``reject_reason`` and ``record``.
 
-    Columns are never inferred from the data: only the header line is read ahead.
+    Columns are never inferred from the data: only the header line is read ahead. A line with more fields than
+    the header, or with a value that its column's type can't hold, has a reason; the others have null. ``record`` has the line's fields, up to
+    the first one too many. Fields missing at the end of a line are null, as Spark reads them. No line ends the scan or is lost.
     """
-    found = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
-    require_columns(found, schema.names)
-    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    form = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(**form).csv(path).columns
+    if missing := [c for c in schema.names if c not in header]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    more = "_more"
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in [*header, more]])
+    found = spark.read.options(**form).schema(texts).csv(path)
+    bad_value = [F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull() for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    rules = {"too many fields": F.col(more).isNotNull()}
+    if bad_value:
+        rules["value of another type"] = reduce(lambda a, b: a | b, bad_value)
+    values = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    record = F.concat_ws(sep, *[F.col(f"`{c}`") for c in texts.names]).alias("record")
+    return split_rejects(found, rules).select(*values, "reject_reason", record)
+
+
+def accepted(scanned: DataFrame) -> DataFrame:
+    """The good rows of a checked scan."""
+    return scanned.where("reject_reason IS NULL").drop("reject_reason", "record")
 
 
 def scan_tsv(spark: SparkSession, path: str, schema: T.StructType = schemas.DOCUMENTS, multi_line: bool = False) -> DataFrame:
-    """Tab-separated documents with a header. One record per line keeps large files splittable."""
-    return _delimited(spark, path, schema, "\t", multi_line)
+    """Good rows of tab-separated documents with a header. One record per line keeps large files splittable."""
+    return accepted(scan_checked(spark, path, schema, "\t", multi_line))
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.DOCUMENTS, multi_line: bool = True) -> DataFrame:
-    """Comma-separated documents with quoted multi-line text.
+    """Good rows of comma-separated documents with quoted multi-line text.
 
     A file with line breaks inside quotes cannot be split, so a corpus should come in many files.
     """
-    return _delimited(spark, path, schema, ",", multi_line)
+    return accepted(scan_checked(spark, path, schema, ",", multi_line))
 
 
 def scan_wholetext(spark: SparkSession, path: str) -> DataFrame:
-    """``<source, text>``: one row per file."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(
-        source_id(F.col("_metadata.file_path"), F.lit(None).cast("string")).alias("source"),
-        F.col("value").alias("text"),
-    )
+    """``<source, text>``: one row per file.
+
+    The source is the file's path below ``path`` without its suffix: the stem for a flat folder, and different for files of
+    equal names in different folders.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
+    # Paths come URL-encoded, but a plus sign is itself.
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = F.when(F.contains(whole, F.lit(root + "/")), F.substring_index(whole, root + "/", -1)).otherwise(F.substring_index(whole, "/", -1))
+    source = F.regexp_replace(below, r"(?<=[^/])\.[^./]*$", "")
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(source.alias("source"), F.col("value").alias("text"))
 
 
 def scan_summary(spark: SparkSession, path: str, by_cluster: bool = False) -> DataFrame:
     """Word-frequency summaries, overall or by cluster."""
     schema = schemas.CLUSTER_SUMMARY if by_cluster else schemas.GLOBAL_SUMMARY
-    return _delimited(spark, path, schema, ",", False)
+    return accepted(scan_checked(spark, path, schema))
