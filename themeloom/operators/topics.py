@@ -257,7 +257,8 @@ def fit_topics(
     """Factorise the packed rows ``<indices, values>`` as weights times topics under Frobenius loss.
 
     ``vectors`` is read once per round: pass a staged table (``session.stage``). Stops after ``max_iter``
-    rounds or when the projected gradient of the topics has fallen to ``tol`` of its first value.
+    rounds, or earlier when it has converged: when the projected gradient of the topics has fallen to ``tol`` of its first
+    value, or a round (which solves all row weights exactly) lowers the loss by less than ``tol`` of the first loss.
     """
     if not 0 < n_topics <= MAX_TOPICS or n_terms > MAX_VOCABULARY or n_topics * n_terms > MAX_CELLS:
         raise ValueError(f"at most {MAX_TOPICS} topics, {MAX_VOCABULARY} terms and {MAX_CELLS} topic-term weights")
@@ -292,7 +293,8 @@ def fit_topics(
         slope = ww @ h - wx
         violation = float(np.abs(np.where(h > 0, slope, np.minimum(slope, 0.0))).sum())
         first = violation if first is None else first
-        if violation <= tol * max(first, TINY):
+        settled = len(losses) > 1 and losses[-2] - losses[-1] < tol * losses[0]
+        if settled or violation <= tol * max(first, TINY):
             break
         h = nonnegative_least_squares(wx.T, ww, sweeps=20, start=h.T).T
     return TopicModel(h, tuple(losses))
