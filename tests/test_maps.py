@@ -238,3 +238,46 @@ def test_responses_map_and_prompts(stories):
     answers = prompts.withColumns({"attempt": F.lit(1), "response": F.lit('[["Grace", 0.5]]')}).drop("prompt")
     result = theme_maps.response_theme_map(checks.prepare_documents(stories), answers)
     assert {(r.grp, r.word) for r in result.themes.collect()} == {(g, "grace") for g in ("global", "sport", "money", "music")}
+
+
+def test_sections_of_a_news_map_have_titles(spark, docs):
+    result = theme_maps.news_theme_map(docs(*[f"river boat water {'stone' if i % 2 else 'sail'} w{i % 5}" for i in range(12)]), max_clusters=4, n_topics=3)
+    rows = result.labelled_sections().collect()
+    assert len(rows) == 12 and {r.title for r in rows} == {f"Document {i}" for i in range(12)}
+    assert result.document_themes.count() == 12
+
+
+def test_parts_beyond_the_range_of_an_int(spark, docs):
+    text = "The Old Testament\n" + "\n".join(f"BOOK OF P{i}\n1:1 in the beginning" for i in range(2300))
+    found = theme_maps.scripture_sections(docs(text), "BOOK OF [A-Z0-9]+")
+    assert found.count() == found.select("position").distinct().count() > 2200
+
+
+def test_a_category_named_like_the_whole_is_refused(spark):
+    bad = spark.createDataFrame([(1, "global", "h", "some words")], "doc_id long, category string, headline string, content string")
+    with pytest.raises(ValueError, match="global"):
+        theme_maps.category_theme_map(bad)
+
+
+def test_broken_lines_are_kept_aside(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("doc_id\tcategory\theadline\tcontent\n1\ta\tb\tfine\nx\ta\tb\tbad id\n3\ta\tb\ttoo\tmany\n4\ta\n")
+    checked = readers.scan_checked(spark, str(tmp_path), schemas.DOCUMENTS, "\t")
+    assert sorted((r.reject_reason or "", r.content or "") for r in checked.collect()) == [
+        ("", ""), ("", "fine"), ("too many fields", "too"), ("value of another type", "bad id"),
+    ]
+    assert {r.doc_id for r in readers.scan_tsv(spark, str(tmp_path)).collect()} == {1, 4}
+
+
+def test_sources_of_equal_names_stay_apart(spark, tmp_path):
+    for folder in ("a b", "c+d"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "my book.v1.txt").write_text(folder)
+    got = {r.source: r.text for r in readers.scan_wholetext(spark, str(tmp_path)).collect()}
+    assert got == {"a b/my book.v1": "a b", "c+d/my book.v1": "c+d"}
+
+
+def test_a_source_changed_twice_is_one_row(spark):
+    old = spark.createDataFrame([("s", "h0", None), ("t", "h", None)], "source string, content_hash string, last_updated timestamp")
+    new = spark.createDataFrame([("s", "h1"), ("s", "h2"), ("u", "h3")], "source string, content_hash string")
+    rows = manifest.manifest_upsert(old, new).collect()
+    assert sorted((r.source, r.content_hash) for r in rows) == [("s", "h2"), ("t", "h"), ("u", "h3")]

@@ -270,3 +270,34 @@ def test_top_rows_agrees_with_a_plain_sort(spark):
     assert got == [tuple(r) for r in df.orderBy(F.desc("v"), "id").limit(40).collect()]
     with pytest.raises(ValueError):
         ranking.bounded(df, 10, "rows")
+
+
+@pytest.mark.parametrize("n", [32, 33])
+def test_one_hierarchy_path_for_every_size(spark, n):
+    """As many points as micro-centers, and one more, take the same path and agree where the groups are clear."""
+    rng = np.random.default_rng(n)
+    rows = [(i, (rng.standard_normal(3) * 0.01 + 10 * (i % 4)).tolist()) for i in range(n)]
+    points = spark.createDataFrame(rows, "doc_id long, w array<double>")
+    tree = clusters.fit_hierarchy(points, micro=32)
+    assert tree.weights.sum() == n and tree.size <= 32
+    groups = {}
+    for r in tree.labels(points, 4).collect():
+        groups.setdefault(r.cluster, set()).add(r.doc_id % 4)
+    assert sorted(map(sorted, groups.values())) == [[0], [1], [2], [3]]
+
+
+def test_more_clusters_than_micro_centers(spark):
+    rng = np.random.default_rng(1)
+    points = spark.createDataFrame([(i, rng.standard_normal(3).tolist()) for i in range(60)], "doc_id long, w array<double>")
+    with pytest.raises(ValueError, match="20 clusters from 8"):
+        clusters.fit_hierarchy(points, micro=8).cut(20)
+    assert clusters.hierarchical_labels(points, 20).select("cluster").distinct().count() == 20
+
+
+def test_narrowing_keeps_all_that_can_be_on_top(spark):
+    df = spark.range(30000).select("id", (F.col("id") % 997 + 1).alias("v"))
+    narrow = ranking.at_least_top(df, "v", 5000)
+    assert narrow.count() < 7000
+    want = [tuple(r) for r in df.orderBy(F.desc("v"), "id").limit(5000).collect()]
+    assert [tuple(r) for r in ranking.top_rows(narrow, [F.desc("v"), "id"], 5000).collect()] == want
+    assert ranking.at_least_top(df.limit(0), "v", 10).count() == 0

@@ -123,13 +123,10 @@ def calinski_harabasz(labelled: DataFrame, value: str = "w") -> DataFrame:
 def center_distances(labelled: DataFrame, value: str = "w") -> DataFrame:
     """``<cluster, n, mean, spread>``: spread is the mean distance of a cluster's rows to their mean.
 
-    Up to ``MAX_CENTERS`` means are counted first and then broadcast, so the rows do not move. More
-    clusters than that are joined by a shuffle.
+    The means are counted first and then broadcast, so the rows do not move and a large cluster is no hot key. More
+    than ``MAX_CENTERS`` clusters are an error, as everywhere in this module.
     """
-    means = cluster_means(labelled, value)
-    rows = means.limit(MAX_CENTERS + 1).collect()
-    if len(rows) <= MAX_CENTERS:
-        means = F.broadcast(labelled.sparkSession.createDataFrame(rows, means.schema))
+    means = F.broadcast(bounded(cluster_means(labelled, value), MAX_CENTERS, "clusters"))
     near = labelled.select("cluster", F.col(value).alias("_x")).join(means, "cluster")
     return near.groupBy("cluster").agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.avg(_distance("_x", "mean")).alias("spread")

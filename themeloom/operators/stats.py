@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from themeloom.functions.text import split_words
 from themeloom.operators.ranking import top_n_per_group
+from themeloom.session import stage
 
 
 def words_by_category(docs: DataFrame) -> DataFrame:
@@ -88,6 +89,7 @@ def category_volume_records(docs: DataFrame, max_categories: int = 100_000) -> D
     sizes = docs.groupBy("category").agg(
         F.min("doc_id").alias("first_doc"), F.sum("word_count").alias("volume")
     )
+    sizes = stage(sizes, "category-sizes")  # read three times below, counted once
     listed = F.transform(
         F.array_sort(F.collect_list(F.struct("first_doc", "volume"))), lambda s: s["volume"]
     )

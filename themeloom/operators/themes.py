@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from themeloom.functions.text import clean_theme_word, term_counts
 from themeloom.operators.quality import cluster_volumes, largest_cluster
-from themeloom.operators.ranking import bounded, by_score, dedup_keep_max, top_n_per_group
+from themeloom.operators.ranking import RANK_DIGITS, bounded, by_score, dedup_keep_max, top_n_per_group
+from themeloom.session import stage
 
 GLOBAL = "global"
 MAX_WORDS = 50_000  # topics times words per topic
@@ -64,23 +65,29 @@ def cluster_themes_weighted(points: DataFrame, words: DataFrame, n_themes: int =
 def _tfidf_themes(rows: DataFrame, sizes: DataFrame, words: DataFrame, n_themes: int, keys: list[str]) -> DataFrame:
     """Mean TF-IDF of each topic word over a group (zeros counted) times its topic weight.
 
-    ``sizes <keys..., n_docs>`` has one row per group. The topic words are a bounded array beside it, so a
-    word that a group never uses is listed with score 0; TF-IDF cells of other words are dropped before
-    the aggregate.
+    ``sizes <keys..., n_docs>`` has one row per group. Only cells of topic words, a bounded broadcast table, reach the
+    aggregate, and only words with a score are ranked. A group that has fewer than ``n_themes`` of them is filled up
+    with the first other topic words by name, score 0.
     """
     words = bounded(words.select("term_id", "word", "weight"), MAX_WORDS, "topic words")
-    ids = sorted({r.term_id for r in words.select("term_id").collect()})
-    mass = rows.where(F.col("term_id").isin(ids)).groupBy(*keys, "term_id").agg(F.sum("tfidf").alias("mass"))
-    listed = words.agg(F.collect_list(F.struct("term_id", "word", "weight"))).scalar()
-    cells = sizes.select("*", F.inline(listed)).join(mass, [*keys, "term_id"], "left")
-    clean = cells.select(
-        *keys,
-        clean_theme_word(F.col("word")).alias("word"),
-        (F.coalesce("mass", F.lit(0.0)) / F.col("n_docs") * F.col("weight")).alias("score"),
-    ).where("word is not null")
-    best = dedup_keep_max(clean, [*keys, "word"])
-    ranked = top_n_per_group(best, keys, [by_score("score"), "word"], n_themes)
-    return ranked.select(*keys, "rank", "word", "score")
+    words = words.withColumn("word", clean_theme_word(F.col("word"))).where("word is not null")
+    used = rows.join(F.broadcast(words.select("term_id").distinct()), "term_id", "left_semi")
+    mass = used.groupBy(*keys, "term_id").agg(F.sum("tfidf").alias("mass")).join(F.broadcast(words), "term_id")
+    size = F.col("n_docs") if keys else sizes.select("n_docs").scalar()
+    placed = mass.join(sizes, keys) if keys else mass
+    scored = placed.select(*keys, "word", (F.col("mass") / size * F.col("weight")).alias("score"))
+    best = dedup_keep_max(scored, [*keys, "word"]).where(F.round("score", RANK_DIGITS) > 0)
+    ranked = top_n_per_group(best, keys, [by_score("score"), "word"], n_themes).select(*keys, "rank", "word", "score")
+    ranked = stage(ranked, "themes")
+
+    names = words.agg(F.slice(F.sort_array(F.collect_set("word")), 1, 2 * n_themes)).scalar()
+    have = F.collect_list("word").alias("have")
+    groups = sizes.select(*keys).join(ranked.groupBy(*keys).agg(have), keys, "left") if keys else ranked.agg(have)
+    counted = groups.select(*keys, F.coalesce("have", F.array().cast("array<string>")).alias("have"), names.alias("names"))
+    short = counted.where(F.size("have") < n_themes)
+    more = F.filter("names", lambda w: ~F.array_contains(F.col("have"), w))
+    filled = short.select(*keys, F.size("have").alias("n"), F.posexplode(F.slice(more, 1, n_themes - F.size("have"))).alias("pos", "word"))
+    return ranked.unionByName(filled.select(*keys, (F.col("n") + F.col("pos") + 1).alias("rank"), "word", F.lit(0.0).alias("score")))
 
 
 def global_themes_tfidf(rows: DataFrame, sizes: DataFrame, words: DataFrame, n_themes: int = 50) -> DataFrame:
