@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 SLICE_BYTES = 4 << 20
 HASH_MEMO = 400_000
@@ -125,7 +125,9 @@ def bounded_sample(rows: DataFrame, key: str, most: int, parts: int = 8) -> Data
     rows = stage(rows, "labelled")
     share = min(1.0, most / max(1, rows.count()))
     chosen = rows.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(bound)) < int(share * bound))
-    return stage(chosen.coalesce(parts), "sample")
+    sample = stage(chosen.coalesce(parts), "sample")
+    drop_staged(rows)
+    return sample
 
 
 def offsets(counts: np.ndarray) -> np.ndarray:

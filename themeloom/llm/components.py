@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,16 +27,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         best = ends.groupBy("v").agg(F.min(_ranked("w", n)).alias("best"))
         moves = best.select("v", F.least("best", _ranked("v", n)).getField("id").alias("to"))
         moves = stage(moves.where("v <> to"), "moves")
+        before = edges, vertices, moves
         vertices = stage(
             vertices.join(moves.withColumnRenamed("v", "now"), "now", "left").select("v", F.coalesce("to", "now").alias("now")),
             "vertices",
         )
         edges = stage(_moved(_moved(edges, moves, "a"), moves, "b").where("a <> b").distinct(), "edges")
+        drop_staged(*before)
         left = not edges.isEmpty()
     if left:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     least = vertices.groupBy("now").agg(F.min("v").alias("component"))
-    return stage(vertices.join(least, "now").select("v", "component"), "components")
+    components = stage(vertices.join(least, "now").select("v", "component"), "components")
+    drop_staged(edges, vertices)
+    return components
 
 
 def _ranked(vertex: str, n: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import table
 from themeloom.llm.components import connected_components
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 COSINE = 0.9
 TILE = 4096
@@ -226,6 +226,7 @@ def cosine_groups(
         sides.append(sent.select(*[F.col(c).alias(f"{side}_{c}") for c in ("pair", "rep", "n", "v", "tile")]).groupBy(f"{side}_pair"))
     found = sides[0].cogroup(sides[1]).applyInArrow(_compare(width, axes, cosine), "rep bigint, links bigint, root bigint")
     found = stage(found, "links")
+    drop_staged(tiled, pairs)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = distinct.select("v", "n", "least", "rep").join(links, "rep", "left").join(components.withColumnRenamed("v", "rep"), "rep", "left")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import WordHashes, crc_mod, mixed, offsets, slices, table, text_bytes, words_of
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 FOLDS = 10
 SMOOTHING = 0.1
@@ -155,6 +155,7 @@ def fit_weights(counts: DataFrame, outcome_counts: np.ndarray, rounds: int = ROU
         cut = weights.classes.size
         seen, expected = (Weights(f[:cut].reshape(weights.classes.shape), f[cut:].reshape(weights.words.shape)) for f in flat)
         weights.update(seen, expected)
+    drop_staged(spread)
     return weights
 
 

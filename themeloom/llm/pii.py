@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import expanded, offsets, slices, table
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH = 64
@@ -386,6 +386,7 @@ def fit_tagger(docs: DataFrame, most: int = MAX_WINDOWS, epochs: int = EPOCHS) -
         # Equal windows have equal hashes: a window that is repeated everywhere is taken once.
         chosen.append(part.select("codes", "tags").distinct())
     rows = sorted((r["codes"], r["tags"]) for part in chosen for r in part.collect())
+    drop_staged(windows)
     if not rows:
         return None
     tagger = Tagger.start()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, decontaminate, embedding_dedup, html_text, maxent_lm, pii, quality, simhash, substring_dedup, url_filter
+from themeloom.llm import bpe, decontaminate, embedding_dedup, html_text, maxent_lm, oracles, pii, quality, simhash, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxent_lm": maxent_lm.op1_maxent_lm,
@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+# The other queries carry what a trained model gives, or hashes that SQL lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op4_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    "op6_decontaminate": oracles.DECONTAMINATE,
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+}
