@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from themeloom import schemas
 from themeloom.plans import theme_maps
-from themeloom.session import spread
+from themeloom.session import clear_staging, spread, stage
 from themeloom.sources import readers
 
 
 def _with_id(df: DataFrame) -> DataFrame:
-    """Number the documents by file and position; equal documents stay separate documents."""
-    return spread(df.withColumn("doc_id", F.monotonically_increasing_id()), "doc_id")
+    """Number the documents; equal documents stay separate documents. The numbers are staged, so every later pass sees the same ones."""
+    return spread(stage(df.withColumn("doc_id", F.monotonically_increasing_id()), "documents"), "doc_id")
 
 
 def main() -> None:
@@ -63,6 +63,7 @@ def main() -> None:
             result = plan(docs, args.heading, **options)
     result.write(f"{args.output}/tables")
     result.export_json(f"{args.output}/page", scalar_volumes=args.kind in ("news", "verse-tree"))
+    clear_staging(spark)
     spark.stop()
 
 
