@@ -29,8 +29,8 @@ SPANS = "array<struct<first:int,n:int>>"
 def chunk_spans(lengths: Column, chunk_size: int, overlap: int, min_chunk_size: int) -> Column:
     """Sentence ranges of the overlapping chunks of one document.
 
-    The fold over the sentences depends on its own last cut, which no built-in expression does well.
-    It needs only the sentence lengths, so the text itself stays in the JVM.
+    The fold over the sentences depends on its own last cut, which no built-in expression does well; every cut is a
+    search in the running sum of lengths. It needs only the sentence lengths, so the text itself stays in the JVM.
     """
 
     @F.arrow_udf(SPANS)
@@ -44,12 +44,18 @@ def chunk_spans(lengths: Column, chunk_size: int, overlap: int, min_chunk_size:
             # the earliest sentence an overlap that ends before sentence i can reach back to
             reach = np.searchsorted(total, total - overlap, side="left")
             first, n = 0, hi - lo
-            for i in range(n):
-                held = total[i] - total[first]
-                if held >= min_chunk_size and held + lens[lo + i] > chunk_size:
-                    firsts.append(first)
-                    sizes.append(i - first)
-                    first = max(first, int(reach[i]))
+            cut = 0
+            while True:
+                # the first sentence that is past the least size and would make the chunk too long
+                enough = np.searchsorted(total, total[first] + min_chunk_size, side="left")
+                over = np.searchsorted(total, total[first] + chunk_size, side="right") - 1
+                cut = max(cut, int(enough), int(over))
+                if cut >= n:
+                    break
+                firsts.append(first)
+                sizes.append(cut - first)
+                first = max(first, int(reach[cut]))
+                cut += 1
             if n and total[n] - total[first] >= min_chunk_size:
                 firsts.append(first)
                 sizes.append(n - first)
