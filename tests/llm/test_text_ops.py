@@ -75,6 +75,15 @@ def test_lm_rounds_raise_the_likelihood(spark):
     assert losses[1] < losses[0]
 
 
+def test_lm_learns_contexts_of_all_held_words(spark, texts):
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(3000)]
+    made = [f"a{i % 300} b{(i + (i % 2 if out else 0)) % 300}" for i, out in enumerate(held)]
+    filler = " ".join(f"f{k}" for k in range(300))  # more frequent than the words above
+    found = {r.id: r for r in maxent_lm.score_texts(texts(*made, *[filler] * 40)).collect()}
+    gains = [[found[i].score - found[i].base_score for i, out in enumerate(held) if out and i % 2 == odd] for odd in (0, 1)]
+    assert np.mean(gains[0]) > np.mean(gains[1]) + 0.3  # words that were seen together, and words that were not
+
+
 # --- html -------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>

@@ -1,10 +1,11 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-The probability of a word given the two words before it is that of its class times that of the word in its class. Both are softmax
-models over hashed features: a bias, the word before, the pair before and the word before that (a skip). The most frequent words
-have outcomes of their own; the rest share one outcome and are told apart by their smoothed counts, so that the model is a
-distribution over all words. The sufficient statistics, the counts of (pair before, word), are a Spark aggregate whose size
-depends on the number of outcomes, not on the corpus. Gradients of all training words are therefore cheap sums over that table.
+The probability of a word given the two words before it is that of its class times that of the word in its class. The classes hold
+words of about equal total counts; a class is again split into two parts of about equal counts, and so on, down to single words.
+All choices are softmax models over hashed features: a bias, the word before, the pair before and the word before that (a skip).
+All words that are broadcast have outcomes of their own; the rarer rest share one outcome and are told apart by their smoothed counts,
+so that the model is a distribution over all words. The sufficient statistics, the counts of (pair before, word), are a Spark aggregate
+that grows with the corpus. Gradients of all training words are sums over that table.
 """
 
 from __future__ import annotations
@@ -19,19 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import WordHashes, crc_mod, mixed, offsets, slices, table, text_bytes, words_of
-from themeloom.session import drop_staged, stage
+from themeloom.session import drop_staged, released_shuffles, stage
 
 FOLDS = 10
 SMOOTHING = 0.1
 FREQUENT = 600_000
-CLASSES = 16
-PER_CLASS = 16
-OTHER = CLASSES * PER_CLASS - 1
-START = OTHER + 1
-CONTEXTS = (START + 1) ** 2
+CLASSES = 4
+# The outcome of words that are not held.
+OTHER = 255
+WORD_BITS = 20
+CONTEXTS = 1 << 2 * WORD_BITS
+MOST_HELD = 1 << WORD_BITS - 1 | 1 << WORD_BITS - 2
 CLASS_BUCKETS = 1 << 13
-WORD_BUCKETS = 1 << 15
-TRAIN_PARTS = 12
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 15, 1 << 20
 ROUNDS = 6
 RATE = 0.35
 PRIOR = 10.0
@@ -44,23 +45,16 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _features(contexts: np.ndarray) -> np.ndarray:
-    """Codes of the hashed features of each context (word before that * base + word before), one row per context."""
-    before2, before = np.divmod(contexts.astype(np.uint64), np.uint64(START + 1))
-    codes = np.stack([before + np.uint64(1 << 20), contexts.astype(np.uint64) + np.uint64(1 << 21), before2 + np.uint64(1 << 22)], axis=1)
-    return mixed(codes)
+    """Codes of the hashed features of each context (word before that << WORD_BITS | word before), one column per context."""
+    contexts = contexts.astype(np.uint64)
+    before, before2 = contexts & np.uint64((1 << WORD_BITS) - 1), contexts >> np.uint64(WORD_BITS)
+    return mixed(np.stack([before + np.uint64(1 << 60), contexts + np.uint64(1 << 61), before2 + np.uint64(1 << 62)]))
 
 
-def _class_rows(contexts: np.ndarray) -> np.ndarray:
+def _class_rows(features: np.ndarray) -> np.ndarray:
     """Rows of the class weights: 0 is the bias."""
-    hashed = 1 + _features(contexts) % np.uint64(CLASS_BUCKETS - 1)
-    return np.concatenate([np.zeros((len(contexts), 1), np.int64), hashed.astype(np.int64)], axis=1)
-
-
-def _word_rows(contexts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Rows of the word weights: the first ones are the classes' biases."""
-    salted = mixed(_features(contexts) + classes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
-    hashed = CLASSES + salted % np.uint64(WORD_BUCKETS - CLASSES)
-    return np.concatenate([classes.astype(np.int64)[:, None], hashed.astype(np.int64)], axis=1)
+    hashed = 1 + features % np.uint64(CLASS_BUCKETS - 1)
+    return np.concatenate([np.zeros((1, features.shape[1]), np.int64), hashed.astype(np.int64)])
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -68,48 +62,114 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+_PAIRS = 1 << 15
+
+
 @dataclass
 class Weights:
+    """Class ``c`` has the outcomes from ``first[c]`` to ``first[c + 1]``. A split is named by the first outcome of its right part;
+    ``after`` has the first split of each class, then of the left and right part of each split; 0 is a single word.
+    ``words`` has the bias of each split, then the hashed weights, all of going right.
+    """
+
     classes: np.ndarray
     words: np.ndarray
+    first: np.ndarray
+    after: np.ndarray
 
     @classmethod
-    def start(cls, counts: np.ndarray) -> Weights:
-        """Biases that give every outcome its share of ``counts``; all other weights are 0."""
-        weights = cls(np.zeros((CLASS_BUCKETS, CLASSES), np.float32), np.zeros((WORD_BUCKETS, PER_CLASS), np.float32))
-        by_class = (counts + SMOOTHING).reshape(CLASSES, PER_CLASS)
-        weights.classes[0] = np.log(by_class.sum(axis=1))
-        weights.words[:CLASSES] = np.log(by_class)
-        return weights
+    def start(cls, counts: np.ndarray, buckets: int = LEAST_BUCKETS) -> Weights:
+        """Biases that give every outcome its share of ``counts``; all other weights are 0. ``buckets`` is a power of two."""
+        size = len(counts)
+        mass = np.concatenate([[0.0], np.cumsum(counts + SMOOTHING)])
+        first = np.searchsorted(mass, mass[-1] * np.arange(CLASSES + 1) / CLASSES)
+        first[-1] = size
+        classes, words = np.zeros((CLASS_BUCKETS, CLASSES), np.float32), np.zeros(size + buckets, np.float32)
+        after = np.zeros(CLASSES + 2 * size, np.int32)
+        own = np.diff(mass[first])
+        classes[0] = np.where(own > 0, np.log(np.where(own > 0, own, 1.0)), -80.0)  # a class can be empty
+        low, high, place = first[:-1], first[1:], np.arange(CLASSES)
+        while len(low):
+            live = high - low > 1
+            low, high, place = low[live], high[live], place[live]
+            cut = np.clip(np.searchsorted(mass, (mass[low] + mass[high]) / 2), low + 1, high - 1)
+            after[place] = cut
+            words[cut] = np.log((mass[high] - mass[cut]) / (mass[cut] - mass[low]))
+            place = np.concatenate([CLASSES + 2 * cut, CLASSES + 2 * cut + 1])
+            low, high = np.concatenate([low, cut]), np.concatenate([cut, high])
+        return cls(classes, words, first, after)
+
+    @property
+    def outcomes(self) -> int:
+        return (len(self.after) - CLASSES) // 2
+
+    def zeros(self) -> Weights:
+        return Weights(np.zeros(self.classes.shape), np.zeros(self.words.shape), self.first, self.after)
+
+    def _class_of(self, outcomes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first[1:], outcomes, side="right")
+
+    def _class_logs(self, rows: np.ndarray) -> np.ndarray:
+        return _log_softmax(sum(np.take(self.classes, r, axis=0) for r in rows))
+
+    def _splits(self, features: np.ndarray, outcomes: np.ndarray, classes: np.ndarray) -> Iterator[tuple]:
+        """The way to each outcome inside its class: row numbers, weight places (one list per feature), whether it goes right, logits."""
+        at, split, size = np.arange(len(outcomes)), self.after[classes], self.outcomes
+        shift = np.uint64(64 - (len(self.words) - size).bit_length() + 1)
+        while True:
+            live = np.flatnonzero(split)
+            if not len(live):
+                return
+            if len(live) < len(at):
+                at, split, outcomes, features = at[live], split[live], outcomes[live], np.take(features, live, axis=1)
+            salted = (features ^ (split.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
+            places = [split, *(size + (salted >> shift).astype(np.int64))]
+            right = outcomes >= split
+            yield at, places, right, sum(np.take(self.words, p) for p in places)
+            split = np.take(self.after, CLASSES + 2 * split.astype(np.int64) + right)
+
+    def log_probability(self, contexts: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
+        """Natural logarithm for every pair of a context and an outcome."""
+        out = np.empty(len(contexts))
+        for cut in range(0, len(out), _PAIRS):
+            part = slice(cut, cut + _PAIRS)
+            features, own = _features(contexts[part]), outcomes[part]
+            classes = self._class_of(own)
+            logs = self._class_logs(_class_rows(features))[np.arange(len(own)), classes].astype(np.float64)
+            for at, _, right, x in self._splits(features, own, classes):
+                logs[at] -= np.logaddexp(0, np.where(right, -x, x))
+            out[part] = logs
+        return out
 
     def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
-        """Natural logarithms for every context and outcome."""
-        out = np.empty((len(contexts), CLASSES, PER_CLASS), np.float32)
-        by_class = _log_softmax(self.classes[_class_rows(contexts)].sum(axis=1))
-        for c in range(CLASSES):
-            rows = _word_rows(contexts, np.full(len(contexts), c))
-            out[:, c] = by_class[:, c, None] + _log_softmax(self.words[rows].sum(axis=1))
-        return out.reshape(len(contexts), -1)
-
-    def expectations(self, contexts: np.ndarray, outcomes: np.ndarray, n: np.ndarray) -> tuple[Weights, Weights]:
-        """Observed and expected sums of all features over counted (context, outcome) pairs."""
-        seen, expected = (Weights(np.zeros_like(self.classes), np.zeros_like(self.words)) for _ in range(2))
-        own, at = np.unique(contexts, return_inverse=True)
-        classes, words = np.divmod(outcomes, PER_CLASS)
-        per_class = np.zeros((len(own), CLASSES), np.float32)
-        np.add.at(per_class, (at, classes), n)
-        rows = _class_rows(own)
-        likely = np.exp(_log_softmax(self.classes[rows].sum(axis=1))) * per_class.sum(axis=1, keepdims=True)
-        pairs, pair_at = np.unique(at * CLASSES + classes, return_inverse=True)
-        per_word = np.zeros((len(pairs), PER_CLASS), np.float32)
-        np.add.at(per_word, (pair_at, words), n)
-        word_rows = _word_rows(own[pairs // CLASSES], pairs % CLASSES)
-        likely_words = np.exp(_log_softmax(self.words[word_rows].sum(axis=1))) * per_word.sum(axis=1, keepdims=True)
-        for column in range(rows.shape[1]):
-            np.add.at(seen.classes, rows[:, column], per_class)
-            np.add.at(expected.classes, rows[:, column], likely)
-            np.add.at(seen.words, word_rows[:, column], per_word)
-            np.add.at(expected.words, word_rows[:, column], likely_words)
+        """Natural logarithms for every context and all outcomes; for models of few outcomes."""
+        size = self.outcomes
+        return self.log_probability(np.repeat(contexts, size), np.tile(np.arange(size), len(contexts))).reshape(-1, size)
+
+    def expectations(
+        self, contexts: np.ndarray, outcomes: np.ndarray, n: np.ndarray, sums: tuple[Weights | None, Weights] | None = None
+    ) -> tuple[Weights | None, Weights]:
+        """Observed and expected sums of all features over counted (context, outcome) pairs, added to ``sums``; without
+        observed sums where these are ``None``.
+        """
+        seen, expected = sums or (self.zeros(), self.zeros())
+        for cut in range(0, len(n), _PAIRS):
+            part = slice(cut, cut + _PAIRS)
+            features, own, weight = _features(contexts[part]), outcomes[part], n[part].astype(np.float64)
+            classes, rows = self._class_of(own), _class_rows(features)
+            likely = np.exp(self._class_logs(rows)) * weight[:, None]
+            columns = np.arange(CLASSES)
+            for r in rows:
+                if seen:
+                    np.add.at(seen.classes.reshape(-1), r * CLASSES + classes, weight)
+                np.add.at(expected.classes.reshape(-1), (r[:, None] * CLASSES + columns).ravel(), likely.ravel())
+            for at, places, right, x in self._splits(features, own, classes):
+                there = weight[at]
+                likely = there / (1 + np.exp(-x))
+                for p in places:
+                    if seen:
+                        np.add.at(seen.words, p[right], there[right])
+                    np.add.at(expected.words, p, likely)
         return seen, expected
 
     def update(self, seen: Weights, expected: Weights, rate: float = RATE) -> None:
@@ -121,41 +181,51 @@ class Weights:
 _BLOCK = 1 << 15
 
 
-def _gradient(weights: Weights):
+def _gradient(shared, observed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(weights.classes.size + weights.words.size, np.float32) for _ in range(2)]
+        weights = Weights(**shared.value)
+        sums = weights.zeros() if observed else None, weights.zeros()
         for batch in batches:
             code, n = (batch.column(c).to_numpy() for c in ("code", "n"))
-            for part, sums in zip(weights.expectations(code // (OTHER + 1), code % (OTHER + 1), n.astype(np.float32)), total):
-                sums += np.concatenate([part.classes.ravel(), part.words.ravel()])
-        for block in range(0, len(total[0]), _BLOCK):
-            seen, expected = (pa.array([t[block : block + _BLOCK].tobytes()], pa.binary()) for t in total)
+            weights.expectations(code // weights.outcomes, code % weights.outcomes, n, sums)
+        total = [part and np.concatenate([part.classes.ravel(), part.words]).astype(np.float32) for part in sums]
+        for block in range(0, len(total[1]), _BLOCK):
+            seen, expected = (pa.array([b"" if t is None else t[block : block + _BLOCK].tobytes()], pa.binary()) for t in total)
             yield pa.RecordBatch.from_arrays([pa.array([block // _BLOCK]), seen, expected], ["block", "seen", "expected"])
 
     return run
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    sums = {k: np.sum([np.frombuffer(b, np.float32) for b in rows[k]], axis=0, dtype=np.float32).tobytes() for k in ("seen", "expected")}
+    sums = {k: np.sum([np.frombuffer(b, np.float32) for b in rows[k]], axis=0, dtype=np.float64).astype(np.float32).tobytes() for k in ("seen", "expected")}
     return pd.DataFrame({"block": rows["block"].iloc[:1], **{k: [v] for k, v in sums.items()}})
 
 
 def fit_weights(counts: DataFrame, outcome_counts: np.ndarray, rounds: int = ROUNDS) -> Weights:
     """Weights after ``rounds`` gradient steps over all counted pairs ``<code, n>`` (code: context * outcomes + outcome).
 
-    A task sums the features of its contexts, Spark adds up the sums in blocks; the weights have a fixed size.
+    A task sums the features of its pairs, Spark adds up the sums in blocks. There are as many hashed weights as distinct pairs, to a power
+    of two and between ``LEAST_BUCKETS`` and ``MOST_BUCKETS``, so that a task's sums fit its memory.
     """
-    weights = Weights.start(outcome_counts)
-    spread = stage(counts.repartition(TRAIN_PARTS, F.expr(f"code div {OTHER + 1}")), "pairs")
+    context = counts.sparkSession.sparkContext
+    pairs = stage(counts, "pairs")
+    buckets = 1 << max(1, pairs.count() - 1).bit_length()
+    weights = Weights.start(outcome_counts, min(max(buckets, LEAST_BUCKETS), MOST_BUCKETS))
+    spread = pairs.coalesce(2 * context.defaultParallelism)
+    cut, seen = weights.classes.size, None
     for _ in range(rounds):
-        parts = spread.mapInArrow(_gradient(weights), "block bigint, seen binary, expected binary")
-        sums = parts.groupBy("block").applyInPandas(_summed, parts.schema).collect()
-        by_block = sorted(sums, key=lambda r: r["block"])
-        flat = [np.frombuffer(b"".join(r[k] for r in by_block), np.float32) for k in ("seen", "expected")]
-        cut = weights.classes.size
-        seen, expected = (Weights(f[:cut].reshape(weights.classes.shape), f[cut:].reshape(weights.words.shape)) for f in flat)
-        weights.update(seen, expected)
-    drop_staged(spread)
+        shared = context.broadcast(vars(weights))
+        parts = spread.mapInArrow(_gradient(shared, seen is None), "block bigint, seen binary, expected binary")
+        with released_shuffles(counts.sparkSession):
+            sums = sorted(parts.groupBy("block").applyInPandas(_summed, parts.schema).collect(), key=lambda r: r["block"])
+        shared.destroy()
+        if not sums:
+            break
+        flat = [np.frombuffer(b"".join(r[k] for r in sums), np.float32) for k in ("seen", "expected")]
+        both = [f.size and Weights(f[:cut].reshape(weights.classes.shape), f[cut:], weights.first, weights.after) for f in flat]
+        seen = seen or both[0]  # does not depend on the weights
+        weights.update(seen, both[1])
+    drop_staged(pairs)
     return weights
 
 
@@ -207,11 +277,16 @@ class Vocabulary:
         hashes, n = held.column("word").to_numpy().view(np.uint64), held.column("n").to_numpy()
         by = np.argsort(hashes)
         hashes, n = hashes[by], n[by]
-        outcomes = np.full(len(n), OTHER, np.int16)
-        ranked = np.lexsort((hashes, -n, hashes != END))[:OTHER]  # the end of text first, then by count
-        outcomes[ranked] = np.arange(len(ranked))
+        outcomes = np.empty(len(n), np.int32)
+        ranks = np.arange(len(n))
+        outcomes[np.lexsort((hashes, -n, hashes != END))] = ranks + (ranks >= OTHER)  # the end of text first, then by count
         return cls(hashes, n, outcomes, sum(r["tokens"] for r in levels), sum(r["words"] for r in levels))
 
+    @property
+    def size(self) -> int:
+        """Number of outcomes."""
+        return max(OTHER, len(self.hashes)) + 1
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts (-1: not held) and outcomes of tokens."""
         words, of = np.unique(tokens, return_inverse=True)
@@ -221,20 +296,25 @@ class Vocabulary:
         held = self.hashes[at] == words
         return np.where(held, self.counts[at], -1)[of], np.where(held, self.outcomes[at], OTHER).astype(np.int64)[of]
 
+    def contexts(self, tokens: np.ndarray, outcomes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The context code before every token. Words that are not held are hashed to the numbers behind the outcomes and the start."""
+        start, last = self.size, np.uint64((1 << WORD_BITS) - self.size - 1)
+        words = np.where(outcomes == OTHER, start + 1 + (tokens % last).astype(np.int64), outcomes)
+        return _contexts(words, sizes, start)
+
     def others(self) -> tuple[int, int]:
         """Tokens and distinct words of the shared outcome."""
-        own = self.outcomes != OTHER
-        return self.tokens - int(self.counts[own].sum()), self.distinct - int(own.sum())
+        return self.tokens - int(self.counts.sum()), self.distinct - len(self.counts)
 
 
-def _contexts(outcomes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The context code before every token."""
+def _contexts(words: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """The two words before every token as one number; ``start`` stands before a text."""
     starts = offsets(sizes)[:-1]
-    before = np.concatenate([[START], outcomes[:-1]])[: len(outcomes)]
-    before[starts] = START
-    before2 = np.concatenate([[START], before[:-1]])[: len(outcomes)]
-    before2[starts] = START
-    return before2 * (START + 1) + before
+    before = np.concatenate([[start], words[:-1]])[: len(words)]
+    before[starts] = start
+    before2 = np.concatenate([[start], before[:-1]])[: len(words)]
+    before2[starts] = start
+    return before2 << WORD_BITS | before
 
 
 def _pair_counts(vocabulary):
@@ -243,7 +323,7 @@ def _pair_counts(vocabulary):
         for batch in slices(batches, "text"):
             tokens, sizes = _tokens(batch, memo)
             _, outcomes = known.look_up(tokens)
-            codes, n = np.unique(_contexts(outcomes, sizes) * (OTHER + 1) + outcomes, return_counts=True)
+            codes, n = np.unique(known.contexts(tokens, outcomes, sizes) * known.size + outcomes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
     return run
@@ -254,25 +334,18 @@ def _scores(vocabulary, weights):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, known, model = WordHashes(), Vocabulary(**vocabulary.value), Weights(**weights.value)
-        row_of, rows = np.full(CONTEXTS, -1, np.int64), np.zeros((0, OTHER + 1), np.float32)
         for batch in slices(batches, "text"):
             tokens, sizes = _tokens(batch, memo)
             counts, outcomes = known.look_up(tokens)
-            contexts = _contexts(outcomes, sizes)
-            # Every context of the slice that this task has not met yet, in one sparse batch.
-            fresh = np.flatnonzero((np.bincount(contexts, minlength=CONTEXTS) > 0) & (row_of < 0))
-            row_of[fresh] = len(rows) + np.arange(len(fresh))
-            rows = np.concatenate([rows, model.log_probabilities(fresh)])
-            modelled = rows[row_of[contexts], outcomes].astype(np.float64) / np.log(10)
+            codes, at = np.unique(known.contexts(tokens, outcomes, sizes) * known.size + outcomes, return_inverse=True)
+            modelled = model.log_probability(codes // known.size, codes % known.size)[at] / np.log(10)
             held = counts >= 0
             own = np.where(held, np.log10(np.maximum(counts, 0) + SMOOTHING), 0.0)
-            starts, other = offsets(sizes)[:-1], outcomes == OTHER
+            starts = offsets(sizes)[:-1]
             sums = {
                 "n_tokens": sizes,
                 "n_known": np.add.reduceat(held.astype(np.int64), starts),
-                "n_other": np.add.reduceat(other.astype(np.int64), starts),
                 "log_counts": np.add.reduceat(own, starts),
-                "log_other": np.add.reduceat(np.where(other, own, 0.0), starts),
                 "modelled": np.add.reduceat(modelled, starts),
             }
             rare = np.add.reduceat((~held).astype(np.int64), starts)
@@ -284,8 +357,7 @@ def _scores(vocabulary, weights):
 
 
 _SCORE_ROWS = (
-    "id bigint, held_out boolean, n_tokens bigint, n_known bigint, n_other bigint, log_counts double, log_other double, modelled double, "
-    "rare array<bigint>"
+    "id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, modelled double, rare array<bigint>"
 )
 
 
@@ -298,8 +370,11 @@ def score_texts(
     texts, the end of the text included. Null texts count as empty and have the end only; rows with null or repeated ids stay; without
     training rows every word is unknown. An empty table gives an empty result; other columns are ignored.
 
-    Words are told apart by 64-bit hashes. At most ``frequent`` words are broadcast; all others meet their counts in a join.
+    Words are told apart by 64-bit hashes. At most ``frequent`` words are broadcast and have outcomes of their own; all others meet
+    their counts in a join.
     """
+    if frequent > MOST_HELD:
+        raise ValueError(f"at most {MOST_HELD} words are broadcast")
     context = docs.sparkSession.sparkContext
     held_out = (crc_mod(id_col, folds) == 0).alias("held_out")
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), held_out, text_bytes(text_col).alias("text"))
@@ -308,9 +383,12 @@ def score_texts(
     counts = stage(counts, "words")
     known = Vocabulary.of(counts, frequent)
     vocabulary = context.broadcast(vars(known))
-    pairs = training.mapInArrow(_pair_counts(vocabulary), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    outcome_counts = np.zeros(OTHER + 1)
-    np.add.at(outcome_counts, known.outcomes, known.counts)
+    # Slices are counted in themselves; one exchange by code, to a task for every core at least, adds them up.
+    parts = max(2 * context.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = training.mapInArrow(_pair_counts(vocabulary), "code bigint, n bigint").repartition(parts, "code")
+    pairs = pairs.groupBy("code").agg(F.sum("n").alias("n"))
+    outcome_counts = np.zeros(known.size)
+    outcome_counts[known.outcomes] = known.counts
     other_tokens, other_words = known.others()
     outcome_counts[OTHER] = other_tokens
     weights = context.broadcast(vars(fit_weights(pairs, outcome_counts, rounds)))
@@ -331,7 +409,7 @@ def score_texts(
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(known.tokens).cast("bigint").alias("train_tokens"),
         (F.col("log_counts") + logs - F.col("n_tokens") * F.lit(all_mass)).alias("base_score"),
-        (F.col("modelled") + F.col("log_other") + logs - F.col("n_other") * F.lit(other_mass)).alias("score"),
+        (F.col("modelled") + logs - F.size("rare") * F.lit(other_mass)).alias("score"),
     )
 
 
