@@ -105,3 +105,25 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS leng
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
 FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def _terms(table: str, key: str) -> str:
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT {key}, regexp_extract_all(coalesce({low}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM {table}"
+
+
+RANKED_SEARCH = f"""
+WITH docs AS ({_terms('documents', 'doc_id')}),
+items AS (SELECT DISTINCT item_id, unnest(ws) AS term FROM ({_terms('benchmark', 'item_id')})),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS words FROM docs WHERE len(ws) > 0),
+counts AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM docs) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY term
+),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN counts USING (term), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
