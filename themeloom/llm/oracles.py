@@ -127,3 +127,19 @@ scores AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scores WHERE score > 0 QUALIFY rank <= 50
 """
+
+# The forests hold all rows of a table of up to some thousands below the prefixes that are reached, so that the result is exact there.
+PREFIX_FOREST = """
+WITH vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i]), lambda total, p: total + p) AS score
+  FROM vectors q JOIN vectors v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""

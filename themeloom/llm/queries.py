@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themeloom.llm import bpe, decontaminate, embedding_dedup, html_text, maxent_lm, oracles, periodic_runs, pii, quality, ranked_search, simhash, substring_dedup, url_filter
+from themeloom.llm import bpe, decontaminate, embedding_dedup, html_text, maxent_lm, oracles, periodic_runs, pii, prefix_forest, quality, ranked_search, simhash, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxent_lm": maxent_lm.op1_maxent_lm,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_prefix_forest": prefix_forest.op12_prefix_forest,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
@@ -29,5 +30,6 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": oracles.DECONTAMINATE,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op11_ranked_search": oracles.RANKED_SEARCH,
+    "op12_prefix_forest": oracles.PREFIX_FOREST,
     "op13_periodic_runs": oracles.PERIODIC_RUNS,
 }
