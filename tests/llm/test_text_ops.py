@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -52,27 +53,110 @@ def test_lm_rare_words_are_joined(spark, texts):
     assert maxent_lm.score_texts(docs.limit(0)).collect() == []
 
 
-def test_lm_is_a_distribution():
-    rng = np.random.default_rng(1)
-    weights = maxent_lm.Weights.start(rng.integers(0, 50, maxent_lm.OTHER + 1).astype(float))
-    contexts = rng.integers(0, maxent_lm.CONTEXTS, 50)
-    seen, expected = weights.expectations(contexts, rng.integers(0, 256, 50), np.ones(50, np.float32))
-    assert seen.classes.sum() == pytest.approx(expected.classes.sum(), rel=1e-4)
-    weights.update(seen, expected)
-    assert np.exp(weights.log_probabilities(contexts)).sum(axis=1) == pytest.approx(np.ones(50), rel=1e-4)
-
-
-def test_lm_rounds_raise_the_likelihood(spark):
-    rng = np.random.default_rng(2)
-    codes = rng.integers(0, 60, 4000) * 256 + rng.integers(0, 20, 4000) % (1 + rng.integers(0, 60, 4000) % 5)
-    own, n = np.unique(codes, return_counts=True)
-    df = spark.createDataFrame([(int(c), int(k)) for c, k in zip(own, n)], "code long, n long")
-    outcomes = np.bincount(codes % 256, minlength=256).astype(float)
-    losses = []
-    for rounds in (0, 3):
-        weights = maxent_lm.fit_weights(df, outcomes, rounds)
-        losses.append(-(n * weights.log_probabilities(own // 256)[np.arange(len(own)), own % 256]).sum())
-    assert losses[1] < losses[0]
+def small_model(outcomes=700, seed=1, width=5):
+    """A model over Zipf-like counts with all three choices, its weights set at random."""
+    rng = np.random.default_rng(seed)
+    counts = np.floor(3000 / np.arange(1, outcomes + 1)) * rng.integers(0, 2, outcomes)
+    tree = maxent_lm.Tree.of(counts, bins=6, width=width)
+    model = maxent_lm.Model(tree, rows=(64, 128, 128))
+    for weights in model.tables:
+        weights += rng.normal(0, 0.5, weights.shape).astype(np.float32)
+    return model, rng
+
+
+def plain_log_probability(model, before, skipped, outcome):
+    """The three choices one by one, with dictionaries and plain sums."""
+    tree = model.tree
+    row = lambda h, salt, k: int(maxent_lm._rows(np.array([h], np.uint64), salt, len(model.tables[k]))[0])
+    pair = (skipped * 0xC2B2AE3D27D4EB4F + before) % (1 << 64)
+    c, s, p = int(tree.classes[outcome]), int(tree.subclasses[outcome]), int(tree.places[outcome])
+    steps = [(0, tree.class_bias, [row(before, 1, 0), row(pair, 2, 0), row(skipped, 3, 0)], c)]
+    if (tree.classes == c).sum() > 1:
+        steps.append((1, tree.subclass_bias[c], [row(before, 8 + 2 * c, 1), row(skipped, 9 + 2 * c, 1)], s))
+    if tree.own_row[c, s] >= 0:
+        r = int(tree.own_row[c, s])
+        steps.append((2, tree.place_bias[r], [row(before, 1 << 20 | r, 2)], p))
+    total = 0.0
+    for k, bias, rows, chosen in steps:
+        logits = {j: float(b) + sum(float(model.tables[k][i, j]) for i in rows) for j, b in enumerate(bias) if b > maxent_lm.ABSENT}
+        total += logits[chosen] - math.log(sum(math.exp(x) for x in logits.values()))
+    return total
+
+
+def test_lm_tree_holds_every_outcome_once():
+    for outcomes, width in ((1, 5), (2, 5), (30, 5), (700, 5), (5000, 96)):
+        tree = small_model(outcomes, width=width)[0].tree
+        ways = set(zip(tree.classes.tolist(), tree.subclasses.tolist(), tree.places.tolist()))
+        assert len(ways) == outcomes and max(w[1] for w in ways) < width and max(w[2] for w in ways) < width
+
+
+def test_lm_scores_equal_plain_sums_and_are_a_distribution():
+    model, rng = small_model()
+    before, skipped = rng.integers(0, 1 << 64, (2, 3), np.uint64)
+    for x, y in zip(before, skipped):
+        every = np.arange(700)
+        logs = model.log_probability(np.full(700, x), np.full(700, y), every)
+        assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
+        for outcome in every[::23]:
+            assert logs[outcome] == pytest.approx(plain_log_probability(model, int(x), int(y), int(outcome)), abs=1e-3)
+
+
+def test_lm_updates_follow_the_gradient():
+    """The first step of a learner against differences of the likelihood."""
+    model, rng = small_model(width=4)
+    before, skipped = rng.integers(0, 5, (2, 40)).astype(np.uint64)
+    outcomes = rng.integers(0, 700, 40)
+    start = [t.copy() for t in model.tables]
+    learner = maxent_lm.Learner(model, 1e-3)
+    learner.learn(before, skipped, outcomes)
+    for k, (old, new) in enumerate(zip(start, model.tables)):
+        moved = np.flatnonzero(np.abs(new - old).max(axis=1) > 1e-6)
+        for row in moved[:4].tolist():
+            j = int(np.abs(new[row] - old[row]).argmax())
+            slopes = []
+            for sign in (1, -1):
+                tables = [t.astype(np.float64) for t in start]
+                tables[k][row, j] += sign * 1e-3
+                slopes.append(maxent_lm.Model(model.tree, tables).log_probability(before, skipped, outcomes).sum())
+            assert (slopes[0] - slopes[1]) * (new[row, j] - old[row, j]) > 0
+
+
+def test_lm_learning_raises_the_likelihood():
+    model, rng = small_model()
+    for weights in model.tables:
+        weights[:] = 0
+    before = rng.integers(0, 20, 6000).astype(np.uint64)
+    outcomes = (before.astype(np.int64) * 7 + rng.integers(0, 3, 6000)) % 700
+    skipped = np.zeros(6000, np.uint64)
+    learner, logs = maxent_lm.Learner(model), []
+    for _ in range(3):
+        logs.append(model.log_probability(before, skipped, outcomes).mean())
+        learner.learn(before, skipped, outcomes)
+    assert logs[0] < logs[1] - 1 and logs[1] < logs[2]
+
+
+def test_lm_group_sums():
+    rng = np.random.default_rng(3)
+    keys, values = rng.integers(0, 40, 500) ** 2 // 60, rng.random((500, 3)).astype(np.float32)
+    by = np.argsort(keys, kind="stable")
+    own, first, n = np.unique(keys[by], return_index=True, return_counts=True)
+    want = np.array([values[keys == k].sum(axis=0) for k in own])
+    np.testing.assert_allclose(maxent_lm._group_sums(values, by, first, n), want, rtol=1e-5)
+
+
+def test_lm_odd_rows(spark, texts, monkeypatch):
+    """Null and repeated ids, a text longer than a slice, numbers that begin anew."""
+    long = "ab cd ef " * 600_000
+    docs = texts("ab cd", "ab", long, None, "Ab\tCD x")
+    docs = docs.unionByName(docs.limit(2)).unionByName(docs.limit(2).withColumn("doc_id", docs.doc_id * 0 + None))
+    got = sorted((str(r.id), r.n_tokens) for r in maxent_lm.score_texts(docs).collect())
+    assert got == sorted((str(r.doc_id), len((r.text or "").split()) + 1) for r in docs.collect())
+    monkeypatch.setattr(maxent_lm, "LEXICON", 3)
+    batches = [pa.RecordBatch.from_pydict({"text": [t]}) for t in (b"a b c d", b"a b", b"", b"d d d")]
+    sums = Counter()
+    for batch in maxent_lm._word_counts(iter(batches)):
+        sums.update(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist())))
+    assert sorted(sums.values()) == [1, 2, 2, 4, 4]
 
 
 def test_lm_learns_contexts_of_all_held_words(spark, texts):

@@ -1,11 +1,14 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-The probability of a word given the two words before it is that of its class times that of the word in its class. The classes hold
-words of about equal total counts; a class is again split into two parts of about equal counts, and so on, down to single words.
-All choices are softmax models over hashed features: a bias, the word before, the pair before and the word before that (a skip).
-All words that are broadcast have outcomes of their own; the rarer rest share one outcome and are told apart by their smoothed counts,
-so that the model is a distribution over all words. The sufficient statistics, the counts of (pair before, word), are a Spark aggregate
-that grows with the corpus. Gradients of all training words are sums over that table.
+The probability of a word given the two words before it is that of its class, times that of its subclass in the class, times that of the
+word in the subclass. Classes are bins of the words by falling count: of about equal mass where words are frequent, of a bounded
+number of words where they are rare; a class of up to ``WIDTH`` words has one in each subclass. Every factor is a softmax over a
+bias, which is the logarithm of the counts, and rows of hashed weights: for the class those of the word before, of the pair before and of
+the word before that (a skip), for subclass and word those of the word before and, for the subclass, the skip.
+
+Every task of the training rows makes gradient updates over its own texts, a batch of tokens at a time; the tasks' weights are averaged,
+each row by how often a task has met it. All words that are broadcast have outcomes of their own; the rarer rest share one outcome and
+are told apart by their smoothed counts, so that the model is a distribution over all words.
 """
 
 from __future__ import annotations
@@ -19,244 +22,320 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from themeloom.llm.common import WordHashes, crc_mod, mixed, offsets, slices, table, text_bytes, words_of
+from themeloom.llm.common import crc_mod, mixed, no_collection, offsets, slices, table, text_bytes
 from themeloom.session import drop_staged, released_shuffles, stage
 
 FOLDS = 10
 SMOOTHING = 0.1
 FREQUENT = 600_000
-CLASSES = 4
-# The outcome of words that are not held.
-OTHER = 255
-WORD_BITS = 20
-CONTEXTS = 1 << 2 * WORD_BITS
-MOST_HELD = 1 << WORD_BITS - 1 | 1 << WORD_BITS - 2
-CLASS_BUCKETS = 1 << 13
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 15, 1 << 20
-ROUNDS = 6
-RATE = 0.35
-PRIOR = 10.0
-# No word holds a space, so this stands for the end of a text.
-END = xxhash.xxh64_intdigest(b" ")
+MASS_BINS = 64
+WIDTH = 96
+# Rows of hashed weights for class, subclass and word; the model's size, whatever the corpus.
+ROWS = (1 << 14, 1 << 15, 1 << 15)  # at most 2^16
+STEEPEST = 12.0
+BATCH = 4096
+RATE = 1.0
+PRIOR = 4.0
+ROUNDS = 1
+# A task's numbers of words are dropped and begun anew beyond so many.
+LEXICON = 500_000
+ABSENT = -1e4
+# No word holds a space, so this stands for the end of a text; the other hash for what is before its start.
+END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"  ")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 # --- the model ----------------------------------------------------------------------------------------
 
 
-def _features(contexts: np.ndarray) -> np.ndarray:
-    """Codes of the hashed features of each context (word before that << WORD_BITS | word before), one column per context."""
-    contexts = contexts.astype(np.uint64)
-    before, before2 = contexts & np.uint64((1 << WORD_BITS) - 1), contexts >> np.uint64(WORD_BITS)
-    return mixed(np.stack([before + np.uint64(1 << 60), contexts + np.uint64(1 << 61), before2 + np.uint64(1 << 62)]))
+@dataclass
+class Tree:
+    """Where the outcomes are: class, subclass and place in it of each; biases of the three choices.
 
+    ``own_row`` has the row of ``place_bias`` of every (class, subclass), -1 where that holds one word at most.
+    """
 
-def _class_rows(features: np.ndarray) -> np.ndarray:
-    """Rows of the class weights: 0 is the bias."""
-    hashed = 1 + features % np.uint64(CLASS_BUCKETS - 1)
-    return np.concatenate([np.zeros((1, features.shape[1]), np.int64), hashed.astype(np.int64)])
+    classes: np.ndarray
+    subclasses: np.ndarray
+    places: np.ndarray
+    class_bias: np.ndarray
+    subclass_bias: np.ndarray
+    place_bias: np.ndarray
+    own_row: np.ndarray
 
+    @classmethod
+    def of(cls, counts: np.ndarray, bins: int = MASS_BINS, width: int = WIDTH) -> Tree:
+        size, mass = len(counts), counts + SMOOTHING
+        order = np.argsort(-counts, kind="stable")
+        share = np.cumsum(mass[order]) / mass.sum()
+        cuts = set(np.searchsorted(share, np.arange(1, bins) / bins, side="left").tolist())
+        first, cut = [], 0
+        for at in sorted(cuts | {0}) + [size]:
+            while at - cut > width * width:  # rare words: as many as subclasses can hold
+                cut += width * width
+                first.append(cut)
+            if at < size:
+                cut = at
+                first.append(at)
+        first = np.array(sorted(set(first)))
+        n = np.diff(np.append(first, size))
+        own = np.repeat(np.arange(len(first)), n)
+        inside = np.arange(size) - first[own]
+        each = -(-n // width)
+        columns = [np.empty(size, np.int32) for _ in range(3)]
+        for column, values in zip(columns, (own, inside // each[own], inside % each[own])):
+            column[order] = values
+        classes, subclasses, places = columns
+        many = np.flatnonzero(each > 1)
+        own_row = np.full((len(first), width), -1, np.int32)
+        own_row[many] = np.arange(len(many) * width).reshape(-1, width)
+        sums = [np.zeros(len(first)), np.zeros((len(first), width)), np.zeros((max(1, len(many) * width), width))]
+        np.add.at(sums[0], classes, mass)
+        np.add.at(sums[1], (classes, subclasses), mass)
+        deep = own_row[classes, subclasses] >= 0
+        np.add.at(sums[2], (own_row[classes, subclasses][deep], places[deep]), mass[deep])
+        biases = [
+            np.where(s > 0, np.log(np.where(s > 0, s, 1.0) / np.maximum(s.sum(axis=-1, keepdims=True), SMOOTHING)), ABSENT).astype(np.float32)
+            for s in sums
+        ]
+        return cls(classes, subclasses, places, *biases, own_row)
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    @property
+    def outcomes(self) -> int:
+        return len(self.classes)
+
+
+def _rows(hashes: np.ndarray, salt: object, rows: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mixed(hashes + np.asarray(salt, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(rows)).astype(np.int64)
+
+
+class Model:
+    """A tree with its hashed weights, one table for each of the three choices."""
+
+    def __init__(self, tree: Tree, tables: list[np.ndarray] | None = None, rows: tuple[int, int, int] = ROWS):
+        self.tree = tree
+        widths = (len(tree.class_bias), tree.subclass_bias.shape[1], tree.place_bias.shape[1])
+        self.tables = tables or [np.zeros((r, w), np.float32) for r, w in zip(rows, widths)]
+
+    def choices(self, before: np.ndarray, skipped: np.ndarray, outcomes: np.ndarray) -> Iterator[tuple]:
+        """For each choice: its number, the tokens that make it, biases, rows of hashed weights (one list per feature), what is chosen."""
+        tree, sizes = self.tree, [len(t) for t in self.tables]
+        own, sub = tree.classes[outcomes], tree.subclasses[outcomes]
+        with np.errstate(over="ignore"):
+            pair = skipped * np.uint64(0xC2B2AE3D27D4EB4F) + before
+        everything = np.arange(len(outcomes))
+        features = [_rows(before, 1, sizes[0]), _rows(pair, 2, sizes[0]), _rows(skipped, 3, sizes[0])]
+        yield 0, everything, tree.class_bias[None, :], features, own
+        several = np.flatnonzero(tree.subclass_bias[own, 1] > ABSENT)
+        c = own[several]
+        features = [_rows(before[several], 8 + 2 * c, sizes[1]), _rows(skipped[several], 9 + 2 * c, sizes[1])]
+        yield 1, several, np.take(tree.subclass_bias, c, axis=0), features, sub[several]
+        row = tree.own_row[own, sub]
+        deep = np.flatnonzero(row >= 0)
+        r = row[deep]
+        yield 2, deep, np.take(tree.place_bias, r, axis=0), [_rows(before[deep], 1 << 20 | r, sizes[2])], tree.places[outcomes[deep]]
+
+    def _softmax(self, table: np.ndarray, bias: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the logits and their sums. Biases are 0 at most and weights ``STEEPEST``, so that none overflows."""
+        x = np.take(table, features[0], axis=0)
+        for rows in features[1:]:
+            x += np.take(table, rows, axis=0)
+        x += bias
+        np.exp(x, out=x)
+        return x, x.sum(axis=1)
+
+    def log_probability(self, before: np.ndarray, skipped: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
+        """Natural logarithm for every token; ``before`` and ``skipped`` are hashes of the two words before it."""
+        out = np.zeros(len(outcomes))
+        for cut in range(0, len(out), BATCH):
+            part = slice(cut, cut + BATCH)
+            for k, at, bias, features, chosen in self.choices(before[part], skipped[part], outcomes[part]):
+                if len(at):
+                    x, total = self._softmax(self.tables[k], bias, features)
+                    out[part][at] += np.log(x[np.arange(len(at)), chosen] / total)
+        return out
 
 
-_PAIRS = 1 << 15
+class Learner:
+    """Gradient updates of a model's weights; a row's step shrinks with the gradients that it has met (AdaGrad by row)."""
 
+    def __init__(self, model: Model, rate: float = RATE):
+        self.model, self.rate = model, np.float32(rate)
+        self.squares = [np.zeros(len(t), np.float32) for t in model.tables]
+        self.met = [np.zeros(len(t), np.float32) for t in model.tables]
 
-@dataclass
-class Weights:
-    """Class ``c`` has the outcomes from ``first[c]`` to ``first[c + 1]``. A split is named by the first outcome of its right part;
-    ``after`` has the first split of each class, then of the left and right part of each split; 0 is a single word.
-    ``words`` has the bias of each split, then the hashed weights, all of going right.
-    """
+    def learn(self, before: np.ndarray, skipped: np.ndarray, outcomes: np.ndarray) -> None:
+        for cut in range(0, len(outcomes), BATCH):
+            part = slice(cut, cut + BATCH)
+            for k, at, bias, features, chosen in self.model.choices(before[part], skipped[part], outcomes[part]):
+                if len(at):
+                    slope, total = self.model._softmax(self.model.tables[k], bias, features)
+                    slope *= (-1 / total)[:, None]
+                    slope[np.arange(len(at)), chosen] += 1
+                    for rows in features:
+                        self._update(k, rows, slope)
 
-    classes: np.ndarray
-    words: np.ndarray
-    first: np.ndarray
-    after: np.ndarray
+    def _update(self, k: int, rows: np.ndarray, slope: np.ndarray) -> None:
+        by = np.argsort(rows.astype(np.uint16), kind="stable")
+        ordered = rows[by]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        own, n = ordered[first], np.diff(np.append(first, len(rows)))
+        sums = _group_sums(slope, by, first, n)
+        self.met[k][own] += n
+        self.squares[k][own] += np.einsum("ij,ij->i", sums, sums)
+        sums *= (self.rate / np.sqrt(1 + self.squares[k][own]))[:, None]
+        sums += self.model.tables[k][own]
+        self.model.tables[k][own] = np.clip(sums, -STEEPEST, STEEPEST, out=sums)
 
-    @classmethod
-    def start(cls, counts: np.ndarray, buckets: int = LEAST_BUCKETS) -> Weights:
-        """Biases that give every outcome its share of ``counts``; all other weights are 0. ``buckets`` is a power of two."""
-        size = len(counts)
-        mass = np.concatenate([[0.0], np.cumsum(counts + SMOOTHING)])
-        first = np.searchsorted(mass, mass[-1] * np.arange(CLASSES + 1) / CLASSES)
-        first[-1] = size
-        classes, words = np.zeros((CLASS_BUCKETS, CLASSES), np.float32), np.zeros(size + buckets, np.float32)
-        after = np.zeros(CLASSES + 2 * size, np.int32)
-        own = np.diff(mass[first])
-        classes[0] = np.where(own > 0, np.log(np.where(own > 0, own, 1.0)), -80.0)  # a class can be empty
-        low, high, place = first[:-1], first[1:], np.arange(CLASSES)
-        while len(low):
-            live = high - low > 1
-            low, high, place = low[live], high[live], place[live]
-            cut = np.clip(np.searchsorted(mass, (mass[low] + mass[high]) / 2), low + 1, high - 1)
-            after[place] = cut
-            words[cut] = np.log((mass[high] - mass[cut]) / (mass[cut] - mass[low]))
-            place = np.concatenate([CLASSES + 2 * cut, CLASSES + 2 * cut + 1])
-            low, high = np.concatenate([low, cut]), np.concatenate([cut, high])
-        return cls(classes, words, first, after)
 
-    @property
-    def outcomes(self) -> int:
-        return (len(self.after) - CLASSES) // 2
-
-    def zeros(self) -> Weights:
-        return Weights(np.zeros(self.classes.shape), np.zeros(self.words.shape), self.first, self.after)
-
-    def _class_of(self, outcomes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first[1:], outcomes, side="right")
-
-    def _class_logs(self, rows: np.ndarray) -> np.ndarray:
-        return _log_softmax(sum(np.take(self.classes, r, axis=0) for r in rows))
-
-    def _splits(self, features: np.ndarray, outcomes: np.ndarray, classes: np.ndarray) -> Iterator[tuple]:
-        """The way to each outcome inside its class: row numbers, weight places (one list per feature), whether it goes right, logits."""
-        at, split, size = np.arange(len(outcomes)), self.after[classes], self.outcomes
-        shift = np.uint64(64 - (len(self.words) - size).bit_length() + 1)
-        while True:
-            live = np.flatnonzero(split)
-            if not len(live):
-                return
-            if len(live) < len(at):
-                at, split, outcomes, features = at[live], split[live], outcomes[live], np.take(features, live, axis=1)
-            salted = (features ^ (split.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
-            places = [split, *(size + (salted >> shift).astype(np.int64))]
-            right = outcomes >= split
-            yield at, places, right, sum(np.take(self.words, p) for p in places)
-            split = np.take(self.after, CLASSES + 2 * split.astype(np.int64) + right)
-
-    def log_probability(self, contexts: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
-        """Natural logarithm for every pair of a context and an outcome."""
-        out = np.empty(len(contexts))
-        for cut in range(0, len(out), _PAIRS):
-            part = slice(cut, cut + _PAIRS)
-            features, own = _features(contexts[part]), outcomes[part]
-            classes = self._class_of(own)
-            logs = self._class_logs(_class_rows(features))[np.arange(len(own)), classes].astype(np.float64)
-            for at, _, right, x in self._splits(features, own, classes):
-                logs[at] -= np.logaddexp(0, np.where(right, -x, x))
-            out[part] = logs
-        return out
+_FEW = 8
+
+
+def _group_sums(values: np.ndarray, by: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of ``values[by]`` over groups that begin at ``first`` and have ``n`` rows: small groups all at once, large ones each."""
+    sums = values[by[first]]
+    for k in range(1, min(_FEW, int(n.max(initial=1)))):
+        some = np.flatnonzero((n > k) & (n <= _FEW))
+        sums[some] += values[by[first[some] + k]]
+    for g in np.flatnonzero(n > _FEW):
+        sums[g] = values[by[first[g] : first[g] + n[g]]].sum(axis=0)
+    return sums
+
+
+_BLOCK = 512
+
+
+def _learned(shared, vocabulary):
+    """One pass of updates over a task's texts; its weights, times how often it has met their rows, in blocks of rows."""
 
-    def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
-        """Natural logarithms for every context and all outcomes; for models of few outcomes."""
-        size = self.outcomes
-        return self.log_probability(np.repeat(contexts, size), np.tile(np.arange(size), len(contexts))).reshape(-1, size)
-
-    def expectations(
-        self, contexts: np.ndarray, outcomes: np.ndarray, n: np.ndarray, sums: tuple[Weights | None, Weights] | None = None
-    ) -> tuple[Weights | None, Weights]:
-        """Observed and expected sums of all features over counted (context, outcome) pairs, added to ``sums``; without
-        observed sums where these are ``None``.
-        """
-        seen, expected = sums or (self.zeros(), self.zeros())
-        for cut in range(0, len(n), _PAIRS):
-            part = slice(cut, cut + _PAIRS)
-            features, own, weight = _features(contexts[part]), outcomes[part], n[part].astype(np.float64)
-            classes, rows = self._class_of(own), _class_rows(features)
-            likely = np.exp(self._class_logs(rows)) * weight[:, None]
-            columns = np.arange(CLASSES)
-            for r in rows:
-                if seen:
-                    np.add.at(seen.classes.reshape(-1), r * CLASSES + classes, weight)
-                np.add.at(expected.classes.reshape(-1), (r[:, None] * CLASSES + columns).ravel(), likely.ravel())
-            for at, places, right, x in self._splits(features, own, classes):
-                there = weight[at]
-                likely = there / (1 + np.exp(-x))
-                for p in places:
-                    if seen:
-                        np.add.at(seen.words, p[right], there[right])
-                    np.add.at(expected.words, p, likely)
-        return seen, expected
-
-    def update(self, seen: Weights, expected: Weights, rate: float = RATE) -> None:
-        """A gradient step, each weight scaled by its expected sum."""
-        for own, s, e in ((self.classes, seen.classes, expected.classes), (self.words, seen.words, expected.words)):
-            own += rate * np.clip((s - e) / (e + PRIOR), -2, 2)
-
-
-_BLOCK = 1 << 15
-
-
-def _gradient(shared, observed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(**shared.value)
-        sums = weights.zeros() if observed else None, weights.zeros()
-        for batch in batches:
-            code, n = (batch.column(c).to_numpy() for c in ("code", "n"))
-            weights.expectations(code // weights.outcomes, code % weights.outcomes, n, sums)
-        total = [part and np.concatenate([part.classes.ravel(), part.words]).astype(np.float32) for part in sums]
-        for block in range(0, len(total[1]), _BLOCK):
-            seen, expected = (pa.array([b"" if t is None else t[block : block + _BLOCK].tobytes()], pa.binary()) for t in total)
-            yield pa.RecordBatch.from_arrays([pa.array([block // _BLOCK]), seen, expected], ["block", "seen", "expected"])
+        tree, tables = shared.value
+        learner, lexicon = Learner(Model(Tree(**tree), [t.copy() for t in tables])), Lexicon(Vocabulary(**vocabulary.value))
+        for batch in slices(batches, "text"):
+            words, sizes = lexicon.words(batch.column("text").to_pylist())
+            learner.learn(*lexicon.contexts(words, sizes), lexicon.outcomes[words])
+        for k, (weights, met) in enumerate(zip(learner.model.tables, learner.met)):
+            for block in range(0, len(weights), _BLOCK):
+                n = met[block : block + _BLOCK]
+                if n.any():
+                    both = [(weights[block : block + _BLOCK] * n[:, None]).tobytes(), n.tobytes()]
+                    columns = [pa.array([k], pa.int32()), pa.array([block], pa.int32()), *(pa.array([b], pa.binary()) for b in both)]
+                    yield pa.RecordBatch.from_arrays(columns, ["k", "block", "weights", "met"])
 
     return run
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    sums = {k: np.sum([np.frombuffer(b, np.float32) for b in rows[k]], axis=0, dtype=np.float64).astype(np.float32).tobytes() for k in ("seen", "expected")}
-    return pd.DataFrame({"block": rows["block"].iloc[:1], **{k: [v] for k, v in sums.items()}})
+    first = rows.iloc[:1].copy()
+    for c in ("weights", "met"):
+        first[c] = [np.sum([np.frombuffer(b, np.float32) for b in rows[c]], axis=0, dtype=np.float64).astype(np.float32).tobytes()]
+    return first
 
 
-def fit_weights(counts: DataFrame, outcome_counts: np.ndarray, rounds: int = ROUNDS) -> Weights:
-    """Weights after ``rounds`` gradient steps over all counted pairs ``<code, n>`` (code: context * outcomes + outcome).
+def fit(training: DataFrame, vocabulary, tree: Tree, rounds: int = ROUNDS, rows: tuple[int, int, int] = ROWS) -> Model:
+    """The model after ``rounds`` passes over ``<text>``; a pass is one set of tasks whose weights are averaged.
 
-    A task sums the features of its pairs, Spark adds up the sums in blocks. There are as many hashed weights as distinct pairs, to a power
-    of two and between ``LEAST_BUCKETS`` and ``MOST_BUCKETS``, so that a task's sums fit its memory.
+    A row that tasks have met n times in all moves to their mean by n / (n + ``PRIOR``), so rare rows stay near zero. What reaches
+    the driver is one model of fixed size.
     """
-    context = counts.sparkSession.sparkContext
-    pairs = stage(counts, "pairs")
-    buckets = 1 << max(1, pairs.count() - 1).bit_length()
-    weights = Weights.start(outcome_counts, min(max(buckets, LEAST_BUCKETS), MOST_BUCKETS))
-    spread = pairs.coalesce(2 * context.defaultParallelism)
-    cut, seen = weights.classes.size, None
+    context = training.sparkSession.sparkContext
+    model = Model(tree, rows=rows)
+    texts = training.coalesce(2 * context.defaultParallelism)
     for _ in range(rounds):
-        shared = context.broadcast(vars(weights))
-        parts = spread.mapInArrow(_gradient(shared, seen is None), "block bigint, seen binary, expected binary")
-        with released_shuffles(counts.sparkSession):
-            sums = sorted(parts.groupBy("block").applyInPandas(_summed, parts.schema).collect(), key=lambda r: r["block"])
+        shared = context.broadcast((vars(tree), model.tables))
+        parts = texts.mapInArrow(_learned(shared, vocabulary), "k int, block int, weights binary, met binary")
+        with released_shuffles(training.sparkSession):
+            sums = parts.groupBy("k", "block").applyInPandas(_summed, parts.schema).collect()
         shared.destroy()
-        if not sums:
-            break
-        flat = [np.frombuffer(b"".join(r[k] for r in sums), np.float32) for k in ("seen", "expected")]
-        both = [f.size and Weights(f[:cut].reshape(weights.classes.shape), f[cut:], weights.first, weights.after) for f in flat]
-        seen = seen or both[0]  # does not depend on the weights
-        weights.update(seen, both[1])
-    drop_staged(pairs)
-    return weights
+        for r in sums:
+            n = np.frombuffer(r["met"], np.float32)
+            total = np.frombuffer(r["weights"], np.float32).reshape(len(n), -1)
+            part = model.tables[r["k"]][r["block"] : r["block"] + len(n)]
+            part[n > 0] = (total[n > 0]) / (n[n > 0, None] + PRIOR)
+    return model
 
 
 # --- the corpus ---------------------------------------------------------------------------------------
 
 
-def _tokens(batch: pa.RecordBatch, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of a slice, an end after each text, and how many each text has."""
-    words, counts = words_of([t.translate(_FOLD) for t in batch.column("text").to_pylist()])
-    ends = np.cumsum(counts + 1) - 1
-    tokens = np.full(len(words) + len(counts), END, np.uint64)
-    inner = np.ones(len(tokens), bool)
-    inner[ends] = False
-    tokens[inner] = memo.all(words)
-    return tokens, counts + 1
+class Lexicon(dict):
+    """Words of a task by number, with their hashes and, given a vocabulary, counts (-1: not held) and outcomes."""
+
+    def __init__(self, vocabulary: Vocabulary | None = None):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.fresh: list[bytes] = []
+        self.hashes = np.zeros(0, np.uint64)
+        self.counts, self.outcomes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self[b" "]
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        self[word] = number = len(self)
+        return number
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of some texts, an end (number 0) after each, and how many each text has."""
+        if len(self) > LEXICON:
+            self._reset()
+        with no_collection():
+            parts = [text.translate(_FOLD).split() for text in texts]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+            numbers: list[int] = []
+            for part in parts:
+                numbers += map(self.__getitem__, part)
+                numbers.append(0)
+            words = np.array(numbers, np.int64)
+        if self.fresh:
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.fresh], np.uint64)
+            self.hashes = np.append(self.hashes, hashes)
+            if self.vocabulary:
+                counts, outcomes = self.vocabulary.look_up(hashes)
+                self.counts, self.outcomes = np.append(self.counts, counts), np.append(self.outcomes, outcomes)
+            self.fresh = []
+        return words, sizes
+
+    def contexts(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the word before each token and of the one before that; a hash of its own stands before a text."""
+        hashes = self.hashes[words]
+        starts, start = offsets(sizes)[:-1], np.uint64(START)
+        before = np.concatenate([[start], hashes[:-1]])[: len(words)]
+        before[starts] = start
+        skipped = np.concatenate([[start], before[:-1]])[: len(words)]
+        skipped[starts] = start
+        return before, skipped
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
+    lexicon, totals = Lexicon(), np.zeros(0, np.int64)
+
+    def flushed(hashes: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(totals)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(totals[some])], ["word", "n"])
+
     for batch in slices(batches, "text"):
-        words, n = np.unique(_tokens(batch, memo)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+        hashes = lexicon.hashes
+        words, _ = lexicon.words(batch.column("text").to_pylist())
+        if len(lexicon.hashes) < len(totals):  # numbers begin anew
+            yield flushed(hashes)
+            totals = np.zeros(0, np.int64)
+        counts = np.bincount(words, minlength=len(lexicon.hashes))
+        counts[: len(totals)] += totals
+        totals = counts
+    yield flushed(lexicon.hashes if len(totals) else np.zeros(0, np.uint64))
 
 
 @dataclass
 class Vocabulary:
-    """Counts of the frequent words by hash (sorted), their outcomes, and the totals of the training tokens."""
+    """Counts of the frequent words by hash (sorted), and the totals of the training tokens. Outcome 0 is all words that are not held."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    outcomes: np.ndarray
     tokens: int
     distinct: int
 
@@ -276,80 +355,44 @@ class Vocabulary:
         held = counts.where(wanted).toArrow()
         hashes, n = held.column("word").to_numpy().view(np.uint64), held.column("n").to_numpy()
         by = np.argsort(hashes)
-        hashes, n = hashes[by], n[by]
-        outcomes = np.empty(len(n), np.int32)
-        ranks = np.arange(len(n))
-        outcomes[np.lexsort((hashes, -n, hashes != END))] = ranks + (ranks >= OTHER)  # the end of text first, then by count
-        return cls(hashes, n, outcomes, sum(r["tokens"] for r in levels), sum(r["words"] for r in levels))
+        return cls(hashes[by], n[by], sum(r["tokens"] for r in levels), sum(r["words"] for r in levels))
 
-    @property
-    def size(self) -> int:
-        """Number of outcomes."""
-        return max(OTHER, len(self.hashes)) + 1
-
-    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (-1: not held) and outcomes of tokens."""
-        words, of = np.unique(tokens, return_inverse=True)
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (-1: not held) and outcomes of words."""
         if not len(self.hashes):
-            return np.full(len(tokens), -1), np.full(len(tokens), OTHER)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        held = self.hashes[at] == words
-        return np.where(held, self.counts[at], -1)[of], np.where(held, self.outcomes[at], OTHER).astype(np.int64)[of]
-
-    def contexts(self, tokens: np.ndarray, outcomes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The context code before every token. Words that are not held are hashed to the numbers behind the outcomes and the start."""
-        start, last = self.size, np.uint64((1 << WORD_BITS) - self.size - 1)
-        words = np.where(outcomes == OTHER, start + 1 + (tokens % last).astype(np.int64), outcomes)
-        return _contexts(words, sizes, start)
+            return np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        held = self.hashes[at] == hashes
+        return np.where(held, self.counts[at], -1), np.where(held, at + 1, 0)
 
     def others(self) -> tuple[int, int]:
         """Tokens and distinct words of the shared outcome."""
         return self.tokens - int(self.counts.sum()), self.distinct - len(self.counts)
 
-
-def _contexts(words: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
-    """The two words before every token as one number; ``start`` stands before a text."""
-    starts = offsets(sizes)[:-1]
-    before = np.concatenate([[start], words[:-1]])[: len(words)]
-    before[starts] = start
-    before2 = np.concatenate([[start], before[:-1]])[: len(words)]
-    before2[starts] = start
-    return before2 << WORD_BITS | before
+    def tree(self) -> Tree:
+        return Tree.of(np.concatenate([[self.others()[0]], self.counts]).astype(np.float64))
 
 
-def _pair_counts(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, known = WordHashes(), Vocabulary(**vocabulary.value)
-        for batch in slices(batches, "text"):
-            tokens, sizes = _tokens(batch, memo)
-            _, outcomes = known.look_up(tokens)
-            codes, n = np.unique(known.contexts(tokens, outcomes, sizes) * known.size + outcomes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
-
-    return run
-
-
-def _scores(vocabulary, weights):
+def _scores(shared, vocabulary):
     """Sums of what a task knows about its texts, and the rare words that are looked up by a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, known, model = WordHashes(), Vocabulary(**vocabulary.value), Weights(**weights.value)
+        tree, tables = shared.value
+        model, lexicon = Model(Tree(**tree), tables), Lexicon(Vocabulary(**vocabulary.value))
         for batch in slices(batches, "text"):
-            tokens, sizes = _tokens(batch, memo)
-            counts, outcomes = known.look_up(tokens)
-            codes, at = np.unique(known.contexts(tokens, outcomes, sizes) * known.size + outcomes, return_inverse=True)
-            modelled = model.log_probability(codes // known.size, codes % known.size)[at] / np.log(10)
-            held = counts >= 0
-            own = np.where(held, np.log10(np.maximum(counts, 0) + SMOOTHING), 0.0)
-            starts = offsets(sizes)[:-1]
+            words, sizes = lexicon.words(batch.column("text").to_pylist())
+            modelled = model.log_probability(*lexicon.contexts(words, sizes), lexicon.outcomes[words]) / np.log(10)
+            counts = lexicon.counts[words]
+            held, starts = counts >= 0, offsets(sizes)[:-1]
             sums = {
                 "n_tokens": sizes,
                 "n_known": np.add.reduceat(held.astype(np.int64), starts),
-                "log_counts": np.add.reduceat(own, starts),
+                "log_counts": np.add.reduceat(np.where(held, np.log10(np.maximum(counts, 0) + SMOOTHING), 0.0), starts),
                 "modelled": np.add.reduceat(modelled, starts),
             }
             rare = np.add.reduceat((~held).astype(np.int64), starts)
-            lists = pa.ListArray.from_arrays(pa.array(offsets(rare).astype(np.int32)), pa.array(tokens[~held].view(np.int64)))
+            unknown = lexicon.hashes[words[~held]].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets(rare).astype(np.int32)), pa.array(unknown))
             columns = {"id": batch.column("id"), "held_out": batch.column("held_out")}
             yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v) for k, v in sums.items()} | {"rare": lists})
 
@@ -362,7 +405,13 @@ _SCORE_ROWS = (
 
 
 def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, frequent: int = FREQUENT, rounds: int = ROUNDS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    folds: int = FOLDS,
+    frequent: int = FREQUENT,
+    rounds: int = ROUNDS,
+    rows: tuple[int, int, int] = ROWS,
 ) -> DataFrame:
     """``<id, held_out, n_tokens, n_known, train_tokens, base_score, score>`` of every row of ``docs``.
 
@@ -371,10 +420,10 @@ def score_texts(
     training rows every word is unknown. An empty table gives an empty result; other columns are ignored.
 
     Words are told apart by 64-bit hashes. At most ``frequent`` words are broadcast and have outcomes of their own; all others meet
-    their counts in a join.
+    their counts in a join. The hashed weights are a model of a fixed size, ``rows`` rows for the three choices.
     """
-    if frequent > MOST_HELD:
-        raise ValueError(f"at most {MOST_HELD} words are broadcast")
+    if frequent > FREQUENT:
+        raise ValueError(f"at most {FREQUENT} words are broadcast")
     context = docs.sparkSession.sparkContext
     held_out = (crc_mod(id_col, folds) == 0).alias("held_out")
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), held_out, text_bytes(text_col).alias("text"))
@@ -382,27 +431,21 @@ def score_texts(
     counts = training.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts, "words")
     known = Vocabulary.of(counts, frequent)
-    vocabulary = context.broadcast(vars(known))
-    # Slices are counted in themselves; one exchange by code, to a task for every core at least, adds them up.
-    parts = max(2 * context.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = training.mapInArrow(_pair_counts(vocabulary), "code bigint, n bigint").repartition(parts, "code")
-    pairs = pairs.groupBy("code").agg(F.sum("n").alias("n"))
-    outcome_counts = np.zeros(known.size)
-    outcome_counts[known.outcomes] = known.counts
-    other_tokens, other_words = known.others()
-    outcome_counts[OTHER] = other_tokens
-    weights = context.broadcast(vars(fit_weights(pairs, outcome_counts, rounds)))
+    vocabulary, tree = context.broadcast(vars(known)), known.tree()
+    model = fit(training, vocabulary, tree, rounds, rows)
+    shared = context.broadcast((vars(tree), model.tables))
 
-    found = narrow.mapInArrow(_scores(vocabulary, weights), _SCORE_ROWS).withColumn("row", F.monotonically_increasing_id())
+    found = narrow.mapInArrow(_scores(shared, vocabulary), _SCORE_ROWS).withColumn("row", F.monotonically_increasing_id())
     found = stage(found, "scores")
-    rare = found.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+    rare = found.select("row", F.explode(F.col("rare")).alias("word")).join(counts, "word", "left")
     looked_up = rare.groupBy("row").agg(
         F.count("n").alias("more_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING))).alias("more_logs")
     )
+    other_tokens, other_words = known.others()
     all_mass = float(np.log10(known.tokens + SMOOTHING * (known.distinct + 1)))
     other_mass = float(np.log10(other_tokens + SMOOTHING * (other_words + 1)))
     logs = F.coalesce("more_logs", F.lit(0.0))
-    return found.join(looked_up, "row", "left").select(
+    scored = found.join(looked_up, "row", "left").select(
         "id",
         "held_out",
         "n_tokens",
@@ -411,6 +454,9 @@ def score_texts(
         (F.col("log_counts") + logs - F.col("n_tokens") * F.lit(all_mass)).alias("base_score"),
         (F.col("modelled") + logs - F.size("rare") * F.lit(other_mass)).alias("score"),
     )
+    scored = stage(scored, "scored")
+    drop_staged(counts, found)
+    return scored
 
 
 def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
