@@ -58,36 +58,34 @@ def small_model(outcomes=700, seed=1, width=5):
     rng = np.random.default_rng(seed)
     counts = np.floor(3000 / np.arange(1, outcomes + 1)) * rng.integers(0, 2, outcomes)
     tree = maxent_lm.Tree.of(counts, bins=6, width=width)
-    model = maxent_lm.Model(tree, rows=(64, 128, 128))
+    model = maxent_lm.Model(tree, rows=(64, 128))
     for weights in model.tables:
         weights += rng.normal(0, 0.5, weights.shape).astype(np.float32)
     return model, rng
 
 
 def plain_log_probability(model, before, skipped, outcome):
-    """The three choices one by one, with dictionaries and plain sums."""
+    """The choices one by one, with dictionaries and plain sums."""
     tree = model.tree
     row = lambda h, salt, k: int(maxent_lm._rows(np.array([h], np.uint64), salt, len(model.tables[k]))[0])
     pair = (skipped * 0xC2B2AE3D27D4EB4F + before) % (1 << 64)
-    c, s, p = int(tree.classes[outcome]), int(tree.subclasses[outcome]), int(tree.places[outcome])
+    c, s = int(tree.classes[outcome]), int(tree.subclasses[outcome])
     steps = [(0, tree.class_bias, [row(before, 1, 0), row(pair, 2, 0), row(skipped, 3, 0)], c)]
     if (tree.classes == c).sum() > 1:
-        steps.append((1, tree.subclass_bias[c], [row(before, 8 + 2 * c, 1), row(skipped, 9 + 2 * c, 1)], s))
-    if tree.own_row[c, s] >= 0:
-        r = int(tree.own_row[c, s])
-        steps.append((2, tree.place_bias[r], [row(before, 1 << 20 | r, 2)], p))
-    total = 0.0
+        steps.append((1, tree.subclass_bias[c], [row(before, 8 + c, 1)], s))
+    total = float(tree.shares[outcome])
     for k, bias, rows, chosen in steps:
         logits = {j: float(b) + sum(float(model.tables[k][i, j]) for i in rows) for j, b in enumerate(bias) if b > maxent_lm.ABSENT}
         total += logits[chosen] - math.log(sum(math.exp(x) for x in logits.values()))
     return total
 
 
-def test_lm_tree_holds_every_outcome_once():
+def test_lm_tree_shares_the_mass():
     for outcomes, width in ((1, 5), (2, 5), (30, 5), (700, 5), (5000, 96)):
         tree = small_model(outcomes, width=width)[0].tree
-        ways = set(zip(tree.classes.tolist(), tree.subclasses.tolist(), tree.places.tolist()))
-        assert len(ways) == outcomes and max(w[1] for w in ways) < width and max(w[2] for w in ways) < width
+        assert len(tree.classes) == outcomes and tree.subclasses.max() < width
+        logs = tree.shares + tree.subclass_bias[tree.classes, tree.subclasses] + tree.class_bias[tree.classes]
+        assert np.exp(logs.astype(float)).sum() == pytest.approx(1, rel=1e-4)
 
 
 def test_lm_scores_equal_plain_sums_and_are_a_distribution():
@@ -152,7 +150,7 @@ def test_lm_odd_rows(spark, texts, monkeypatch):
     got = sorted((str(r.id), r.n_tokens) for r in maxent_lm.score_texts(docs).collect())
     assert got == sorted((str(r.doc_id), len((r.text or "").split()) + 1) for r in docs.collect())
     monkeypatch.setattr(maxent_lm, "LEXICON", 3)
-    batches = [pa.RecordBatch.from_pydict({"text": [t]}) for t in (b"a b c d", b"a b", b"", b"d d d")]
+    batches = [pa.RecordBatch.from_pydict({"text": [t]}) for t in ("a b c d", " A\x0bb ", "", "d d\x0cd")]
     sums = Counter()
     for batch in maxent_lm._word_counts(iter(batches)):
         sums.update(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist())))

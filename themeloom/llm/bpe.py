@@ -9,6 +9,7 @@ texts, not once per occurrence.
 from __future__ import annotations
 
 import base64
+import hashlib
 from bisect import bisect
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
@@ -29,6 +30,8 @@ PIECES = 30_000
 MEMO = 300_000
 LONG = 64
 DUCK_MEMORY = "200MB"
+# Ids that are decoded by one statement, but for a longer list.
+DECODED = 400_000
 
 # Rows (piece w, position i, token t, next token nt, rank k of the merge of both, round n). A round finds each piece's lowest
 # rank and its leftmost place, contracts this pair, moves what stands behind by one and looks up the two new pairs.
@@ -52,9 +55,9 @@ WITH RECURSIVE step(w, i, t, nt, k, n) AS (
     WHERE s.i <> b.at + 1
   ) c LEFT JOIN merges m ON m.pair = (CAST(c.t AS BIGINT) << 20 | c.nt)
 )
-SELECT w, list(t ORDER BY i) AS ids, unhex(string_agg(h, '' ORDER BY i)) AS decoded
+SELECT w, list(t ORDER BY i) AS ids
 FROM (SELECT w, n, i, t FROM step WHERE k IS NULL) JOIN (SELECT w, max(n) AS n FROM step WHERE i = 0 GROUP BY w) USING (w, n)
-JOIN vocabulary USING (t) GROUP BY w
+GROUP BY w
 """
 
 # Long pieces go through the same contraction as one statement a round, so that no earlier round is kept, and with all
@@ -79,10 +82,7 @@ _LONG_ROUND = """
   ) WHERE NOT gone
 """
 
-_FINISHED = """
-SELECT w, list(t ORDER BY i) AS ids, unhex(string_agg(h, '' ORDER BY i)) AS decoded
-FROM finished JOIN vocabulary USING (t) GROUP BY w
-"""
+_FINISHED = "SELECT w, list(t ORDER BY i) AS ids FROM finished GROUP BY w"
 
 _DECODE = """
 SELECT w, unhex(string_agg(h, '' ORDER BY i)) AS decoded FROM ids JOIN vocabulary USING (t) GROUP BY w
@@ -129,15 +129,14 @@ class Tables:
 
 
 class Encoder:
-    """Pieces to ids and decoded bytes, with DuckDB in this process; bounded memos keep what was seen before."""
+    """Texts to ids, and ids to bytes, with DuckDB in this process; bounded memos keep what was seen before."""
 
     def __init__(self, tables: Tables):
         self.tables = tables
         self.cut = regex.compile(tables.pattern)
         self.memo: dict[bytes, bytes] = {}
         self.after_space: dict[str, bytes] = {}
-        # Pieces that decode to something else, with what they decode to; none unless the vocabulary is broken.
-        self.broken: dict[bytes, bytes] = {}
+        self.known_bytes: dict[bytes, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY})
         merges = pa.table({"pair": tables.pairs, "k": tables.merged})
         vocabulary = pa.table({"t": pa.array(tables.ranks.values(), pa.int32()), "h": [t.hex() for t in tables.ranks]})
@@ -182,10 +181,30 @@ class Encoder:
         ids = found.column("ids").combine_chunks()
         ends = (np.asarray(ids.value_lengths()).cumsum() * 4).tolist()
         flat = np.asarray(ids.flatten()).astype("<i4").tobytes()
-        for n, a, b, decoded in zip(found.column("w").to_pylist(), chain([0], ends), ends, found.column("decoded").to_pylist()):
+        for n, a, b in zip(found.column("w").to_pylist(), chain([0], ends), ends):
             out[pieces[n]] = flat[a:b]
-            if decoded != pieces[n]:
-                self.broken[pieces[n]] = decoded
+
+    def decoded(self, ids: Collection[bytes]) -> dict[bytes, bytes]:
+        """The bytes of lists of little-endian ids: tokens joined by their place."""
+        out, rows, part = {}, 0, []
+        for own in [*ids, None]:
+            if part and (own is None or rows + len(own) > 4 * DECODED):
+                sizes = np.fromiter(map(len, part), np.int64, len(part)) // 4
+                w = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
+                i = (np.arange(len(w)) - np.repeat(offsets(sizes)[:-1], sizes)).astype(np.int32)
+                self.db.register("ids", pa.table({"w": w, "i": i, "t": np.frombuffer(b"".join(part), "<i4")}))
+                found = self.db.sql(_DECODE).to_arrow_table()
+                self.db.unregister("ids")
+                out |= {part[n]: text for n, text in zip(found.column("w").to_pylist(), found.column("decoded").to_pylist())}
+                rows, part = 0, []
+            if own is None:
+                return out
+            if own:
+                part.append(own)
+                rows += len(own)
+            else:
+                out[own] = b""
+        return out
 
     def chunks(self, parts: Collection[str], lead: str = "", lasting: Callable[[str], bool] = lambda part: False) -> dict[str, bytes]:
         """Ids of runs of text, each ``lead`` and a part; the pieces of ``lasting`` parts are kept for later."""
@@ -213,18 +232,16 @@ class Encoder:
         known = self.after_space
         fresh = self.chunks([p for p in parts if p not in known and p not in odd], " ", lambda part: parts[part] > 1)
         lookup = fresh | {p: known[p] for p in parts if p in known}
-        ids = [
-            first[text] if w else b"".join([first[own[0]], *[lookup[p] for p in own[1:]]]) for text, own, w in zip(texts, split, whole)
-        ]
+        parts_of = [[first[text]] if w else [first[own[0]], *[lookup[p] for p in own[1:]]] for text, own, w in zip(texts, split, whole)]
         again = [p for p in fresh if parts[p] > 1]
         known.update({p: fresh[p] for p in again[: max(0, MEMO - len(known))]})
-        return ids, [self._decoded(text) for text in texts]
-
-    def _decoded(self, text: str) -> bytes:
-        """The decoded pieces of a text one after the other; where every piece decodes to itself, that is the text."""
-        if not self.broken:
-            return text.encode()
-        return b"".join([self.broken.get(p, p) for p in map(str.encode, self.cut.findall(text))])
+        # What is decoded are the ids, whatever text they came from.
+        seen = self.known_bytes
+        new = self.decoded({ids for ids in chain(first.values(), lookup.values()) if ids not in seen})
+        tokens = new | {ids: seen[ids] for ids in chain(first.values(), lookup.values()) if ids in seen}
+        lasting = [fresh[p] for p in again if fresh[p] in new]
+        seen.update({ids: new[ids] for ids in lasting[: max(0, MEMO - len(seen))]})
+        return [b"".join(own) for own in parts_of], [b"".join([tokens[ids] for ids in own]) for own in parts_of]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,10 +250,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Null texts count as empty and have no ids. Rows with null or repeated ids stay; an empty table gives an empty result; other columns
     are ignored. ``ranks_path`` is read on the driver.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(vars(Tables(read_ranks(ranks_path), pattern)))
+    ranks = read_ranks(ranks_path)
+    # A replaced file is another vocabulary to a worker that is used again.
+    content = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    tables = docs.sparkSession.sparkContext.broadcast(vars(Tables(ranks, pattern)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state("bpe", (ranks_path, pattern), lambda: Encoder(Tables.of(tables.value)))
+        encoder = worker_state("bpe", (content, pattern), lambda: Encoder(Tables.of(tables.value)))
         for batch in slices(batches, "text", SLICE):
             with no_collection():
                 ids, decoded = encoder.texts(batch.column("text").to_pylist())

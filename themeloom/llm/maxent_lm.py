@@ -2,9 +2,9 @@
 
 The probability of a word given the two words before it is that of its class, times that of its subclass in the class, times that of the
 word in the subclass. Classes are bins of the words by falling count: of about equal mass where words are frequent, of a bounded
-number of words where they are rare; a class of up to ``WIDTH`` words has one in each subclass. Every factor is a softmax over a
+number of words where they are rare; a class of up to ``WIDTH`` words has one in each subclass. Class and subclass are softmaxes over a
 bias, which is the logarithm of the counts, and rows of hashed weights: for the class those of the word before, of the pair before and of
-the word before that (a skip), for subclass and word those of the word before and, for the subclass, the skip.
+the word before that (a skip), for the subclass that of the word before. Words that share a subclass, all of them rare, have their share of its counts.
 
 Every task of the training rows makes gradient updates over its own texts, a batch of tokens at a time; the tasks' weights are averaged,
 each row by how often a task has met it. All words that are broadcast have outcomes of their own; the rarer rest share one outcome and
@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from themeloom.llm.common import crc_mod, mixed, no_collection, offsets, slices, table, text_bytes
+from themeloom.llm.common import crc_mod, mixed, no_collection, offsets, slices, table
 from themeloom.session import drop_staged, released_shuffles, stage
 
 FOLDS = 10
@@ -30,8 +31,8 @@ SMOOTHING = 0.1
 FREQUENT = 600_000
 MASS_BINS = 64
 WIDTH = 96
-# Rows of hashed weights for class, subclass and word; the model's size, whatever the corpus.
-ROWS = (1 << 14, 1 << 15, 1 << 15)  # at most 2^16
+# Rows of hashed weights for class and subclass, at most 2^16; the model's size, whatever the corpus.
+ROWS = (1 << 14, 1 << 15)
 STEEPEST = 12.0
 BATCH = 4096
 RATE = 1.0
@@ -42,7 +43,6 @@ LEXICON = 500_000
 ABSENT = -1e4
 # No word holds a space, so this stands for the end of a text; the other hash for what is before its start.
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"  ")
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 # --- the model ----------------------------------------------------------------------------------------
@@ -50,18 +50,13 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 @dataclass
 class Tree:
-    """Where the outcomes are: class, subclass and place in it of each; biases of the three choices.
-
-    ``own_row`` has the row of ``place_bias`` of every (class, subclass), -1 where that holds one word at most.
-    """
+    """Where the outcomes are: class and subclass of each, the logarithm of its share of the subclass, biases of the two choices."""
 
     classes: np.ndarray
     subclasses: np.ndarray
-    places: np.ndarray
+    shares: np.ndarray
     class_bias: np.ndarray
     subclass_bias: np.ndarray
-    place_bias: np.ndarray
-    own_row: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray, bins: int = MASS_BINS, width: int = WIDTH) -> Tree:
@@ -71,7 +66,7 @@ class Tree:
         cuts = set(np.searchsorted(share, np.arange(1, bins) / bins, side="left").tolist())
         first, cut = [], 0
         for at in sorted(cuts | {0}) + [size]:
-            while at - cut > width * width:  # rare words: as many as subclasses can hold
+            while at - cut > width * width:  # rare words
                 cut += width * width
                 first.append(cut)
             if at < size:
@@ -80,25 +75,15 @@ class Tree:
         first = np.array(sorted(set(first)))
         n = np.diff(np.append(first, size))
         own = np.repeat(np.arange(len(first)), n)
-        inside = np.arange(size) - first[own]
-        each = -(-n // width)
-        columns = [np.empty(size, np.int32) for _ in range(3)]
-        for column, values in zip(columns, (own, inside // each[own], inside % each[own])):
-            column[order] = values
-        classes, subclasses, places = columns
-        many = np.flatnonzero(each > 1)
-        own_row = np.full((len(first), width), -1, np.int32)
-        own_row[many] = np.arange(len(many) * width).reshape(-1, width)
-        sums = [np.zeros(len(first)), np.zeros((len(first), width)), np.zeros((max(1, len(many) * width), width))]
+        classes, subclasses = np.empty(size, np.int32), np.empty(size, np.int32)
+        classes[order], subclasses[order] = own, (np.arange(size) - first[own]) // -(-n // width)[own]
+        sums = [np.zeros(len(first)), np.zeros((len(first), width))]
         np.add.at(sums[0], classes, mass)
         np.add.at(sums[1], (classes, subclasses), mass)
-        deep = own_row[classes, subclasses] >= 0
-        np.add.at(sums[2], (own_row[classes, subclasses][deep], places[deep]), mass[deep])
         biases = [
-            np.where(s > 0, np.log(np.where(s > 0, s, 1.0) / np.maximum(s.sum(axis=-1, keepdims=True), SMOOTHING)), ABSENT).astype(np.float32)
-            for s in sums
+            np.where(s > 0, np.log(np.where(s > 0, s, 1.0) / s.sum(axis=-1, keepdims=True)), ABSENT).astype(np.float32) for s in sums
         ]
-        return cls(classes, subclasses, places, *biases, own_row)
+        return cls(classes, subclasses, np.log(mass / sums[1][classes, subclasses]).astype(np.float32), *biases)
 
     @property
     def outcomes(self) -> int:
@@ -111,11 +96,11 @@ def _rows(hashes: np.ndarray, salt: object, rows: int) -> np.ndarray:
 
 
 class Model:
-    """A tree with its hashed weights, one table for each of the three choices."""
+    """A tree with its hashed weights, one table for each of the two choices."""
 
-    def __init__(self, tree: Tree, tables: list[np.ndarray] | None = None, rows: tuple[int, int, int] = ROWS):
+    def __init__(self, tree: Tree, tables: list[np.ndarray] | None = None, rows: tuple[int, int] = ROWS):
         self.tree = tree
-        widths = (len(tree.class_bias), tree.subclass_bias.shape[1], tree.place_bias.shape[1])
+        widths = (len(tree.class_bias), tree.subclass_bias.shape[1])
         self.tables = tables or [np.zeros((r, w), np.float32) for r, w in zip(rows, widths)]
 
     def choices(self, before: np.ndarray, skipped: np.ndarray, outcomes: np.ndarray) -> Iterator[tuple]:
@@ -124,17 +109,11 @@ class Model:
         own, sub = tree.classes[outcomes], tree.subclasses[outcomes]
         with np.errstate(over="ignore"):
             pair = skipped * np.uint64(0xC2B2AE3D27D4EB4F) + before
-        everything = np.arange(len(outcomes))
         features = [_rows(before, 1, sizes[0]), _rows(pair, 2, sizes[0]), _rows(skipped, 3, sizes[0])]
-        yield 0, everything, tree.class_bias[None, :], features, own
+        yield 0, np.arange(len(outcomes)), tree.class_bias[None, :], features, own
         several = np.flatnonzero(tree.subclass_bias[own, 1] > ABSENT)
         c = own[several]
-        features = [_rows(before[several], 8 + 2 * c, sizes[1]), _rows(skipped[several], 9 + 2 * c, sizes[1])]
-        yield 1, several, np.take(tree.subclass_bias, c, axis=0), features, sub[several]
-        row = tree.own_row[own, sub]
-        deep = np.flatnonzero(row >= 0)
-        r = row[deep]
-        yield 2, deep, np.take(tree.place_bias, r, axis=0), [_rows(before[deep], 1 << 20 | r, sizes[2])], tree.places[outcomes[deep]]
+        yield 1, several, np.take(tree.subclass_bias, c, axis=0), [_rows(before[several], 8 + c, sizes[1])], sub[several]
 
     def _softmax(self, table: np.ndarray, bias: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Exponentials of the logits and their sums. Biases are 0 at most and weights ``STEEPEST``, so that none overflows."""
@@ -147,7 +126,7 @@ class Model:
 
     def log_probability(self, before: np.ndarray, skipped: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
         """Natural logarithm for every token; ``before`` and ``skipped`` are hashes of the two words before it."""
-        out = np.zeros(len(outcomes))
+        out = self.tree.shares[outcomes].astype(np.float64)
         for cut in range(0, len(out), BATCH):
             part = slice(cut, cut + BATCH)
             for k, at, bias, features, chosen in self.choices(before[part], skipped[part], outcomes[part]):
@@ -213,7 +192,7 @@ def _learned(shared, vocabulary):
         tree, tables = shared.value
         learner, lexicon = Learner(Model(Tree(**tree), [t.copy() for t in tables])), Lexicon(Vocabulary(**vocabulary.value))
         for batch in slices(batches, "text"):
-            words, sizes = lexicon.words(batch.column("text").to_pylist())
+            words, sizes = lexicon.words(batch.column("text"))
             learner.learn(*lexicon.contexts(words, sizes), lexicon.outcomes[words])
         for k, (weights, met) in enumerate(zip(learner.model.tables, learner.met)):
             for block in range(0, len(weights), _BLOCK):
@@ -233,7 +212,7 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return first
 
 
-def fit(training: DataFrame, vocabulary, tree: Tree, rounds: int = ROUNDS, rows: tuple[int, int, int] = ROWS) -> Model:
+def fit(training: DataFrame, vocabulary, tree: Tree, rounds: int = ROUNDS, rows: tuple[int, int] = ROWS) -> Model:
     """The model after ``rounds`` passes over ``<text>``; a pass is one set of tasks whose weights are averaged.
 
     A row that tasks have met n times in all moves to their mean by n / (n + ``PRIOR``), so rare rows stay near zero. What reaches
@@ -279,18 +258,24 @@ class Lexicon(dict):
         self[word] = number = len(self)
         return number
 
-    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of some texts, an end (number 0) after each, and how many each text has."""
         if len(self) > LEXICON:
             self._reset()
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        found = parts.flatten()
+        # White space at either end of a text leaves an empty part there.
+        real = np.asarray(pc.not_equal(pc.binary_length(found), 0))
+        of = np.repeat(np.arange(len(texts)), np.asarray(parts.value_lengths()))
+        sizes = np.bincount(of[real], minlength=len(texts)) + 1
+        encoded = found.filter(pa.array(real)).dictionary_encode()
         with no_collection():
-            parts = [text.translate(_FOLD).split() for text in texts]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-            numbers: list[int] = []
-            for part in parts:
-                numbers += map(self.__getitem__, part)
-                numbers.append(0)
-            words = np.array(numbers, np.int64)
+            distinct = encoded.dictionary.cast(pa.binary()).to_pylist()
+            numbers = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
+        words = np.zeros(int(sizes.sum()), np.int64)
+        inner = np.ones(len(words), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        words[inner] = numbers[np.asarray(encoded.indices)]
         if self.fresh:
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.fresh], np.uint64)
             self.hashes = np.append(self.hashes, hashes)
@@ -320,7 +305,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in slices(batches, "text"):
         hashes = lexicon.hashes
-        words, _ = lexicon.words(batch.column("text").to_pylist())
+        words, _ = lexicon.words(batch.column("text"))
         if len(lexicon.hashes) < len(totals):  # numbers begin anew
             yield flushed(hashes)
             totals = np.zeros(0, np.int64)
@@ -380,7 +365,7 @@ def _scores(shared, vocabulary):
         tree, tables = shared.value
         model, lexicon = Model(Tree(**tree), tables), Lexicon(Vocabulary(**vocabulary.value))
         for batch in slices(batches, "text"):
-            words, sizes = lexicon.words(batch.column("text").to_pylist())
+            words, sizes = lexicon.words(batch.column("text"))
             modelled = model.log_probability(*lexicon.contexts(words, sizes), lexicon.outcomes[words]) / np.log(10)
             counts = lexicon.counts[words]
             held, starts = counts >= 0, offsets(sizes)[:-1]
@@ -411,7 +396,7 @@ def score_texts(
     folds: int = FOLDS,
     frequent: int = FREQUENT,
     rounds: int = ROUNDS,
-    rows: tuple[int, int, int] = ROWS,
+    rows: tuple[int, int] = ROWS,
 ) -> DataFrame:
     """``<id, held_out, n_tokens, n_known, train_tokens, base_score, score>`` of every row of ``docs``.
 
@@ -420,13 +405,13 @@ def score_texts(
     training rows every word is unknown. An empty table gives an empty result; other columns are ignored.
 
     Words are told apart by 64-bit hashes. At most ``frequent`` words are broadcast and have outcomes of their own; all others meet
-    their counts in a join. The hashed weights are a model of a fixed size, ``rows`` rows for the three choices.
+    their counts in a join. The hashed weights are a model of a fixed size, ``rows`` rows for the two choices.
     """
     if frequent > FREQUENT:
         raise ValueError(f"at most {FREQUENT} words are broadcast")
     context = docs.sparkSession.sparkContext
     held_out = (crc_mod(id_col, folds) == 0).alias("held_out")
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), held_out, text_bytes(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), held_out, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = narrow.where("NOT held_out").select("text")
     counts = training.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage(counts, "words")
