@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -186,6 +187,44 @@ def test_main_text_of_articles():
     assert html_text.main_text("plain & simple < text") == "plain & simple < text"
 
 
+PARAGRAPH = "<p>" + "many words of a real paragraph here " * 8 + "</p>"
+TAGGED = "<div>" + "".join(f"<div><span><b>x{i}</b></span><i>y</i></div>" for i in range(30)) + "</div>"
+FRAME = "<html><body><nav><a href=/>Home</a></nav>%s</body></html>"
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<div>%s</div>"])
+@pytest.mark.parametrize("parts", [(3, 0), (0, 3), (2, 2)])
+def test_html_threshold_leaves_out_tag_dense_lines(around, parts):
+    """No list of names knows the lines that only the threshold removes."""
+    page = FRAME % (around % (PARAGRAPH * parts[0] + TAGGED + PARAGRAPH * parts[1]))
+    found = html_text.main_text(page)
+    assert found.count("many words") == 8 * sum(parts) and "x15" not in found
+    every = html_text.main_text(page, dense=0, dense_open=0)  # switched off
+    assert "x15" in every and "x0" in every and "x29" in every
+
+
+def test_html_regions_outside_of_the_article_are_left_out():
+    page = FRAME % (TAGGED + PARAGRAPH.replace("real", "other") + "<article>" + PARAGRAPH * 2 + "</article>" + TAGGED)
+    assert html_text.main_text(page) == " ".join(["many words of a real paragraph here"] * 16)
+
+
+def test_html_open_anchors_names_and_items():
+    assert html_text.main_text("<a name=top>" + PARAGRAPH * 4).count("real") == 32  # an anchor that is never closed links nothing
+    assert html_text.main_text(FRAME % (PARAGRAPH + "<div><a href=x>one <a href=y>two</a></div>" + PARAGRAPH)).count("real") == 16
+    named = "<p class='share-price'>the price</p><h2 class='entry-header'>headline</h2><p class='post-content no-sidebar'>kept</p>"
+    furniture = "<div class='site-header'>gone1</div><div id=cookie-notice>gone2</div><div class='related-posts'>gone3</div>"
+    assert html_text.main_text(FRAME % ("<article>" + PARAGRAPH + named + furniture + PARAGRAPH + "</article>")).split("here ")[8][:31] == "the price headline kept many wo"
+    items = "<ul><li class=share>gone<li>one item of the list<li>two items</ul><table><tr><td class=ad>gone<td>cell<tr><td>last</table>"
+    found = html_text.main_text(FRAME % ("<article>" + PARAGRAPH + items + PARAGRAPH + "</article>"))
+    assert "gone" not in found and "here one item of the list two items cell last many" in found
+
+
+def test_html_deep_nesting_takes_linear_time():
+    began = time.perf_counter()
+    assert html_text.main_text("<div>" * 40_000 + "</span></b>" * 40_000 + "text") == "text"
+    assert time.perf_counter() - began < 5
+
+
 def test_html_query_equals_the_articles(spark, sf_dir):
     pages = {r.page_id: r for r in table(spark, sf_dir, "pages").collect()}
     for row in html_text.op2_html_text(spark, sf_dir).collect():

@@ -2,8 +2,9 @@
 
 The standard library's streaming parser turns a page into lines: runs of text between block elements. The ratio of text to tags of each line is
 smoothed over its neighbours with a Gaussian, and the threshold between a low and a high cluster of the smoothed values marks
-content. Elements that never hold the article (menus, footers, forms and the like) are left out, and a content region takes in
-the whole of the article element around it, so that short paragraphs are not lost.
+content. A region of content grows by a few lines on either side, so that headings and short paragraphs are not lost; longer runs of
+lines below the threshold are no content, inside an article element too. Elements that never hold the article (menus, footers, forms and the
+like) are left out first, and where a page has article elements, regions outside of them.
 """
 
 from __future__ import annotations
@@ -31,14 +32,33 @@ BLOCKS = frozenset(
     "figcaption address details summary hr br center".split()
 )
 CONTAINERS = frozenset(("article", "main"))
-# First or last parts of class, id and role names that stand for page furniture.
+# Parts of class, id and role names that stand for page furniture, and parts that say nothing about it. A name counts if it has one of the
+# former and no part beside these: "site-header" does, "entry-header" and "share-price" do not.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "aside footer masthead header cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing "
     "social related recommended comment comments replies respond disqus pagination pager toolbar widget search searchbox complementary "
     "contentinfo".split()
 )
-NEGATIONS = frozenset(("no", "has", "with", "without"))
+NEUTRAL = frozenset(
+    "site page main global top bottom left right primary secondary sub box bar block wrap wrapper container outer inner list item items area "
+    "section group links posts buttons form js".split()
+)
+# What a start tag ends that was left open, up to the element that keeps it in: an item by the next one, and so on.
+ENDS = {
+    "li": (("li",), ("ul", "ol")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+    "a": (("a",), ()),
+} | {block: (("p",), ("td", "th", "li", "div", "article", "main", "section", "body")) for block in BLOCKS - {"br", "html", "body", "li", "dt", "dd", "tr", "td", "th"}}
+# Lines that a region of content takes in on either side, and characters a tag above which a line is never tag-dense: inside an article
+# element, whose short paragraphs are its text, and in pages without one.
+REACH = 3
+DENSE, DENSE_OPEN = 2.0, 10.0
 
 
 @dataclass
@@ -62,34 +82,46 @@ class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, dropped, container
+        self.open: list[tuple[str, bool, int, bool]] = []  # element, dropped, container, link
+        self.places: dict[str, list[int]] = {}  # where the open elements of each name are
         self.links = 0
         self.containers = 0
         self.line = Line()
 
+    def _around(self) -> tuple[bool, int]:
+        return self.open[-1][1:3] if self.open else (False, 0)
+
     def _next(self) -> None:
         self.lines.append(self.line)
-        _, dropped, container = self.open[-1] if self.open else ("", False, 0)
+        dropped, container = self._around()
         self.line = Line(dropped=dropped, container=container)
 
+    def _last(self, *names: str) -> int:
+        """The innermost open element of some names; -1 without one."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ENDS:
+            ended, keepers = ENDS[tag]
+            at = self._last(*ended)
+            if at >= 0 and at > self._last(*keepers, *CONTAINERS):
+                self._cut(at)
         if tag in VOID:
             if tag in BLOCKS:
                 self._next()
             self.line.tags += 1
             return
-        _, dropped, container = self.open[-1] if self.open else ("", False, 0)
+        dropped, container = self._around()
         named = dropped or tag in DROPPED or self._furniture(tag, attrs)
         if tag in CONTAINERS and not named and not container:
             self.containers += 1
             container = self.containers
-        if tag == "p" and any(name == "p" for name, *_ in self.open[-3:]):
-            self._close("p")  # a paragraph ends where the next one begins
-        self.open.append((tag, named, container))
+        link = tag == "a" and any(name == "href" for name, _ in attrs)
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, named, container, link))
         if tag in BLOCKS or tag in CONTAINERS or named != dropped:
             self._next()
-        if tag == "a":
-            self.links += 1
+        self.links += link
         self.line.tags += 1
 
     @staticmethod
@@ -99,8 +131,8 @@ class LineParser(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 for word in value.lower().replace("_", "-").split():
-                    parts = word.split("-")
-                    if (parts[0] in FURNITURE or parts[-1] in FURNITURE) and parts[0] not in NEGATIONS:
+                    parts = {part.strip("0123456789") for part in word.split("-")} - {""}
+                    if parts & FURNITURE and parts <= FURNITURE | NEUTRAL:
                         return True
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -108,26 +140,25 @@ class LineParser(HTMLParser):
                 return True
         return False
 
-    def _close(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                before = self.open[-1][1:]
-                del self.open[at:]
-                after = self.open[-1][1:] if self.open else (False, 0)
-                if tag in BLOCKS or tag in CONTAINERS or before != after:
-                    self._next()
-                return
-            # An inline element that was never closed does not hold back the end of what is around it, but an
-            # end tag without a start closes nothing beyond the next container.
-            if self.open[at][0] in CONTAINERS and tag not in ("body", "html"):
-                return
+    def _cut(self, at: int) -> None:
+        """Ends an open element and all that is open inside it."""
+        before, block = self._around(), False
+        for name, _, _, link in reversed(self.open[at:]):
+            self.places[name].pop()
+            self.links -= link
+            block = block or name in BLOCKS or name in CONTAINERS
+        del self.open[at:]
+        if block or before != self._around():
+            self._next()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
-        if tag == "a":
-            self.links = max(0, self.links - 1)
-        self._close(tag)
+        at = self._last(tag)
+        # An inline element that was never closed does not hold back the end of what is around it, but an
+        # end tag without a start closes nothing beyond the next container.
+        if at >= 0 and (tag in ("body", "html") or at >= self._last(*CONTAINERS)):
+            self._cut(at)
         self.line.tags += 1
 
     def handle_data(self, data: str) -> None:
@@ -164,7 +195,18 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str, sigma: float = SIGMA) -> str:
+def grown(content: np.ndarray, allowed: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Content with up to ``reach`` allowed lines next to it on either side; a run of allowed lines between two regions has to be that short."""
+    out = content.copy()
+    for step in (1, -1):
+        near = content[::step].copy()
+        for _ in range(reach):
+            near[1:] |= near[:-1] & allowed[::step][1:]
+        out |= near[::step]
+    return out
+
+
+def main_text(html: str, sigma: float = SIGMA, reach: int = REACH, dense: float = DENSE, dense_open: float = DENSE_OPEN) -> str:
     """The article's text of one page; empty if it has none."""
     parser = LineParser()
     parser.feed(html)
@@ -174,24 +216,17 @@ def main_text(html: str, sigma: float = SIGMA) -> str:
     if not keep:
         return ""
     lines, texts = [lines[i] for i in keep], [texts[i] for i in keep]
+    # Logarithms, so that one long paragraph does not make all others low.
     ratio = np.array([(len(text) - min(line.linked, len(text))) / max(1, line.tags) for line, text in zip(lines, texts)])
-    score = smoothed(ratio, sigma)
-    content = score >= threshold(score)
-    inside = {line.container for line, good in zip(lines, content) if good and line.container}
-    if inside:
-        # Regions grow to the article elements they lie in; what is outside of all of these is not part of the article.
-        chosen = [text for line, text in zip(lines, texts) if line.container in inside]
-    else:
-        at = np.flatnonzero(content)
-        first, last = (at[0], at[-1]) if len(at) else (0, len(texts) - 1)
-        mostly_links = [2 * line.linked > len(text) for line, text in zip(lines, texts)]
-        # Headings before the first dense line belong to it.
-        while first > 0 and not mostly_links[first - 1]:
-            first -= 1
-        while last + 1 < len(texts) and not mostly_links[last + 1]:
-            last += 1
-        chosen = [text for text, links in zip(texts[first : last + 1], mostly_links[first : last + 1]) if not links]
-    return " ".join(chosen)
+    score = smoothed(np.log1p(ratio), sigma)
+    container = np.array([line.container for line in lines])
+    content = score >= np.minimum(threshold(score), np.log1p(np.where(container > 0, dense, dense_open)))
+    inside = np.isin(container, np.unique(container[content & (container > 0)])) if (content & (container > 0)).any() else np.ones(len(lines), bool)
+    unlinked = np.array([2 * line.linked <= len(text) for line, text in zip(lines, texts)])
+    # Regions grow inside the article elements that hold content; what is outside of all of these is not part of the article.
+    content &= inside & (unlinked | (container > 0))
+    kept = grown(content, inside & unlinked, reach)
+    return " ".join(text for text, good in zip(texts, kept) if good)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
