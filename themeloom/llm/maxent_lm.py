@@ -1,8 +1,8 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
 The probability of a word given the two words before it is that of its class, times that of its subclass in the class, times that of the
-word in the subclass. Classes are bins of the words by falling count: of about equal mass where words are frequent, of a bounded
-number of words where they are rare; a class of up to ``WIDTH`` words has one in each subclass. Class and subclass are softmaxes over a
+word in the subclass. Classes are bins of the words by falling count, of about equal mass; a class has ``WIDTH`` subclasses at most, and
+one for each of its words if there are no more. Class and subclass are softmaxes over a
 bias, which is the logarithm of the counts, and rows of hashed weights: for the class those of the word before, of the pair before and of
 the word before that (a skip), for the subclass that of the word before. Words that share a subclass, all of them rare, have their share of its counts.
 
@@ -63,16 +63,8 @@ class Tree:
         size, mass = len(counts), counts + SMOOTHING
         order = np.argsort(-counts, kind="stable")
         share = np.cumsum(mass[order]) / mass.sum()
-        cuts = set(np.searchsorted(share, np.arange(1, bins) / bins, side="left").tolist())
-        first, cut = [], 0
-        for at in sorted(cuts | {0}) + [size]:
-            while at - cut > width * width:  # rare words
-                cut += width * width
-                first.append(cut)
-            if at < size:
-                cut = at
-                first.append(at)
-        first = np.array(sorted(set(first)))
+        cuts = np.searchsorted(share, np.arange(1, bins) / bins, side="left")
+        first = np.unique(np.concatenate([[0], cuts[cuts < size]]))
         n = np.diff(np.append(first, size))
         own = np.repeat(np.arange(len(first)), n)
         classes, subclasses = np.empty(size, np.int32), np.empty(size, np.int32)
