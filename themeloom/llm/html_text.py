@@ -59,6 +59,8 @@ ENDS = {
 # element, whose short paragraphs are its text, and in pages without one.
 REACH = 3
 DENSE, DENSE_OPEN = 2.0, 10.0
+# Two clusters of smoothed logarithms that are less apart are one.
+APART = 1.0
 
 
 @dataclass
@@ -180,19 +182,18 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[reach : reach + len(values)] / ones
 
 
-def threshold(values: np.ndarray) -> float:
-    """The middle between the means of a low and a high cluster (two-means from the extremes)."""
+def threshold(values: np.ndarray, least_gap: float = APART) -> float:
+    """The middle between the means of a low and a high cluster (two-means from the extremes); below all values if these are not apart."""
     low, high = float(values.min()), float(values.max())
     for _ in range(50):
-        middle = (low + high) / 2
-        above = values > middle
+        above = values > (low + high) / 2
         if not above.any() or above.all():
-            return middle
+            break
         new = float(values[~above].mean()), float(values[above].mean())
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return (low + high) / 2 if high - low >= least_gap else float(values.min())
 
 
 def grown(content: np.ndarray, allowed: np.ndarray, reach: int = REACH) -> np.ndarray:
