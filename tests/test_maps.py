@@ -202,7 +202,8 @@ def test_category_map(stories):
     volumes = {r.grp: r for r in result.volumes.collect()}
     assert set(volumes) == {"global", "sport", "money", "music"}
     assert volumes["global"].volume == sum(v.volume for g, v in volumes.items() if g != "global")
-    assert volumes["music"].cluster_sizes == [volumes[g].volume for g in ("sport", "money", "music")]
+    assert volumes["global"].cluster_sizes == [volumes[g].volume for g in ("sport", "money", "music")]
+    assert volumes["music"].cluster_sizes is None
     plain = theme_maps.category_theme_map(stories, n_topics=3, max_iter=5, stop_words=["song", "the"])
     assert plain.themes.where("word = 'song'").isEmpty() and not result.themes.where("word = 'song'").isEmpty()
     best = result.themes.where("grp = 'music' and rank = 1").first().word

@@ -1,3 +1,6 @@
+import itertools
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +48,28 @@ def test_topics_do_not_depend_on_partitions(spark, mixture):
     np.testing.assert_allclose(one.components, many.components, atol=1e-6)
 
 
+@pytest.mark.parametrize("k", range(1, 8))
+def test_matching_equals_brute_force(k):
+    rng = np.random.default_rng(k)
+    for gain in (rng.random((k, k)), rng.integers(0, 3, (k, k)).astype(float), np.zeros((k, k))):
+        match = topics.best_matching(gain)
+        assert sorted(match.tolist()) == list(range(k))
+        best = max(sum(gain[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(k)))
+        assert gain[np.arange(k), match].sum() == pytest.approx(best)
+
+
+def test_stability_matches_topics_one_to_one(spark):
+    """Both topics of one seed are nearest to the same topic of the other; only one of them gets it."""
+    terms = list("abcdef")
+    made = lambda rows: topics.TopicModel(np.array(rows, float))
+    first, second = made([[9, 8, 7, 0, 0, 0], [9, 8, 0, 6, 0, 0]]), made([[9, 8, 7, 6, 0, 0], [0, 0, 0, 0, 5, 4]])
+    table = spark.createDataFrame(list(enumerate(terms)), "term_id int, term string")
+    holder = type("Words", (), {"table": lambda self, _: table})()
+    got = topics.topic_stability({1: (first, holder), 2: (second, holder)}, spark, 4).collect()
+    assert {(r.seed, r.topic): r.other_topic for r in got} in ({(1, 0): 0, (1, 1): 1, (2, 0): 0, (2, 1): 1}, {(1, 0): 1, (1, 1): 0, (2, 0): 1, (2, 1): 0})
+    assert sorted(r.overlap for r in got) == [0.0, 0.0, 0.75, 0.75]
+
+
 def test_topics_over_several_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.random((30, 700)) * (rng.random((30, 700)) < 0.1)
@@ -176,7 +201,39 @@ def test_embeddings(spark, docs):
     def make():
         return lambda texts: np.array([[len(t)] for t in texts], dtype=np.float32)
 
-    assert [r.embedding for r in features.embed_documents(df, make).orderBy("doc_id").collect()] == [[13], [13], [11], [0]]
+    assert [r.embedding for r in features.embed_texts(df, make).orderBy("doc_id").collect()] == [[13], [13], [11], [0]]
+
+
+@pytest.mark.parametrize("max_tokens, truncate", [(512, False), (4, False), (4, True)])
+def test_embeddings_are_masked_means_for_any_batch(spark, docs, max_tokens, truncate):
+    texts = ["", "one", *[" ".join(f"w{(i * j) % 17}x" for j in range(i)) for i in range(2, 40)]]
+    df = docs(*texts).union(spark.createDataFrame([(99, None)], "doc_id bigint, content string"))
+    want = None
+    for batch_size in (1, 7, 64):
+        options = {"batch_size": batch_size, "max_tokens": max_tokens, "truncate": truncate}
+        rows = {r.doc_id: r.embedding for r in features.embed_documents(df, **options).collect()}
+        tokens = features.token_vectors(df, **options)
+        pooled = {r.doc_id: r.embedding for r in features.masked_mean_pool(tokens).collect()}
+        assert set(rows) - set(pooled) == {0, 99} and not any(rows[0]) and not any(rows[99])
+        for k, mean in pooled.items():
+            np.testing.assert_allclose(rows[k], mean, atol=1e-6)
+        want = want or rows
+        assert all(np.allclose(rows[k], want[k], atol=1e-6) for k in rows)
+        if batch_size == 64 and max_tokens == 4:
+            assert tokens.where("mask = 0").count() > 0
+    if truncate:
+        assert rows[20] == pytest.approx(rows_of_first(spark, texts[20], 4), abs=1e-6)
+
+
+def rows_of_first(spark, text, n):
+    df = spark.createDataFrame([(0, " ".join(text.split()[:n]))], "doc_id bigint, content string")
+    return features.embed_documents(df).first().embedding
+
+
+def test_token_model_vectors_look_normal():
+    vectors = features.hashed_token_model(64)()(np.arange(2000)[None, :], np.ones((1, 2000), bool))[0]
+    assert abs(vectors.mean()) < 0.02 and abs(vectors.std() - 1) < 0.02
+    assert np.abs(np.corrcoef(vectors[:50])[np.triu_indices(50, 1)]).max() < 0.6
 
 
 # --- clusters ---------------------------------------------------------------------------------------
@@ -225,6 +282,62 @@ def test_hierarchy_over_micro_clusters(spark, blobs):
     assert same_partition([r.cluster for r in got], naive_ward(blobs, 4))
 
 
+def greedy_merges(centers, weights):
+    """Ward by the smallest growth of all pairs, each time anew."""
+    c, n, left, out = centers.copy(), weights.astype(float).copy(), list(range(len(centers))), []
+    while len(left) > 1:
+        cost = {(a, b): n[a] * n[b] / (n[a] + n[b]) * ((c[a] - c[b]) ** 2).sum() for a in left for b in left if a < b}
+        a, b = min(cost, key=lambda p: (cost[p], p))
+        c[a], n[a] = (n[a] * c[a] + n[b] * c[b]) / (n[a] + n[b]), n[a] + n[b]
+        left.remove(b)
+        out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chains_give_the_greedy_merges(seed):
+    rng = np.random.default_rng(seed)
+    centers, weights = rng.standard_normal((2 + 9 * seed, 3)), rng.integers(1, 20, 2 + 9 * seed)
+    assert clusters.ward_merges(centers, weights) == greedy_merges(centers, weights)
+
+
+def test_merges_of_many_centers_take_seconds():
+    rng = np.random.default_rng(1)
+    began = time.perf_counter()
+    merges = clusters.ward_merges(rng.standard_normal((4096, 20)), rng.integers(1, 50, 4096))
+    assert len(merges) == 4095 and time.perf_counter() - began < 30
+
+
+def test_feature_tree_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.standard_normal((300, 4)) + 6 * (i % 3) for i in range(3)] + [np.ones((40, 4))])
+    trees = [clusters.feature_tree(as_points(spark, x, p), 50) for p in (1, 7)]
+    np.testing.assert_allclose(trees[0].centers, trees[1].centers, atol=1e-9)
+    assert (trees[0].weights == trees[1].weights).all() and trees[0].weights.sum() == len(x) and len(trees[0].weights) == 50
+    near = trees[0].place(x)
+    for leaf in range(50):
+        np.testing.assert_allclose(x[near == leaf].mean(axis=0), trees[0].centers[leaf], atol=1e-9)
+    error = sum(((x[near == leaf] - trees[0].centers[leaf]) ** 2).sum() for leaf in range(50))
+    assert error < 0.15 * ((x - x.mean(axis=0)) ** 2).sum()
+
+
+def test_feature_tree_of_few_distinct_points(spark):
+    """A leaf for each, exactly, also where values differ by the last bit."""
+    x = np.array([[1.0, 5.0], [np.nextafter(1.0, 2), 5.0], [1.0, 5.0], [1e9, -3.0], [1.0, 5.5]] * 3)
+    tree = clusters.feature_tree(as_points(spark, x), 512)
+    assert sorted(map(tuple, tree.centers)) == sorted(set(map(tuple, x)))
+    assert sorted(tree.weights.tolist()) == [3, 3, 3, 6]
+    with pytest.raises(ValueError):
+        clusters.feature_tree(as_points(spark, x).limit(0))
+
+
+def test_chosen_k_equals_brute_force(spark, blobs):
+    points = as_points(spark, blobs)
+    scores = {k: silhouette(blobs, naive_ward(blobs, k), 2) for k in range(2, 13)}
+    best = clusters.select_k(clusters.score_cuts(points, clusters.fit_hierarchy(points), 12)).first()
+    assert best.k == max(scores, key=lambda k: (round(scores[k], 9), -k)) and best.score == pytest.approx(scores[best.k])
+
+
 def silhouette(x, labels, power):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) ** power
     scores = []
@@ -270,6 +383,29 @@ def test_lloyd_keeps_empty_clusters(spark, blobs):
     np.testing.assert_allclose(moved[3], [100.0] * 3)
 
 
+@pytest.mark.parametrize("spread", [0.3, 3.0])
+def test_bounded_rounds_give_the_labels_of_plain_ones(spark, spread):
+    """Full runs, with points that tie between centers, equal centers and a center without points."""
+    rng = np.random.default_rng(12)
+    middles = rng.random((9, 3)) * 10
+    x = np.vstack([middles.repeat(40, axis=0) + spread * rng.standard_normal((360, 3)), np.zeros((5, 3)), middles.repeat(3, axis=0)])
+    points, start = stage(as_points(spark, x), "points"), np.vstack([x[:360:40] + 0.1, x[:1] + 0.1, [[200.0, 0, 0]]])
+    centers, previous = start, None
+    for _ in range(100):
+        used, near = centers, np.array([((x - c) ** 2).sum(1) for c in centers]).argmin(axis=0)
+        moved = np.array([x[near == k].mean(axis=0) if (near == k).any() else c for k, c in enumerate(centers)])
+        if previous is not None and np.linalg.norm(moved - previous) < 1e-4:
+            break
+        centers = previous = moved
+    for bounded_from in (0, 3, 1000):
+        trace = []
+        got, _ = clusters.kmeans_lloyd(points, start, bounded_from=bounded_from, trace=trace)
+        np.testing.assert_allclose(got, used, atol=1e-8)
+        assert all(n == len(x) for n, _ in trace)
+        skipped = sum(k for _, k in trace) / sum(n for n, _ in trace)
+        assert skipped > 0.3 if bounded_from < 10 and spread < 1 and len(trace) > 4 else skipped >= 0
+
+
 def test_kmeans_repeats_for_any_partitioning(spark, blobs):
     runs = [
         [r.cluster for r in clusters.kmeans_labels(as_points(spark, blobs, p), 4, seed=3).orderBy("doc_id").collect()]
@@ -292,8 +428,20 @@ def test_exact_silhouette_in_blocks(spark, blobs):
     df = spark.createDataFrame(rows, "doc_id bigint, w array<double>, cluster int")
     for block in (2000, 17):
         assert quality.silhouette_exact(df, block=block).first().silhouette == pytest.approx(silhouette(blobs, labels, 1), abs=1e-7)
-    with pytest.raises(ValueError):
-        quality.silhouette_exact(df, max_rows=10)
+    assert quality.silhouette_exact(df.where("cluster = 0")).first().silhouette is None
+
+
+@pytest.mark.parametrize("spread", [0.2, 3.0])
+def test_exact_silhouette_skips_clusters_by_their_means(spark, spread):
+    """Singletons, equal points, repeated ids; clear clusters need few of the distances to others, mixed ones stay exact."""
+    rng = np.random.default_rng(8)
+    middles = rng.random((12, 3)) * 20
+    labels = np.concatenate([np.arange(12).repeat(9), [12], [13] * 5])
+    x = np.vstack([middles.repeat(9, axis=0) + spread * rng.standard_normal((108, 3)), [[50, 50, 50]], np.full((5, 3), 7.0)])
+    df = spark.createDataFrame([(i // 2, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, labels))], "doc_id long, w array<double>, cluster int")
+    assert quality.silhouette_exact(df, block=4).first().silhouette == pytest.approx(silhouette(x, labels, 1), abs=1e-7)
+    asked = [len(r.wanted) for r in quality.silhouette_candidates(df).collect()]
+    assert min(asked) >= 2 and (spread > 1 or np.mean(asked) < 4)
 
 
 def test_quality_of_singletons_and_empty_clusters(spark):

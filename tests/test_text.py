@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
-from themeloom.operators import sections
+from themeloom.operators import sections, sentences
 
 
 def one(spark, column_of, value):
@@ -185,5 +186,59 @@ def test_group_text_segments_join_to_the_whole(spark):
     texts = [(i, "g", f"t{i}") for i in range(200)]
     df = spark.createDataFrame(texts, "doc_id bigint, grp string, content string").repartition(7)
     rows = sections.concat_group_text(df, ["grp"], 16).orderBy("segment").collect()
-    assert len(rows) == 13
+    assert len(rows) == 13 and {r.piece for r in rows} == {0}
     assert " ".join(r.content for r in rows) == " ".join(t for _, _, t in texts)
+    rows = sections.concat_group_text(df, ["grp"], 16, 20).orderBy("segment", "piece").collect()
+    assert " ".join(r.content for r in rows) == " ".join(t for _, _, t in texts)
+    assert len(rows) > 26 and max(len(r.content) for r in rows) < 20 + 4 + 16
+
+
+def test_group_text_of_rows_without_ids(spark):
+    """They stay, in segments of a bounded number of texts, though all are equal."""
+    df = spark.createDataFrame([(None, "g", "same")] * 500 + [(3, "g", "own")], "doc_id bigint, grp string, content string").repartition(3)
+    rows = sections.concat_group_text(df, ["grp"], 16).collect()
+    assert sum(r.content.split().count("same") for r in rows) == 500 and max(len(r.content.split()) for r in rows) <= 16
+    assert [r.content for r in rows if r.segment >= 0] == ["own"]
+
+
+# --- sentence boundaries ----------------------------------------------------------------------------
+
+
+def test_abbreviations_are_learnt_from_the_corpus(docs):
+    text = "Dr. Smith saw Mr. Jones and met Dr. Brown. The dog sat. A cat ran, e.g. Tom did. Then the dog ran and the cat sat by the dog as Brown did it too, as Brown did before, did again."
+    found = sentences.abbreviations(docs(*[text] * 20))
+    assert {"dr", "mr", "e.g"} <= set(found) and not {"dog", "sat", "brown", "the"} & set(found)
+
+
+def test_sentences_respect_words_that_keep_their_stop(spark, docs):
+    rows = docs(
+        "Dr. Smith came. He sat!  Did J. R. Brown stay? Yes.",
+        "On the 3. day it rained. It was day 3. Then we left.",
+        "",
+        "No end",
+        "etc.",
+        "(A. Nonym) said so. Fine.",
+    )
+    got = [r.s for r in rows.select("doc_id", sentences.split_sentences_by(F.col("content"), ["dr", "etc"]).alias("s")).orderBy("doc_id").collect()]
+    assert got == [
+        ["Dr. Smith came.", "He sat!", "Did J. R. Brown stay?", "Yes."],
+        ["On the 3. day it rained.", "It was day 3.", "Then we left."],
+        [""],
+        ["No end"],
+        ["etc."],
+        ["(A. Nonym) said so.", "Fine."],
+    ]
+    plain = rows.select("doc_id", sentences.split_sentences_by(F.col("content"), []).alias("s")).orderBy("doc_id").first().s
+    assert plain[0] == "Dr." and plain[-1] == "Yes."
+
+
+def test_scores_equal_the_formula(docs):
+    df = docs("a.b. c d. c d. e", "c d f. f g")
+    rows = {r.word: r for r in sentences.abbreviation_scores(df).collect()}
+    stops, n = 4, 11
+    for word, (w, o) in {"a.b": (1, 0), "d": (2, 1), "f": (1, 1)}.items():
+        letters, inner = len(word.replace(".", "")), word.count(".") + 1
+        ratio = 2 * (w * (math.log(0.99) - math.log(stops / n)) + o * (math.log(0.01) - math.log(1 - stops / n)))
+        assert (rows[word].with_stop, rows[word].without_stop) == (w, o)
+        assert rows[word].score == pytest.approx(ratio * math.exp(-letters) * inner * letters**-o)
+    assert set(rows) == {"a.b", "d", "f"}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themeloom import schemas
 from themeloom.catalog.base import CLUSTER_THEMES_SQL, TOKENS_SQL, WS_SQL, documents, query, split_words_sql, table
 from themeloom.catalog.model import stand_in, tokenized
 from themeloom.functions import text as tx
-from themeloom.operators import chart, features, quality, stats, themes
+from themeloom.catalog.text import HEADING
+from themeloom.operators import chart, features, lines, quality, stats, themes
 from themeloom.session import staging_path
 from themeloom.sources import checks, manifest, readers, theme_files
 
@@ -60,6 +61,45 @@ def _wholetext(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _books(spark: SparkSession, sf: str, content: Column) -> str:
+    """One file per source with the lines of its documents in the order of their ids."""
+    path = staging_path(spark, "books")
+    rows = documents(spark, sf).select("doc_id", "category", content.alias("value"))
+    dealt = rows.repartition("category").sortWithinPartitions("category", "doc_id")
+    dealt.select("category", "value").write.partitionBy("category").text(path)
+    return path
+
+
+def _without_file(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("source", F.regexp_extract("source", "^category=([^/]+)/part-", 1))
+
+
+@query(
+    "scan_lines",
+    """
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS line, text
+    FROM (
+      SELECT source, doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i
+      FROM documents
+    )""",
+)
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _without_file(readers.scan_lines(spark, _books(spark, sf, F.col("content"))))
+
+
+@query(
+    "headed_lines",
+    """
+    SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS part, 'BOOK OF ' || doc_id AS heading,
+      CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, length(text) AS chars
+    FROM documents""",
+)
+def _headed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    headed = F.concat(F.lit("BOOK OF "), F.col("doc_id"), F.lit("\n"), F.col("content"))
+    found = _without_file(readers.scan_lines(spark, _books(spark, sf, headed)))
+    return lines.part_sizes(lines.headed_lines(lines.trim_lines(found), HEADING))
+
+
 SUMMARY_SQL = "WITH " + TOKENS_SQL + """,
 counted AS (SELECT term AS word, CAST(sum(tf) AS BIGINT) AS frequency FROM tf GROUP BY term)
 """

@@ -168,7 +168,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     + """,
 sizes AS (SELECT category, min(doc_id) AS first_doc, CAST(sum(word_count) AS BIGINT) AS volume FROM prepared GROUP BY category),
 listed AS (SELECT string_agg(CAST(volume AS VARCHAR), ',' ORDER BY first_doc) AS s FROM sizes)
-SELECT grp, volume, CAST(0 AS DOUBLE) AS silhouette_score, s AS cluster_sizes
+SELECT grp, volume, CAST(0 AS DOUBLE) AS silhouette_score, CASE WHEN grp = 'global' THEN s END AS cluster_sizes
 FROM (SELECT category AS grp, volume FROM sizes UNION ALL SELECT 'global', CAST(sum(volume) AS BIGINT) FROM sizes), listed""",
 )
 def _category_records(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,9 +36,9 @@ class StandIn:
 
 def stand_in(spark: SparkSession, sf: str) -> StandIn:
     docs = documents(spark, sf)
-    vocab = fit_vocabulary(docs)
     cluster = F.regexp_extract("category", "[0-9]+", 0).cast("int").alias("cluster")
-    ready = tokenized(docs).select("doc_id", "lang", "category", cluster, "tokens")
+    ready = stage(tokenized(docs).select("doc_id", "lang", "category", cluster, "tokens"), "tokens")
+    vocab = features.Vocabulary.fit(ready, MIN_DF, MAX_DF, MAX_FEATURES)
     vectors = stage(features.tfidf_vectors(ready, vocab), "tfidf")
     cells = features.tfidf_rows(vectors)
     # Languages are the topics of this model; more of them than a model may have is an error.

@@ -148,7 +148,7 @@ def _abs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fit(spark: SparkSession, sf: str, n_topics: int = 20, max_iter: int = 200, seed: int = 42):
-    docs = tokenized(documents(spark, sf)).select("doc_id", "tokens")
+    docs = stage(tokenized(documents(spark, sf)).select("doc_id", "tokens"), "tokens")
     vocab = features.Vocabulary.fit(docs, MIN_DF, MAX_DF, MAX_FEATURES)
     vectors = stage(features.tfidf_vectors(docs, vocab).drop("counts"), "tfidf")
     return topics.fit_topics(vectors, len(vocab), n_topics, seed, max_iter), vocab, vectors
@@ -183,7 +183,7 @@ def _nmf_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("topic_stability")
 def _stability(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tokenized(documents(spark, sf)).select("doc_id", "tokens")
+    docs = stage(tokenized(documents(spark, sf)).select("doc_id", "tokens"), "tokens")
     vocab = features.Vocabulary.fit(docs, MIN_DF, MAX_DF, MAX_FEATURES)
     vectors = stage(features.tfidf_vectors(docs, vocab).drop("counts"), "tfidf")
     runs = {s: (topics.fit_topics(vectors, len(vocab), 20, s, start="random"), vocab) for s in (1, 2, 3)}
@@ -317,17 +317,37 @@ def _update(spark: SparkSession, sf: str) -> DataFrame:
     return long.select("cluster", F.round("value", 6).alias("value"), (F.col("pos") + 1).cast("bigint").alias("dim"))
 
 
+# Rounds go on from the second one until the centers move less than the tolerance; a center without points stays.
+LLOYD_SQL = """
+lloyd(round, cluster, x, moved) AS (
+  SELECT 0, cluster, x, NULL::DOUBLE FROM c0
+  UNION ALL
+  SELECT round, cluster, x, sqrt(sum(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - old[i]) ** 2))) OVER ())
+  FROM (
+    SELECT l.round + 1 AS round, l.cluster, coalesce(m.x, l.x) AS x, l.x AS old
+    FROM lloyd l LEFT JOIN (
+      SELECT cluster, list(v ORDER BY dim) AS x FROM (
+        SELECT cluster, dim, avg(v) AS v FROM (
+          SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM (
+            SELECT any_value(p.x) AS x, CAST(min([list_distance(p.x, k.x), k.cluster])[2] AS INTEGER) AS cluster FROM p, lloyd k GROUP BY p.doc_id
+          )
+        ) GROUP BY cluster, dim
+      ) GROUP BY cluster
+    ) m ON m.cluster = l.cluster
+    WHERE l.round < 100 AND (l.round < 2 OR l.moved >= 1e-4)
+  )
+),
+used AS (SELECT cluster, x FROM lloyd WHERE round = (SELECT max(round) - 1 FROM lloyd))"""
+
+
 @query(
     "kmeans_lloyd",
-    "WITH "
-    + START_SQL
-    + ","
-    + ",".join(_assign_sql(f"c{i}", f"l{i}") + "," + _update_sql(f"l{i}", f"c{i + 1}") for i in range(3))
-    + " SELECT doc_id, cluster, round(distance, 6) AS distance FROM l2",
+    "WITH RECURSIVE " + START_SQL + "," + LLOYD_SQL + "," + _assign_sql("used", "labels")
+    + " SELECT doc_id, cluster, round(distance, 6) AS distance FROM labels",
 )
 def _lloyd(spark: SparkSession, sf: str) -> DataFrame:
     pts = points(spark, sf).drop("cluster")
-    used, _ = clusters.kmeans_lloyd(pts, _start(spark, sf, 8), max_iter=3, tol=0.0)
+    used, _ = clusters.kmeans_lloyd(pts, _start(spark, sf, 8))
     return clusters.assign_nearest(pts, used).select("doc_id", "cluster", F.round("distance", 6).alias("distance"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from themeloom.catalog.base import SPACES_SQL, STOP_SQL, WORDS_SQL, WS_SQL, documents, query, split_words_sql, table
 from themeloom.catalog.base import clean_word_sql
 from themeloom.functions import text as tx
-from themeloom.operators import sections
+from themeloom.operators import sections, sentences
 
 HEADING = "BOOK OF [A-Z0-9]+"
 
@@ -253,6 +253,58 @@ def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("doc_id", (F.col("pos") + 1).alias("position"), "sentence")
 
 
+STOPS_SQL = rf"""
+collapsed AS (SELECT doc_id, trim(regexp_replace(text, '{WS_SQL}+', ' ', 'g')) AS content FROM documents),
+stops AS (
+  SELECT lower(regexp_replace(token, '\.$', '')) AS word, token LIKE '%.' AS stop
+  FROM (SELECT unnest(string_split(content, ' ')) AS token FROM collapsed)
+),
+stop_counts AS (
+  SELECT word, count(*) FILTER (WHERE stop) AS with_stop, count(*) FILTER (WHERE NOT stop) AS without_stop
+  FROM stops WHERE regexp_matches(word, '^\p{{L}}[\p{{L}}.]*$') GROUP BY word
+),
+share AS (SELECT least(sum(with_stop) / sum(with_stop + without_stop), 0.99) AS p FROM stop_counts),
+stop_scores AS (
+  SELECT word, with_stop, without_stop,
+    2 * (with_stop * (ln(0.99) - ln(p)) + without_stop * (ln(1 - 0.99) - ln(1 - p))) * exp(-length(replace(word, '.', '')))
+      * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', '')), -without_stop) AS score
+  FROM stop_counts, share WHERE with_stop > 0
+)"""
+
+
+@query(
+    "abbreviation_scores",
+    "WITH " + STOPS_SQL + " SELECT word, with_stop, without_stop, round(score, 6) + 0.0 AS score FROM stop_scores",
+)
+def _abbreviation_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.abbreviation_scores(documents(spark, sf)).withColumn("score", F.round("score", 6) + 0.0)
+
+
+@query(
+    "abbreviation_sentences",
+    "WITH "
+    + STOPS_SQL
+    + rf""",
+known AS (SELECT coalesce(list(word), []) AS words FROM stop_scores WHERE score >= 0.3),
+pieces AS (SELECT doc_id, string_split(regexp_replace(content, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS p FROM collapsed),
+closed AS (
+  SELECT doc_id, list_transform(p, lambda piece, i: piece || CASE WHEN
+      list_contains(words, lower(regexp_extract(piece, '([^ ]+)\.$', 1)))
+      OR regexp_matches(lower(regexp_extract(piece, '([^ ]+)\.$', 1)), '^[^\p{{L}}]*\p{{L}}$')
+      OR regexp_matches(regexp_extract(piece, '([^ ]+)\.$', 1), '^\p{{Nd}}+$') AND coalesce(regexp_matches(p[i + 1], '^\p{{Ll}}'), false)
+    THEN ' ' ELSE chr(10) END) AS p
+  FROM pieces, known
+),
+sentences AS (SELECT doc_id, string_split(regexp_replace(array_to_string(p, ''), '[ \n]$', ''), chr(10)) AS s FROM closed)
+SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, md5(array_to_string(s, chr(10))) AS hash FROM sentences""",
+)
+def _abbreviation_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    cut = docs.select("doc_id", sentences.split_sentences_by(F.col("content"), sentences.abbreviations(docs)).alias("s"))
+    # The sentences are made once for both columns.
+    return cut.select("doc_id", F.inline(F.array(F.struct(F.size("s").alias("sentences"), F.md5(F.array_join("s", "\n").cast("binary")).alias("hash")))))
+
+
 # One step of the recursion handles sentence i of every document: it closes the running chunk, or not.
 CHUNKS_SQL = "WITH RECURSIVE " + BOXED_SQL + "," + SENTENCES_SQL + """,
 lens AS (
@@ -392,8 +444,12 @@ def _categorize(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "concat_group_text",
     """
-    SELECT source AS category, doc_id // 64 AS segment, string_agg(text, ' ' ORDER BY doc_id) AS content
-    FROM documents GROUP BY source, doc_id // 64""",
+    SELECT category, segment, piece, string_agg(text, ' ' ORDER BY doc_id) AS content
+    FROM (
+      SELECT source AS category, doc_id // 64 AS segment, doc_id, text, CAST(floor(coalesce(sum(length(text)) OVER (
+        PARTITION BY source, doc_id // 64 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000) AS INTEGER) AS piece
+      FROM documents
+    ) GROUP BY category, segment, piece""",
 )
 def _concat(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.concat_group_text(documents(spark, sf), ["category"])
+    return sections.concat_group_text(documents(spark, sf), ["category"], most_chars=20_000)

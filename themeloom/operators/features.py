@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from themeloom.functions.text import term_counts
+from themeloom.functions.text import term_counts, tokenize_words
 from themeloom.operators.ranking import at_least_top, top_rows
 from themeloom.session import stage
 
@@ -149,52 +149,136 @@ def tfidf_rows(vectors: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, min_df: int = 1, max_df: float = 1.0, max_features: int = 20_000) -> DataFrame:
-    """Fit the vocabulary and return the long TF-IDF table of the same documents."""
+    """Fit the vocabulary and return the long TF-IDF table of the same documents; their tokens are staged, as both read them."""
+    docs = stage(docs, "tokens")
     return tfidf_rows(tfidf_vectors(docs, Vocabulary.fit(docs, min_df, max_df, max_features)))
 
 
-def hashed_term_model(dim: int = 64, seed: int = 42) -> Callable:
-    """Factory of the default embedding model: the mean of seeded pseudo-random term vectors.
+TokenModel = Callable[[np.ndarray, np.ndarray], np.ndarray]
+MAX_TOKENS = 512
 
-    It needs no weights and reads the whole text. Pass your own factory to :func:`embed_documents` for a
-    trained model.
+
+def hashed_token_model(dim: int = 64, seed: int = 42) -> Callable[[], TokenModel]:
+    """Factory of the default embedding model: a pseudo-random normal vector for each token id, without weights to load.
+
+    Like any model it takes token ids and a mask, both (rows, places), and gives vectors (rows, places, dim).
     """
 
-    def make_predict() -> Callable:
-        import regex
-        import xxhash
-
-        word = regex.compile(r"[\p{L}\p{N}_]+")
-        known: dict[str, np.ndarray] = {}
-
-        def vector(term: str) -> np.ndarray:
-            found = known.get(term)
-            if found is None:
-                if len(known) >= 100_000:
-                    known.clear()
-                bits = np.random.default_rng(xxhash.xxh64_intdigest(term, seed)).standard_normal(dim)
-                found = known[term] = bits.astype(np.float32)
-            return found
-
-        def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for i, text in enumerate(texts):
-                counts = Counter(word.findall((text or "").lower()))
-                if counts:
-                    weights = np.fromiter(counts.values(), np.float32)
-                    out[i] = weights @ np.stack([vector(t) for t in counts]) / weights.sum()
+    def make() -> TokenModel:
+        def mixed(x: np.ndarray) -> np.ndarray:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+
+        def encode(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            distinct, at = np.unique(ids[mask], return_inverse=True)
+            place = np.arange(1, 2 * dim + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)
+            bits = mixed(mixed(distinct.astype(np.int64).view(np.uint64))[:, None] + place * np.uint64(0x9E3779B97F4A7C15))
+            uniform = ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+            normal = np.sqrt(-2 * np.log(uniform[:, :dim])) * np.cos(2 * np.pi * uniform[:, dim:])
+            out = np.zeros((*ids.shape, dim), np.float32)
+            out[mask] = normal.astype(np.float32)[at]
             return out
 
-        return predict
+        return encode
 
-    return make_predict
+    return make
 
 
-def embed_documents(docs: DataFrame, model: Callable | None = None, batch_size: int = 32) -> DataFrame:
-    """Add ``embedding`` by batched inference over ``content``; the model loads once per worker."""
-    embed = predict_batch_udf(
-        model or hashed_term_model(), return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
-    )
+def token_ids(content: Column) -> Column:
+    """Hashes of the word tokens of a text, in order."""
+    return F.transform(tokenize_words(content), lambda token: F.xxhash64(token))
+
+
+def _windows(sizes: np.ndarray, max_tokens: int, truncate: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first token and number of tokens of every window; a row without tokens has none."""
+    if truncate:
+        sizes = np.minimum(sizes, max_tokens)
+    count = -(-sizes // max_tokens)
+    row = np.repeat(np.arange(len(sizes)), count)
+    first = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * max_tokens
+    return row, first, np.minimum(sizes[row] - first, max_tokens)
+
+
+def _encoded(ids: pa.Array, encode: TokenModel, batch_size: int, max_tokens: int, truncate: bool) -> Iterator[tuple]:
+    """``(windows, their rows, vectors, mask)`` of batches of padded windows of like length."""
+    sizes = np.asarray(ids.value_lengths(), np.int64)
+    flat, starts = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+    row, first, n = _windows(sizes, max_tokens, truncate)
+    by = np.argsort(n, kind="stable")
+    for at in range(0, len(by), batch_size):
+        chosen = by[at : at + batch_size]
+        mask = np.arange(n[chosen].max()) < n[chosen][:, None]
+        padded = np.zeros(mask.shape, np.int64)
+        place = (starts[row[chosen]] + first[chosen])[:, None] + np.arange(mask.shape[1])
+        padded[mask] = flat[place[mask]]
+        yield chosen, row[chosen], encode(padded, mask), mask
+
+
+def embed_documents(
+    docs: DataFrame,
+    model: Callable[[], TokenModel] | None = None,
+    batch_size: int = 32,
+    max_tokens: int = MAX_TOKENS,
+    truncate: bool = False,
+) -> DataFrame:
+    """Add ``embedding``: the mean of the vectors that a model gives the tokens of ``content``.
+
+    A text is cut into windows of ``max_tokens``, as models have a longest input; with ``truncate`` only the first one is read. Windows of
+    like length make a padded batch with a mask, and what is padded does not count: the result is that of :func:`masked_mean_pool` over
+    :func:`token_vectors`, for any batch size. The model is made once per task; the pass is narrow. A text without tokens gets zeros.
+    """
+    make = model or hashed_token_model()
+
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = make()
+        for ids in batches:
+            sums, counts = [], []
+            for windows, rows, vectors, mask in _encoded(ids, encode, batch_size, max_tokens, truncate):
+                sums.append((windows, rows, (vectors * mask[:, :, None]).sum(axis=1, dtype=np.float64), mask.sum(axis=1)))
+            dim = sums[0][2].shape[1] if sums else encode(np.zeros((1, 1), np.int64), np.ones((1, 1), bool)).shape[2]
+            total, tokens = np.zeros((len(ids), dim)), np.zeros(len(ids), np.int64)
+            if sums:
+                windows, rows, vectors, n = (np.concatenate(part) for part in zip(*sums))
+                by = np.argsort(windows)  # windows of a text are added in their order, however they were batched
+                np.add.at(total, rows[by], vectors[by])
+                np.add.at(tokens, rows, n)
+            mean = (total / np.maximum(tokens, 1)[:, None]).astype(np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * dim, pa.int32()), pa.array(mean.ravel()))
+
+    ids = F.coalesce(token_ids(F.col("content")), F.array().cast("array<bigint>"))
+    return docs.withColumn("embedding", embed(ids))
+
+
+def token_vectors(
+    docs: DataFrame,
+    model: Callable[[], TokenModel] | None = None,
+    batch_size: int = 32,
+    max_tokens: int = MAX_TOKENS,
+    truncate: bool = False,
+    key: str = "doc_id",
+) -> DataFrame:
+    """``<key, vector, mask>``: the model's vectors one by one, those of padding with mask 0, as :func:`masked_mean_pool` takes them."""
+    make = model or hashed_token_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = make()
+        for batch in batches:
+            for _, rows, vectors, mask in _encoded(batch.column("ids"), encode, batch_size, max_tokens, truncate):
+                dim = vectors.shape[2]
+                keys = batch.column(key).take(pa.array(np.repeat(rows, mask.shape[1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(mask.size + 1) * dim, pa.int32()), pa.array(vectors.ravel()))
+                yield pa.RecordBatch.from_arrays([keys, lists, pa.array(mask.ravel().astype(np.int32))], [key, "vector", "mask"])
+
+    ids = F.coalesce(token_ids(F.col("content")), F.array().cast("array<bigint>")).alias("ids")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, ids).mapInArrow(run, f"{key} {kind}, vector array<float>, mask int")
+
+
+def embed_texts(docs: DataFrame, model: Callable, batch_size: int = 32) -> DataFrame:
+    """Add ``embedding`` by a model that takes whole texts and does its own tokens and windows; it loads once per worker."""
+    embed = predict_batch_udf(model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return docs.withColumn("embedding", embed(F.col("content")))
 
 

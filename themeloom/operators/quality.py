@@ -6,17 +6,16 @@ task. Cluster-level tables are broadcast after their size is checked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from themeloom.operators.clusters import MAX_CENTERS, cluster_means
+from themeloom.operators.clusters import MAX_CENTERS, _matrix, _square_distances, cluster_means
 from themeloom.operators.ranking import bounded
+from themeloom.session import stage
 
 
 def _distance(a: str | Column, b: str | Column) -> Column:
@@ -30,68 +29,94 @@ def silhouette_squared(labelled: DataFrame, value: str = "w") -> float:
     return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(ready)
 
 
-def silhouette_exact(
-    labelled: DataFrame, value: str = "w", key: str = "doc_id", block: int = 2000, max_rows: int = 200_000
-) -> DataFrame:
-    """One row ``<silhouette>``: mean silhouette over plain Euclidean distances; singletons score 0.
+def silhouette_candidates(labelled: DataFrame, value: str = "w") -> DataFrame:
+    """``<id, x, cluster, wanted>``: the clusters whose mean distance to a row its silhouette can depend on.
 
-    The definition needs every distance. Rows are cut into hash blocks; a task meets two blocks and sends
-    back one array of per-cluster sums per row, never a pair. The work is quadratic, so a corpus above
-    ``max_rows`` is refused: use :func:`silhouette_squared` there.
+    The mean distance to a cluster is at least the distance to its mean, and at most the root of that distance squared plus the cluster's
+    mean squared spread. ``wanted`` has the row's own cluster and the others whose lower bound does not exceed the least upper one; the
+    rest can't be the nearest. The clusters' means are broadcast, so at most ``MAX_CENTERS`` clusters are allowed.
     """
-    sizes = {r.cluster: r.n for r in labelled.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-    n_rows = sum(sizes.values())
-    if n_rows > max_rows:
-        raise ValueError(f"{n_rows} rows need {n_rows}^2 distances; use silhouette_squared")
-    clusters = sorted(sizes)
-    counts = np.array([sizes[c] for c in clusters], dtype=np.float64)
-    blocks = max(1, -(-n_rows // block))
-    mine = labelled.select(
-        F.col(key).alias("id"),
-        F.col(value).cast("array<double>").alias("x"),
-        "cluster",
-        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("home"),
-    )
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    rows = mine.withColumn("a", F.col("home")).withColumn("b", every)
-    cols = mine.withColumn("b", F.col("home")).withColumn("a", every)
-
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "cluster": [], "sums": []})
-        x, y = np.stack(left.x.to_numpy()), np.stack(right.x.to_numpy())
-        owner = np.searchsorted(clusters, right.cluster.to_numpy())
-        member = np.zeros((len(y), len(clusters)))
-        member[np.arange(len(y)), owner] = 1.0
-        square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-        gap = np.sqrt(np.maximum(square, 0.0))
-        gap[left.id.to_numpy()[:, None] == right.id.to_numpy()[None, :]] = 0.0
-        return pd.DataFrame({"id": left.id, "cluster": left.cluster, "sums": list(gap @ member)})
-
-    parts = (
-        rows.groupBy("a", "b")
-        .cogroup(cols.groupBy("a", "b"))
-        .applyInPandas(sums, "id bigint, cluster int, sums array<double>")
+    rows = bounded(_moments(labelled, value), MAX_CENTERS, "clusters").collect()
+    rows.sort(key=lambda r: r.cluster)
+    names = np.array([r.cluster for r in rows])
+    means = np.array([r["mean"].toArray() for r in rows])
+    spread = np.array([max(r.within, 0.0) / r.n for r in rows])
+
+    @F.arrow_udf("array<int>")
+    def wanted(vectors: pa.Array, owners: pa.Array) -> pa.Array:
+        found = []
+        own = np.searchsorted(names, np.asarray(owners))
+        x = _matrix(vectors) if len(vectors) else np.zeros((0, 1))
+        for lo in range(0, len(x), 1024):
+            part, mine = x[lo : lo + 1024], own[lo : lo + 1024]
+            square = _square_distances(part, means)
+            most = np.sqrt(square + spread)
+            place = np.arange(len(part))
+            most[place, mine] = np.inf
+            # A sliver more than the bound, for rounding.
+            keep = np.sqrt(square) <= most.min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-12
+            keep[place, mine] = True
+            found.append(keep)
+        keep = np.concatenate(found) if found else np.zeros((0, len(names)), bool)
+        ends = np.concatenate([[0], np.cumsum(keep.sum(axis=1))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names[np.nonzero(keep)[1]].astype(np.int32)))
+
+    x = F.col(value).cast("array<double>").alias("x")
+    rows = labelled.select(x, F.col("cluster").cast("int").alias("cluster"))
+    return rows.select(F.monotonically_increasing_id().alias("id"), "x", "cluster", wanted("x", "cluster").alias("wanted"))
+
+
+def silhouette_exact(labelled: DataFrame, value: str = "w", block: int = 4096) -> DataFrame:
+    """One row ``<silhouette>``: mean silhouette over plain Euclidean distances; singletons score 0, fewer than two clusters give null.
+
+    Each row meets the members of its own cluster, and of those others that can be its nearest (:func:`silhouette_candidates`). Members and
+    the rows that ask for them are dealt in blocks, so that a task holds two bounded blocks of one cluster whatever its size, and
+    sends back one sum per row. The work is that of all distances inside the clusters, plus what the bounds leave over.
+    """
+    rows = stage(silhouette_candidates(labelled, value), "silhouette")
+    asked = rows.select("id", "x", "cluster", F.explode(F.col("wanted")).alias("c"))
+    sizes = {r.cluster: r["count"] for r in rows.groupBy("cluster").count().collect()}
+    asking = {r.c: r["count"] for r in asked.groupBy("c").count().collect()}
+    if len(sizes) < 2:
+        return labelled.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
+
+    def blocks(counts: dict[int, int]) -> Column:
+        return F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, -(-n // block))])
+
+    def every(counts: dict[int, int], cluster: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks(counts)[F.col(cluster)] - 1))
+
+    def home(counts: dict[int, int], cluster: str) -> Column:
+        return F.pmod(F.xxhash64("id"), blocks(counts)[F.col(cluster)]).cast("int")
+
+    left = asked.select("c", home(asking, "c").alias("a"), every(sizes, "c").alias("b"), "id", "x", (F.col("c") == F.col("cluster")).alias("mine"))
+    members = rows.select(F.col("cluster").alias("mc"), every(asking, "cluster").alias("ma"), home(sizes, "cluster").alias("mb"), "id", "x")
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.schema([("id", pa.int64()), ("c", pa.int32()), ("mine", pa.bool_()), ("far", pa.float64())]).empty_table()
+        (x, y), (ids, own) = ([f(t) for t in (left, right)] for f in (lambda t: _matrix(t.column(4).combine_chunks()), lambda t: np.asarray(t.column(3))))
+        middle = y.mean(axis=0)
+        x, y = x - middle, y - middle
+        square, total = (y * y).sum(1), np.empty(len(x))
+        for lo in range(0, len(x), 512):
+            part = x[lo : lo + 512]
+            gap = np.sqrt(np.maximum((part * part).sum(1)[:, None] + square - 2.0 * (part @ y.T), 0.0))
+            gap[ids[lo : lo + 512, None] == own] = 0.0
+            total[lo : lo + 512] = gap.sum(axis=1)
+        return pa.table({"id": ids, "c": left.column(0), "mine": left.column(5), "far": total})
+
+    parts = left.groupBy("c", "a", "b").cogroup(members.groupBy("mc", "ma", "mb")).applyInArrow(sums, "id bigint, c int, mine boolean, far double")
+    n = F.create_map(*[F.lit(v) for c, k in sizes.items() for v in (c, float(k))])
+    means, mine = parts.groupBy("id", "c", "mine").agg(F.sum("far").alias("far")), F.col("mine")
+    both = means.groupBy("id").agg(
+        F.max(F.when(mine, n[F.col("c")])).alias("n"),
+        F.max(F.when(mine, F.col("far") / F.greatest(n[F.col("c")] - 1, F.lit(1.0)))).alias("a"),
+        F.min(F.when(~mine, F.col("far") / n[F.col("c")])).alias("b"),
     )
-    total = parts.groupBy("id", "cluster").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            far = np.stack(batch.sums.to_numpy())
-            own = np.searchsorted(clusters, batch.cluster.to_numpy())
-            r = np.arange(len(far))
-            a = far[r, own] / np.maximum(counts[own] - 1, 1)
-            other = far / counts
-            other[r, own] = np.inf
-            b = other.min(axis=1)
-            top = np.maximum(a, b)
-            s = np.where((counts[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
-            yield pd.DataFrame({"s": [s.sum()], "n": [len(s)]})
-
-    scored = total.select("cluster", vector_to_array("sums").alias("sums")).mapInPandas(score, "s double, n bigint")
-    return scored.agg((F.sum("s") / F.sum("n")).alias("silhouette"))
+    top = F.greatest("a", "b")
+    score = F.when((F.col("n") > 1) & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return both.agg(F.avg(score).alias("silhouette"))
 
 
 def _moments(labelled: DataFrame, value: str) -> DataFrame:

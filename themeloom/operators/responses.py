@@ -14,17 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from themeloom.operators.ranking import by_score, top_n_per_group
 from themeloom.operators.themes import GLOBAL
 
-# What each perspective asks for: the reader's angle and what to look for from it.
-_ANGLES = {
-    "theological": ("faith and belief", "names and qualities of the divine, acts of worship, hopes, duties and failings"),
-    "narrative": ("the story that is told", "people, places, deeds, turning points and the things that matter to the plot"),
-    "emotional": ("feelings and relations", "moods, bonds between people, doubts, conflicts and changes of heart"),
-    "literary": ("the writing itself", "recurring images, comparisons, contrasts, sounds and figures of speech"),
-}
-PERSPECTIVES = {
-    name: f"Read the text below with an eye for {angle}. List the words that name its themes, such as {examples}, and give each a weight."
-    for name, (angle, examples) in _ANGLES.items()
-}
+# The names of the perspectives. The wording is the caller's to replace.
+NAMES = ("theological", "narrative", "emotional", "literary")
+PERSPECTIVES = {name: f"Below is one part of a collection. Under which index words would a catalogue of {name} subjects list it, and how strongly?" for name in NAMES}
 RULES = (
     "\nAnswer with one JSON list of pairs and nothing else, for example [[\"harbour\", 0.8], [\"storm\", 0.35]]. "
     "A pair is a word of at least two letters without blanks and hyphens, and a number from 0 (barely present) to 1 (central). "

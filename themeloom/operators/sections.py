@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from themeloom.functions.text import SPACES, let, positions, split_sentences, trim_boilerplate
 
@@ -26,44 +26,62 @@ OLD_TESTAMENT = (
 SPANS = "array<struct<first:int,n:int>>"
 
 
+def _chunk_cuts(lens: np.ndarray, ends: np.ndarray, chunk_size: int, overlap: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences and document of every chunk, for documents laid one after the other.
+
+    A chunk that closes before sentence c is followed by one that starts where the overlap reaches back to, so the next cut is a function of c
+    alone. The cuts of all documents are the places that the function reaches from their first ones; they are found by squaring the
+    function, in as many rounds as the logarithm of the most cuts, not chunk by chunk.
+    """
+    n = np.diff(ends)
+    docs = len(n)
+    # Each document has a place before every sentence and one behind the last.
+    first, last = ends[:-1] + np.arange(docs), ends[1:] + np.arange(docs)
+    own = np.repeat(np.arange(docs), n + 1)
+    total = np.concatenate([[0], np.cumsum(lens)])[np.arange(len(own)) - own] - np.concatenate([[0], np.cumsum(lens)])[ends[:-1]][own]
+    # Documents are kept apart in one sorted array by a distance that no search crosses.
+    apart = int(total.max(initial=0)) + chunk_size + overlap + least + 1
+    keys = total + 2 * apart * own
+    reach = np.searchsorted(keys, keys - overlap, side="left")
+    enough = np.searchsorted(keys, keys + least, side="left")
+    over = np.searchsorted(keys, keys + chunk_size, side="right") - 1
+    begin = np.minimum(np.maximum(enough, over), last[own])
+    follow = np.minimum(np.maximum(begin[reach], np.arange(len(own)) + 1), last[own])
+    cut = np.zeros(len(own), bool)
+    cut[begin[first]] = True
+    steps, hops = [follow], 1
+    while hops < int(n.max(initial=0)) + 1:
+        steps.append(steps[-1][steps[-1]])
+        hops *= 2
+    for hop in reversed(steps):
+        cut[hop[np.flatnonzero(cut)]] = True
+    cut[last] = False
+    cuts = np.flatnonzero(cut)
+    # The end of each document closes what is left over, if that is long enough.
+    closes = np.sort(np.concatenate([cuts, last]))
+    doc = own[closes]
+    before = np.concatenate([[-1], closes[:-1]])
+    fresh = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
+    start = np.where(fresh, first[doc], reach[before])
+    kept = (closes != last[doc]) | ((n[doc] > 0) & (total[closes] - total[start] >= least))
+    return (start - first[doc])[kept], (closes - start)[kept], doc[kept]
+
+
 def chunk_spans(lengths: Column, chunk_size: int, overlap: int, min_chunk_size: int) -> Column:
     """Sentence ranges of the overlapping chunks of one document.
 
-    The fold over the sentences depends on its own last cut, which no built-in expression does well; every cut is a
-    search in the running sum of lengths. It needs only the sentence lengths, so the text itself stays in the JVM.
+    Every cut depends on the one before, which no built-in expression does well. The search needs only the sentence lengths, a batch
+    of documents at a time, so the text itself stays in the JVM.
     """
 
     @F.arrow_udf(SPANS)
     def spans(batch: pa.Array) -> pa.Array:
-        offsets = batch.offsets.to_numpy()
+        ends = batch.offsets.to_numpy().astype(np.int64)
         lens = batch.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        base = offsets[0]
-        counts, firsts, sizes = [0], [], []
-        for lo, hi in zip(offsets[:-1] - base, offsets[1:] - base):
-            total = np.concatenate(([0], np.cumsum(lens[lo:hi])))
-            # the earliest sentence an overlap that ends before sentence i can reach back to
-            reach = np.searchsorted(total, total - overlap, side="left")
-            first, n = 0, hi - lo
-            cut = 0
-            while True:
-                # the first sentence that is past the least size and would make the chunk too long
-                enough = np.searchsorted(total, total[first] + min_chunk_size, side="left")
-                over = np.searchsorted(total, total[first] + chunk_size, side="right") - 1
-                cut = max(cut, int(enough), int(over))
-                if cut >= n:
-                    break
-                firsts.append(first)
-                sizes.append(cut - first)
-                first = max(first, int(reach[cut]))
-                cut += 1
-            if n and total[n] - total[first] >= min_chunk_size:
-                firsts.append(first)
-                sizes.append(n - first)
-            counts.append(len(firsts))
-        fields = [pa.array(firsts, pa.int32()), pa.array(sizes, pa.int32())]
-        return pa.ListArray.from_arrays(
-            pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, ["first", "n"])
-        )
+        first, size, doc = _chunk_cuts(lens, ends - ends[0], chunk_size, overlap, min_chunk_size)
+        fields = [pa.array(first, pa.int32()), pa.array(size, pa.int32())]
+        counts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(batch)))])
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, ["first", "n"]))
 
     return spans(lengths)
 
@@ -252,12 +270,19 @@ def categorize_by_lookup(
     )
 
 
-def concat_group_text(docs: DataFrame, keys: Iterable[str] = (), span: int = 64) -> DataFrame:
-    """``<keys..., segment, content>``: the joined text of each group, in pieces that follow each other.
+def concat_group_text(docs: DataFrame, keys: Iterable[str] = (), span: int = 64, most_chars: int = 4_000_000) -> DataFrame:
+    """``<keys..., segment, piece, content>``: the joined text of each group, in pieces that follow each other.
 
-    One segment covers ``span`` consecutive ids, so a task never holds more than ``span`` documents
-    however large the group is. Joining the segments of a group in order with a space gives its whole text.
+    One segment covers ``span`` consecutive ids and is cut into pieces of about ``most_chars`` characters, or one longer text, so a task
+    never holds more than ``span`` documents at once, nor a row more than a piece, however large the group is. Texts without an id come in
+    segments below 0, ``span`` texts or fewer each, in no order. Joining a group's pieces in order with a space gives its whole text.
     """
-    segment = F.floor(F.col("doc_id") / span).alias("segment")
-    joined = F.expr("listagg(content, ' ') within group (order by doc_id)")
-    return docs.groupBy(*keys, segment).agg(joined.alias("content"))
+    keys = list(keys)
+    # Rows without an id are dealt by their place in the input, which does not put equal texts together.
+    nameless = -1 - F.floor(F.monotonically_increasing_id() / span)
+    placed = docs.withColumn("segment", F.coalesce(F.floor(F.col("doc_id") / span), nameless).cast("bigint"))
+    order = Window.partitionBy(*keys, "segment").orderBy("doc_id", F.length("content"), "content")
+    before = F.coalesce(F.sum(F.length("content")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = placed.withColumn("piece", F.floor(before / most_chars).cast("int"))
+    joined = F.expr("listagg(content, ' ') within group (order by doc_id, length(content), content)")
+    return cut.groupBy(*keys, "segment", "piece").agg(joined.alias("content"))

@@ -454,26 +454,63 @@ def topic_coherence(docs: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
+def best_matching(gain: np.ndarray) -> np.ndarray:
+    """For each row of a square matrix a column of its own, so that the sum of the gains is greatest.
+
+    Rows are added one by one; each is placed along the cheapest alternating path, with prices on rows and columns that
+    keep every placed pair tight (shortest augmenting paths, cubic in the rows).
+    """
+    n = len(gain)
+    cost = np.vstack([np.zeros(n + 1), np.hstack([np.zeros((n, 1)), gain.max(initial=0.0) - gain])])
+    row_price, column_price = np.zeros(n + 1), np.zeros(n + 1)
+    holder = np.zeros(n + 1, np.int64)  # row of each column; place 0 holds the row that looks for one
+    for row in range(1, n + 1):
+        holder[0], at = row, 0
+        least, came, done = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)
+        while True:
+            done[at] = True
+            slack = cost[holder[at]] - row_price[holder[at]] - column_price
+            better = ~done & (slack < least)
+            least[better], came[better] = slack[better], at
+            free = np.flatnonzero(~done)
+            following = free[np.argmin(least[free])]
+            step = least[following]
+            row_price[holder[done]] += step
+            column_price[done] -= step
+            least[~done] -= step
+            at = following
+            if not holder[at]:
+                break
+        while at:
+            holder[at] = holder[came[at]]
+            at = came[at]
+    match = np.empty(n, np.int64)
+    match[holder[1:] - 1] = np.arange(n)
+    return match
+
+
 def topic_stability(runs: dict[int, tuple[TopicModel, Vocabulary]], spark: SparkSession, n_words: int = 10) -> DataFrame:
-    """``<seed, other_seed, topic, overlap>``: best Jaccard overlap of a topic's top words across seeds."""
-    sets = None
+    """``<seed, other_seed, topic, other_topic, overlap>``: Jaccard overlap of the top words of topics that are matched across seeds.
+
+    The matching is one-to-one and has the greatest sum of overlaps, so no topic answers for two. Only top words reach the driver.
+    """
+    sets = {}
     for seed, (model, vocab) in runs.items():
         words = topic_top_words(model.topic_terms(spark, n_words), vocab.table(spark), n_words)
-        one = words.groupBy("topic").agg(F.collect_set("word").alias("words")).withColumn("seed", F.lit(seed))
-        sets = one if sets is None else sets.unionByName(one)
-    by_seed = sets.groupBy("seed").agg(F.collect_list("words").alias("others"))
-    everything = by_seed.agg(F.map_from_entries(F.collect_list(F.struct("seed", "others")))).scalar()
-
-    def best(words, others):
-        return F.array_max(
-            F.transform(
-                others, lambda o: F.size(F.array_intersect(words, o)) / F.size(F.array_union(words, o))
-            )
-        )
-
-    return (
-        sets.withColumn("_all", everything)
-        .select("seed", "topic", "words", F.explode("_all").alias("other_seed", "others"))
-        .where("seed <> other_seed")
-        .select("seed", "other_seed", "topic", best(F.col("words"), F.col("others")).alias("overlap"))
-    )
+        own = [set() for _ in range(model.n_topics)]
+        for row in words.select("topic", "word").collect():
+            own[row.topic].add(row.word)
+        sets[seed] = own
+    rows = []
+    for seed, own in sets.items():
+        for other_seed, others in sets.items():
+            if seed < other_seed:
+                k = max(len(own), len(others))
+                overlap = np.zeros((k, k))
+                for i, a in enumerate(own):
+                    for j, b in enumerate(others):
+                        overlap[i, j] = len(a & b) / max(1, len(a | b))
+                for i, j in enumerate(best_matching(overlap).tolist()):
+                    if i < len(own) and j < len(others):
+                        rows += [(seed, other_seed, i, j, float(overlap[i, j])), (other_seed, seed, j, i, float(overlap[i, j]))]
+    return spark.createDataFrame(rows, "seed int, other_seed int, topic int, other_topic int, overlap double")

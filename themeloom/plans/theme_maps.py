@@ -116,7 +116,7 @@ def news_theme_map(
     clean = docs.select("doc_id", normalize_text(F.col("content")).alias("content"))
     fitted = fit(clean, tokenize_words, 2, 0.5, n_topics, max_iter, seed=seed, stop_words=stop_words)
     points = _weights(fitted, "doc_id")
-    labelled = _chosen_labels(points, max_clusters, seed, "doc_id")
+    labelled = _chosen_labels(points, max_clusters)
     ranked = themes.cluster_themes_topic_mean(labelled, fitted.words(5), n_themes)
     named, volumes = _clustered_map(labelled, ranked, None)
     title = F.col("title") if "title" in docs.columns else F.concat(F.lit("Document "), F.col("doc_id"))
@@ -125,9 +125,9 @@ def news_theme_map(
     return ThemeMap(named, volumes, labelled.select("doc_id", "cluster"), whole, dominant)
 
 
-def _chosen_labels(points: DataFrame, max_clusters: int, seed: int, key: str) -> DataFrame:
+def _chosen_labels(points: DataFrame, max_clusters: int) -> DataFrame:
     """Staged ``points`` with the hierarchy's clusters, their number chosen by silhouette."""
-    tree = clusters.fit_hierarchy(points, clusters.micro_for(max_clusters), seed, key=key)
+    tree = clusters.fit_hierarchy(points, clusters.micro_for(max_clusters))
     best = clusters.select_k(clusters.score_cuts(points, tree, max_clusters)).first()
     return stage(tree.labels(points, best.k), "labels")
 
@@ -203,8 +203,8 @@ def verse_hierarchy_map(
     """Scripture as above with hierarchical groups, their number chosen by silhouette."""
     parts = require_nonempty(stage(scripture_sections(docs, heading), "sections"))
     fitted = fit(parts.select("doc_id", "position", "content"), tokenize_alpha, 2, 0.5, n_topics, max_iter, seed=seed, stop_words=stop_words)
-    points = _weights(fitted, "doc_id", "position").withColumn("_key", F.struct("doc_id", "position"))
-    labelled = _chosen_labels(points, max_clusters, seed, "_key")
+    points = _weights(fitted, "doc_id", "position")
+    labelled = _chosen_labels(points, max_clusters)
     ranked = themes.cluster_themes_weighted(labelled, fitted.words(10), n_themes)
     named, volumes = _clustered_map(labelled, ranked, None)
     return ThemeMap(named, volumes, labelled.select("doc_id", "position", "cluster"), parts)

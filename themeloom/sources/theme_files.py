@@ -40,7 +40,7 @@ def themes_lines(themes: DataFrame, digits: int | None = None) -> DataFrame:
 
 
 def volumes_lines(volumes: DataFrame, scalar: bool = False, digits: int | None = None) -> DataFrame:
-    """``<grp, line>``: a number per group (``scalar``), or the volume with its quality fields."""
+    """``<grp, line>``: a number per group (``scalar``), or the volume with its quality fields; groups without sizes have no such field."""
     if scalar:
         value = F.col("volume").cast("string")
     else:
