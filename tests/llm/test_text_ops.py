@@ -13,11 +13,14 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from themeloom.llm import bpe, decontaminate, html_text, maxent_lm, pii, quality, url_filter
 from themeloom.llm.common import table
+from themeloom.session import stage
 
 
 def lowered(text):
@@ -481,6 +484,44 @@ def test_quality_edge_cases(spark, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in rows.items() if r.predicted}
 
 
+def plain_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^ \t-\r]+", text)
+    lines, chars, n = text.split("\n"), max(1, len(text)), max(1, len(words))
+    count = lambda pattern: sum(1 for _ in regex.finditer(pattern, text)) / chars
+    return {
+        "n_words": len(words),
+        "mean_word": len(text) / n,
+        "distinct_words": len(set(words)) / n,
+        "richness": math.log1p(len(set(words))) / math.log1p(n),
+        "distinct_lines": len(set(lines)) / len(lines),
+        "words_per_line": len(words) / len(lines),
+        "digits": count("[0-9]"),
+        "capitals": count("[A-Z]"),
+        "stops": count("[.!?]"),
+        "signs": count(r"[^\p{L}\p{N} \t\n\x0b\f\r.,!?'\"-]"),
+        "runs": count(r"([^ \t\n\x0b\f\r])\1{3,}"),
+    }
+
+
+def test_quality_scores_equal_the_rules_in_plain_python(spark, sf_dir, texts):
+    odd = texts(None, "", " ", "aaaa bbbbb", "É ß 12 $$ €€ !?", "one\ntwo\none", "x " * 3000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(odd.selectExpr("-1 - doc_id AS doc_id", "text"))
+    stats = quality.text_statistics()
+    rows = stage(docs.select("doc_id", "text", *[c.alias(k) for k, c in stats.items()]), "stats")
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "CAST(quality AS double) AS label")
+    rules = quality.fit_rules(rows.join(labels, "doc_id").select("label", *stats), list(stats))
+    assert rules.weights
+    for r in rows.withColumn("score", rules.score()).collect():
+        plain = plain_statistics(r.text)
+        assert {k: r[k] for k in stats} == pytest.approx(plain)
+        total = rules.intercept
+        for rule, weight in rules.weights:
+            holds = all(r[n] <= at if sign == "<=" else r[n] > at for n, sign, at in rule.terms)
+            total += weight if holds else 0.0
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_rules_keep_the_stricter_test():
     class Tree:
         toDebugString = (
@@ -575,6 +616,59 @@ def test_url_trees_follow_the_labels(spark):
     assert sum(got[1000 + i] == ("block" if i % 2 else "allow") for i in range(40)) >= 36
 
 
+def plain_tree(tree):
+    """A fitted tree as a function of features, read from its description."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in tree.toDebugString.split("\n")[1:] if x.strip()]
+
+    def build(at):
+        depth, text = lines[at]
+        if text.startswith("Predict"):
+            return float(text.split(":")[1]), at + 1
+        _, feature, _, cut = re.match(r"(If) \(feature (\d+) (<=) ([-0-9.eE]+)\)", text).groups()
+        left, at = build(at + 1)
+        assert lines[at][0] == depth and lines[at][1].startswith("Else")
+        right, at = build(at + 1)
+        return (int(feature), float(cut), left, right), at
+
+    def value(node, x):
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        return node
+
+    root, _ = build(0)
+    return lambda x: value(root, x)
+
+
+def test_url_scores_equal_the_trees_in_plain_python(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http{'s' * rng.randrange(2)}://h{rng.randrange(40)}.{rng.choice(['net', 'org', 'com'])}/{'a' * rng.randrange(9)}?{'q=1' * rng.randrange(2)}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    names = list(url_filter.lexical_features())
+    featured = pages.withColumns(url_filter.lexical_features()).withColumn("label", (F.length("url") % 3 == 0).cast("double"))
+    model = url_filter.fit_trees(featured.select("label", *names), names)
+    scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(featured)).select("features", "probability").collect()
+    trees = [plain_tree(t) for t in model.trees]
+    for r in scored:
+        margin = sum(w * t(r.features.toArray()) for w, t in zip(model.treeWeights, trees))
+        assert r.probability[1] == pytest.approx(1 / (1 + math.exp(-2 * margin)))
+
+
+def test_url_share_of_a_suffix_leaves_out_the_own_fold(spark):
+    """A suffix of mixed labels: hosts with casino in their names are blocked, whatever the suffix says of them."""
+    rules = [url_filter.Rule("block", f"casino{i}.com", "/") for i in range(30)] + [url_filter.Rule("allow", f"home{i}.com", "/") for i in range(30)]
+    rows = [(i, f"http://casino{i % 30}.com/{i}") for i in range(150)] + [(200 + i, f"http://home{i % 30}.com/{i}") for i in range(150)]
+    rows += [(1000 + i, f"http://casino{100 + i}.com/{i}") for i in range(20)] + [(2000 + i, f"http://home{100 + i}.com/{i}") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.id: r.verdict for r in url_filter.judge_urls(pages, rules=rules).collect()}
+    assert sum(got[1000 + i] == "block" for i in range(20)) + sum(got[2000 + i] == "allow" for i in range(20)) >= 38
+    hosts = spark.createDataFrame([("a.com", "block"), ("a.com", "block"), ("b.com", "allow"), ("c.com", None)], "host string, verdict string")
+    stats = url_filter.suffix_statistics(hosts)
+    joined = hosts.withColumn("suffix", url_filter.suffix_of()).join(stats, "suffix").withColumn("share", url_filter.blocked_share())
+    apart = len({r.f for r in hosts.select(url_filter.fold_of().alias("f")).where("host <> 'c.com'").collect()}) == 2
+    shares = {r.host: r.share for r in joined.collect()}
+    assert shares["c.com"] == 3 / 5 and (not apart or (shares["a.com"], shares["b.com"]) == (1 / 3, 3 / 4))
+
+
 def test_native_urls_run_no_python(spark, sf_dir):
     plan = url_filter.op10_url_filter(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -25,6 +25,7 @@ BOXED = 6
 CELL = 0.25
 STEPS = (8, 16, 32)
 SLACK = 1e-9
+SALTS = 64
 
 
 def usable(vector: str) -> Column:
@@ -230,9 +231,13 @@ def cosine_groups(
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = distinct.select("v", "n", "least", "rep").join(links, "rep", "left").join(components.withColumnRenamed("v", "rep"), "rep", "left")
-    named = named.select("v", "n", "least", "links", F.coalesce("component", "rep").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    named = stage(named.select("v", "n", "least", "links", "component", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt")), "named")
+    # A component can hold a third of all vectors: what it gets back stands once for each salt.
+    smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
+    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
+    alone = named.where("component IS NULL").select("v", n_links, F.col("least").alias("component_id"))
+    named = named.where("component IS NOT NULL").join(salted, ["component", "salt"]).select("v", n_links, "component_id").unionByName(alone)
     linked = base.where("ok").join(named, "v").select("id", "n_links", "component_id")
     return linked.unionByName(base.where("NOT ok").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
 

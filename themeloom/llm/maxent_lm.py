@@ -30,8 +30,8 @@ FOLDS = 10
 SMOOTHING = 0.1
 FREQUENT = 600_000
 MASS_BINS = 64
-WIDTH = 96
-# Rows of hashed weights for class and subclass, at most 2^16; the model's size, whatever the corpus.
+WIDTH = 48
+# Rows of hashed weights for class and subclass, powers of two up to 2^16; the model's size, whatever the corpus.
 ROWS = (1 << 14, 1 << 15)
 STEEPEST = 12.0
 BATCH = 4096
@@ -84,7 +84,7 @@ class Tree:
 
 def _rows(hashes: np.ndarray, salt: object, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mixed(hashes + np.asarray(salt, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(rows)).astype(np.int64)
+        return (mixed(hashes + np.asarray(salt, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(rows - 1)).astype(np.int64)
 
 
 class Model:

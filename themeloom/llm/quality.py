@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import bounded_sample, crc_mod, table
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 MAX_LABELLED = 20_000
 TREES = 12
@@ -120,11 +120,10 @@ def fit_rules(labelled: DataFrame, names: Sequence[str], trees: int = TREES, dep
     return RuleEnsemble(float(fitted.intercept), tuple(weighted))
 
 
-def _labelled(scored: DataFrame, labels: DataFrame, names: Sequence[str], folds: int, most: int) -> DataFrame:
-    """A bounded sample ``<id, label, ...names>`` of the rows that may be learnt from."""
-    known = labels.where(crc_mod("doc_id", folds) != 0).groupBy(F.col("doc_id").alias("id"))
-    known = known.agg(F.max("quality").cast("double").alias("label")).where("label is not null")
-    return bounded_sample(scored.join(known, "id").select("id", "label", *names), "id", most)
+def _known(labels: DataFrame, folds: int) -> DataFrame:
+    """``<id, label>`` of the labels that may be learnt from."""
+    known = labels.where(crc_mod("doc_id", folds) != 0).groupBy(F.col("doc_id").cast("bigint").alias("id"))
+    return known.agg(F.max("quality").cast("double").alias("label")).where("label is not null")
 
 
 def score_quality(
@@ -147,7 +146,10 @@ def score_quality(
     held_out = (crc_mod(id_col, folds) == 0).alias("held_out")
     scored = docs.select(F.col(id_col).cast("bigint").alias("id"), held_out, *[c.alias(k) for k, c in stats.items()])
     scored = stage(scored, "statistics")
-    score = fit_rules(_labelled(scored, labels, list(stats), folds, max_labelled), list(stats)).score()
+    chosen = bounded_sample(_known(labels, folds), "id", max_labelled)
+    labelled = stage(scored.join(F.broadcast(chosen), "id").select("id", "label", *stats), "labelled")
+    score = fit_rules(labelled, list(stats)).score()
+    drop_staged(chosen, labelled)
     return scored.select("id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -160,11 +162,18 @@ def keep_good(
     threshold: float = THRESHOLD,
     max_labelled: int = MAX_LABELLED,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``score_quality`` would predict 1, with their columns; the texts are filtered where they are read."""
+    """The rows of ``docs`` that the rules predict 1, with their columns; the texts are filtered where they are read.
+
+    The sample to learn from is drawn from the labels, so that the statistics of its texts alone are computed before the pass over all.
+    """
     stats = text_statistics(text_col)
-    of_docs = docs.select(F.col(id_col).cast("bigint").alias("id"), *[c.alias(k) for k, c in stats.items()])
-    rules = fit_rules(_labelled(of_docs, labels, list(stats), folds, max_labelled), list(stats))
-    inside = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in stats.items()])
+    chosen = bounded_sample(_known(labels, folds), "id", max_labelled)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).join(F.broadcast(chosen), "id")
+    labelled = stage(texts.select("id", "label", *[c.alias(k) for k, c in stats.items()]), "labelled")
+    rules = fit_rules(labelled, list(stats))
+    drop_staged(chosen, labelled)
+    # Spark would write a filter on plain columns out in terms of the text, each statistic once per rule; on exploded ones it doesn't.
+    inside = docs.select(F.struct("*").alias("row"), F.inline(F.array(F.struct(*[c.alias(k) for k, c in stats.items()]))))
     return inside.where(rules.score() >= threshold).select("row.*")
 
 

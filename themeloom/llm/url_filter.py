@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import bounded_sample, table
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ RULES = (
 
 MAX_RULES = 500
 MAX_LABELLED = 20_000
+FOLDS = 5
 TREES = 20
 DEPTH = 4
 
@@ -105,17 +106,42 @@ def lexical_features(url: str = "url") -> dict[str, Column]:
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in features.items()}
 
 
+def suffix_of(host: str = "host") -> Column:
+    return F.element_at(F.split(host, r"\."), -1)
+
+
+def fold_of(host: str = "host") -> Column:
+    """Urls of one host are in one fold."""
+    return F.pmod(F.xxhash64(F.lit(17), host), F.lit(FOLDS)).cast("int")
+
+
 def suffix_statistics(urls: DataFrame) -> DataFrame:
-    """``<suffix, suffix_urls, suffix_blocked>`` of ``urls`` ``<host, verdict>``: how many urls end in a host suffix, and the
-    smoothed share of the judged ones that are blocked."""
-    blocked = F.sum((F.col("verdict") == "block").cast("int"))
-    judged = F.count("verdict")
-    return (
-        urls.groupBy(F.element_at(F.split("host", r"\."), -1).alias("suffix"))
-        .agg(F.log1p(F.count("*")).alias("suffix_urls"), ((F.coalesce(blocked, F.lit(0)) + 1) / (judged + 2)).alias("suffix_blocked"))
+    """``<suffix, suffix_urls, blocked, judged>`` of ``urls`` ``<host, verdict>``: how many urls end in a host suffix, and how many of them
+    are blocked and judged, in all (place 1) and in each fold of hosts."""
+    blocked = (F.col("verdict") == "block").cast("int")
+    fold = fold_of()
+
+    def counts(what: Column) -> Column:
+        own = [F.sum(F.when(fold == k, what)) for k in range(FOLDS)]
+        return F.array(*[F.coalesce(c, F.lit(0)) for c in (F.sum(what), *own)])
+
+    judged = F.col("verdict").isNotNull().cast("int")
+    return urls.groupBy(suffix_of().alias("suffix")).agg(
+        F.log1p(F.count("*")).alias("suffix_urls"), counts(F.coalesce(blocked, F.lit(0))).alias("blocked"), counts(judged).alias("judged")
     )
 
 
+def blocked_share() -> Column:
+    """The smoothed share of a suffix's judged urls that are blocked. A judged url doesn't count itself, nor the others of its fold of hosts: a
+    share with its own verdict in it would tell the trees that verdict."""
+    fold = fold_of() + 2
+
+    def others(counts: str) -> Column:
+        return F.col(counts)[0] - F.when(F.col("verdict").isNotNull(), F.element_at(counts, fold)).otherwise(0)
+
+    return (others("blocked") + 1) / (others("judged") + 2)
+
+
 def fit_trees(labelled: DataFrame, names: Sequence[str]) -> GBTClassificationModel | float:
     """Boosted trees over ``labelled`` ``<label, ...names>``, a bounded number of rows; a constant where the labels don't differ.
 
@@ -148,8 +174,9 @@ def judge_urls(
     ruled = ruled.select("id", "url", "host", "path", "found.rule", "found.verdict")
     own = lexical_features()
     stats = stage(suffix_statistics(ruled), "suffixes")
-    featured = ruled.withColumns(own).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
-    featured = stage(featured.join(stats, "suffix", "left").drop("suffix"), "urls")
+    featured = ruled.withColumns(own).withColumn("suffix", suffix_of()).join(stats, "suffix", "left")
+    featured = stage(featured.withColumn("suffix_blocked", blocked_share()).drop("suffix", "blocked", "judged"), "urls")
+    drop_staged(stats)
     names = [*own, "suffix_urls", "suffix_blocked"]
     label = (F.col("verdict") == "block").cast("double").alias("label")
     labelled = featured.where("verdict is not null").select("url", label, *names)
