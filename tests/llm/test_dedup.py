@@ -195,3 +195,28 @@ def test_substring_adversaries(spark, texts):
     same = spark.createDataFrame([(1, "x y z " * 20), (1, "x y z " * 20), (None, "q r s t u v w")], "doc_id bigint, text string")
     assert sorted((r.n_words, r.n_removed) for r in substring_dedup.remove_repeated(same).collect()) == [(7, 0), (60, 60), (60, 60)]
     assert substring_dedup.remove_repeated(texts("a").limit(0)).collect() == []
+
+
+def test_pairs_at_the_cosine_link(spark):
+    """Products that are the threshold to the last bit, and one unit below it."""
+    rows = [(1, [1.0, 0.0]), (2, [0.9, np.sqrt(1 - 0.81)]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    unit = embedding_dedup._unit(np.array([v for _, v in rows], float))
+    exact = float(unit[0] @ unit[1])
+    for cosine, links in ((exact, 1), (np.nextafter(exact, 2), 0)):
+        got = {r.id: r.n_links for r in embedding_dedup.cosine_groups(df, cosine=cosine).collect()}
+        assert got == {1: links, 2: links, 3: 0}
+
+
+def test_a_component_of_most_vectors(spark):
+    rng = np.random.default_rng(5)
+    near = np.array([1.0] + [0.0] * 7) + 0.02 * rng.standard_normal((300, 8))
+    rows = [*enumerate(near.tolist()), *((1000 + i, v) for i, v in enumerate(rng.standard_normal((40, 8)).tolist()))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in embedding_dedup.cosine_groups(df).collect()}
+    ids, x = [i for i, _ in rows], np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = x @ x.T >= 0.9
+    root = roots(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(links)) if i != j])
+    assert got == {k: (int(links[i].sum()) - 1, root[k]) for i, k in enumerate(ids)}
+    assert sum(c == 0 for _, c in got.values()) >= 300

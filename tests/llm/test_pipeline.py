@@ -69,4 +69,4 @@ def test_run_is_the_registered_query(spark, sf_dir):
     assert entry_points.queries()["pipeline"] is corpus_pipeline.run
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     names = [n for n in entry_points.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

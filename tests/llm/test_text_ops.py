@@ -480,6 +480,9 @@ def test_quality_edge_cases(spark, texts):
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert all(r.predicted == 1 for r in quality.score_quality(docs, labels.where("quality = 1")).collect())
     assert quality.score_quality(docs.limit(0), labels).collect() == []
+    again = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", docs.doc_id * 0 + None))
+    assert quality.score_quality(again, labels).count() == 99
+    assert quality.keep_good(again, labels).where("doc_id IS NULL").count() == sum(rows[k].predicted for k in (0, 1))
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in rows.items() if r.predicted}
 
@@ -567,6 +570,27 @@ def test_bpe_of_odd_texts(spark, texts, public_encoding):
     assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_decodes_its_ids_and_not_the_text():
+    """One id changed on the way shows in the decoded bytes."""
+    encoder = bpe.Encoder(bpe.Tables(bpe.read_ranks(RANKS), public_tokenizers.PATTERN))
+    texts = ["two words of text, words of text", "of text"]
+    ids, decoded = encoder.texts(texts)
+    assert [d.decode() for d in decoded] == texts and b"".join(encoder.decoded([ids[0]]).values()).decode() == texts[0]
+    changed = np.frombuffer(encoder.after_space["of"], "<i4").copy()
+    changed[0] = encoder.tables.ranks[b"!"]
+    encoder.after_space["of"] = changed.astype("<i4").tobytes()
+    _, decoded = encoder.texts(texts)
+    assert decoded[0].decode() == texts[0].replace(" of", "!")
+
+
+def test_bpe_of_null_and_repeated_ids(spark, texts):
+    docs = texts("a b", None, "a b").withColumn("doc_id", F.when(F.col("doc_id") > 0, F.lit(None)).otherwise(F.lit(7)).cast("bigint"))
+    docs = docs.unionByName(docs.limit(1))
+    rows = bpe.token_digests(docs).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("7", 2), ("7", 2), ("None", 0), ("None", 2)]
+    assert {r.decoded_sha256 for r in rows} == {hashlib.sha256(t).hexdigest() for t in (b"", b"a b")}
+
+
 def test_bpe_needs_all_bytes():
     with pytest.raises(ValueError, match="bytes without a token"):
         bpe.Tables({b"a": 0}, "")
@@ -655,12 +679,11 @@ def test_url_scores_equal_the_trees_in_plain_python(spark):
 
 def test_url_share_of_a_suffix_leaves_out_the_own_fold(spark):
     """A suffix of mixed labels: hosts with casino in their names are blocked, whatever the suffix says of them."""
-    rules = [url_filter.Rule("block", f"casino{i}.com", "/") for i in range(30)] + [url_filter.Rule("allow", f"home{i}.com", "/") for i in range(30)]
-    rows = [(i, f"http://casino{i % 30}.com/{i}") for i in range(150)] + [(200 + i, f"http://home{i % 30}.com/{i}") for i in range(150)]
-    rows += [(1000 + i, f"http://casino{100 + i}.com/{i}") for i in range(20)] + [(2000 + i, f"http://home{100 + i}.com/{i}") for i in range(20)]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    got = {r.id: r.verdict for r in url_filter.judge_urls(pages, rules=rules).collect()}
-    assert sum(got[1000 + i] == "block" for i in range(20)) + sum(got[2000 + i] == "allow" for i in range(20)) >= 38
+    rules = [url_filter.Rule(v, f"{n}{i}.com", "/") for v, n in (("block", "casino"), ("allow", "home")) for i in range(10, 40)]
+    rows = [(k * 1000 + i, f"http://{n}{10 + i % 50}.com/{i % 7}") for k, n in enumerate(("casino", "home")) for i in range(250)]
+    got = {r.id: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    free = [r for r in got.values() if r.rule is None]
+    assert len(free) == 200 and sum(r.verdict == ("block" if r.id < 1000 else "allow") for r in free) >= 190
     hosts = spark.createDataFrame([("a.com", "block"), ("a.com", "block"), ("b.com", "allow"), ("c.com", None)], "host string, verdict string")
     stats = url_filter.suffix_statistics(hosts)
     joined = hosts.withColumn("suffix", url_filter.suffix_of()).join(stats, "suffix").withColumn("share", url_filter.blocked_share())

@@ -157,11 +157,11 @@ def compact_paths(anchors: DataFrame) -> DataFrame:
         ahead = jumps.where("step > 0").select(F.col("edge").alias("to"), F.col("to").alias("further"), F.col("step").alias("more"))
         doubled = jumps.join(ahead, "to", "left")
         if doubled.where("more IS NOT NULL").isEmpty():
-            break
+            return jumps.select("edge", F.col("to").alias("path"), "step")
         new_step = (F.col("step") + F.coalesce("more", F.lit(0))).alias("step")
         jumps = stage(doubled.select("edge", F.coalesce("further", "to").alias("to"), new_step), "jumps")
         drop_staged(last)
-    return jumps.select("edge", F.col("to").alias("path"), "step")
+    raise RuntimeError(f"paths did not end in {MAX_JUMPS} doublings")
 
 
 def candidate_spans(anchors: DataFrame, paths: DataFrame, anchor: int = ANCHOR) -> DataFrame:
