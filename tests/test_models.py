@@ -491,3 +491,23 @@ def test_narrowing_keeps_all_that_can_be_on_top(spark):
     want = [tuple(r) for r in df.orderBy(F.desc("v"), "id").limit(5000).collect()]
     assert [tuple(r) for r in ranking.top_rows(narrow, [F.desc("v"), "id"], 5000).collect()] == want
     assert ranking.at_least_top(df.limit(0), "v", 10).count() == 0
+
+
+def test_bisecting_labels_of_clear_groups(spark):
+    rng = np.random.default_rng(2)
+    middles = np.array([[0, 0], [40, 0], [0, 40], [40, 40]])
+    x = middles.repeat(20, axis=0) + rng.standard_normal((80, 2))
+    got = [r.cluster for r in clusters.bisecting_labels(as_points(spark, x), 4).orderBy("doc_id").collect()]
+    assert same_partition(got, np.arange(4).repeat(20))
+
+
+def test_embeddings_factorise_like_a_dense_solver(spark):
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.standard_normal((80, 3))) @ np.abs(rng.standard_normal((3, 12)))
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, embedding array<double>")
+    rows = stage(topics.dense_rows(docs).select("doc_id", "indices", "values"), "dense")
+    model = topics.fit_topics(rows, 12, 3, 42, 300)
+    w = np.array([r.w for r in model.transform(rows).orderBy("doc_id").collect()])
+    h = model.components
+    np.testing.assert_allclose(w, topics.coordinate_sweeps(x @ h.T, h @ h.T, 20_000), atol=1e-5)
+    assert ((x - w @ h) ** 2).sum() < 1e-3 * (x**2).sum()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
+from themeloom.functions.stopwords import read_stop_words
 from themeloom.operators import sections, sentences
 
 
@@ -242,3 +243,11 @@ def test_scores_equal_the_formula(docs):
         assert (rows[word].with_stop, rows[word].without_stop) == (w, o)
         assert rows[word].score == pytest.approx(ratio * math.exp(-letters) * inner * letters**-o)
     assert set(rows) == {"a.b", "d", "f"}
+
+
+def test_a_second_list_of_stop_words_comes_from_a_file(spark, docs, tmp_path):
+    (tmp_path / "words.txt").write_text("the\nfifteen\n\ncry\n")
+    words = read_stop_words(spark, str(tmp_path / "words.txt"))
+    assert sorted(words) == ["cry", "fifteen", "the"]
+    tokens = tx.remove_stopwords(tx.tokenize_alpha(F.col("content")), words)
+    assert docs("The fifteen dogs cry with the cat").select(tokens.alias("t")).first().t == ["dogs", "with", "cat"]
