@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.llm import bpe, common, decontaminate, pii, quality, simhash
-from themeloom.session import stage
+from themeloom.session import drop_staged, stage
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``documents`` after all stages."""
     docs = common.table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+        before, docs = docs, stage(function(spark, docs, sf_dir), name)
+        drop_staged(before)
     return docs
