@@ -515,8 +515,9 @@ def test_quality_scores_equal_the_rules_in_plain_python(spark, sf_dir, texts):
     labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "CAST(quality AS double) AS label")
     rules = quality.fit_rules(rows.join(labels, "doc_id").select("label", *stats), list(stats))
     assert rules.weights
-    for r in rows.withColumn("score", rules.score()).collect():
+    for r in rows.withColumns({"score": rules.score(), "same": rules.score_of(stats)}).collect():
         plain = plain_statistics(r.text)
+        assert r.same == r.score
         assert {k: r[k] for k in stats} == pytest.approx(plain)
         total = rules.intercept
         for rule, weight in rules.weights:

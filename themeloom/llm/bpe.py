@@ -55,9 +55,9 @@ WITH RECURSIVE step(w, i, t, nt, k, n) AS (
     WHERE s.i <> b.at + 1
   ) c LEFT JOIN merges m ON m.pair = (CAST(c.t AS BIGINT) << 20 | c.nt)
 )
-SELECT w, list(t ORDER BY i) AS ids
+SELECT w, list(t ORDER BY i) AS ids, unhex(string_agg(h, '' ORDER BY i)) AS decoded
 FROM (SELECT w, n, i, t FROM step WHERE k IS NULL) JOIN (SELECT w, max(n) AS n FROM step WHERE i = 0 GROUP BY w) USING (w, n)
-GROUP BY w
+JOIN vocabulary USING (t) GROUP BY w
 """
 
 # Long pieces go through the same contraction as one statement a round, so that no earlier round is kept, and with all
@@ -82,7 +82,10 @@ _LONG_ROUND = """
   ) WHERE NOT gone
 """
 
-_FINISHED = "SELECT w, list(t ORDER BY i) AS ids FROM finished GROUP BY w"
+_FINISHED = """
+SELECT w, list(t ORDER BY i) AS ids, unhex(string_agg(h, '' ORDER BY i)) AS decoded
+FROM finished JOIN vocabulary USING (t) GROUP BY w
+"""
 
 _DECODE = """
 SELECT w, unhex(string_agg(h, '' ORDER BY i)) AS decoded FROM ids JOIN vocabulary USING (t) GROUP BY w
@@ -136,7 +139,10 @@ class Encoder:
         self.cut = regex.compile(tables.pattern)
         self.memo: dict[bytes, bytes] = {}
         self.after_space: dict[str, bytes] = {}
-        self.known_bytes: dict[bytes, bytes] = {}
+        # What lists of ids decode to: tokens, and what the queries gave for the ids of pieces and runs.
+        self.known = {rank.to_bytes(4, "little"): token for token, rank in tables.ranks.items()}
+        self.added: list[bytes] = []
+        self.fresh_memo: list[bytes] = []
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY})
         merges = pa.table({"pair": tables.pairs, "k": tables.merged})
         vocabulary = pa.table({"t": pa.array(tables.ranks.values(), pa.int32()), "h": [t.hex() for t in tables.ranks]})
@@ -181,8 +187,14 @@ class Encoder:
         ids = found.column("ids").combine_chunks()
         ends = (np.asarray(ids.value_lengths()).cumsum() * 4).tolist()
         flat = np.asarray(ids.flatten()).astype("<i4").tobytes()
-        for n, a, b in zip(found.column("w").to_pylist(), chain([0], ends), ends):
-            out[pieces[n]] = flat[a:b]
+        for n, a, b, decoded in zip(found.column("w").to_pylist(), chain([0], ends), ends, found.column("decoded").to_pylist()):
+            out[pieces[n]] = ids = flat[a:b]
+            self._learn(ids, decoded)
+
+    def _learn(self, ids: bytes, decoded: bytes) -> None:
+        if ids not in self.known:
+            self.known[ids] = decoded
+            self.added.append(ids)
 
     def decoded(self, ids: Collection[bytes]) -> dict[bytes, bytes]:
         """The bytes of lists of little-endian ids: tokens joined by their place."""
@@ -215,8 +227,20 @@ class Encoder:
                 break
             if lasting(part):
                 for piece in own:
-                    self.memo[piece] = known[piece]
-        return {part: known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for part, own in cuts.items()}
+                    if piece not in self.memo:
+                        self.memo[piece] = known[piece]
+                        self.fresh_memo.append(known[piece])
+        out = {}
+        for part, own in cuts.items():
+            if len(own) == 1:
+                out[part] = known[own[0]]
+            else:
+                parts = [known[p] for p in own]
+                out[part] = ids = b"".join(parts)
+                if ids not in self.known:
+                    self.known[ids] = b"".join([self.known[p] for p in parts])
+                    self.added.append(ids)
+        return out
 
     def texts(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids and decoded bytes of whole texts.
@@ -229,19 +253,25 @@ class Encoder:
         odd = {p for p in parts if not p or p[0].isspace() or p[-1].isspace()}
         whole = [bool(odd) and not odd.isdisjoint(own) for own in split]
         first = self.chunks({text if w else own[0] for text, own, w in zip(texts, split, whole)})
-        known = self.after_space
-        fresh = self.chunks([p for p in parts if p not in known and p not in odd], " ", lambda part: parts[part] > 1)
-        lookup = fresh | {p: known[p] for p in parts if p in known}
-        parts_of = [[first[text]] if w else [first[own[0]], *[lookup[p] for p in own[1:]]] for text, own, w in zip(texts, split, whole)]
+        kept = self.after_space
+        fresh = self.chunks([p for p in parts if p not in kept and p not in odd], " ", lambda part: parts[part] > 1)
+        lookup = fresh | {p: kept[p] for p in parts if p in kept}
+        runs = [[first[text]] if w else [first[own[0]], *[lookup[p] for p in own[1:]]] for text, own, w in zip(texts, split, whole)]
         again = [p for p in fresh if parts[p] > 1]
-        known.update({p: fresh[p] for p in again[: max(0, MEMO - len(known))]})
-        # What is decoded are the ids, whatever text they came from.
-        seen = self.known_bytes
-        new = self.decoded({ids for ids in chain(first.values(), lookup.values()) if ids not in seen})
-        tokens = new | {ids: seen[ids] for ids in chain(first.values(), lookup.values()) if ids in seen}
-        lasting = [fresh[p] for p in again if fresh[p] in new]
-        seen.update({ids: new[ids] for ids in lasting[: max(0, MEMO - len(seen))]})
-        return [b"".join(own) for own in parts_of], [b"".join([tokens[ids] for ids in own]) for own in parts_of]
+        kept.update({p: fresh[p] for p in again[: max(0, MEMO - len(kept))]})
+        # What is decoded are lists of ids, whatever text they came from.
+        if unknown := {ids for own in runs for ids in own if ids not in self.known}:
+            for ids, text in self.decoded(unknown).items():
+                self._learn(ids, text)
+        known = self.known
+        decoded = [b"".join([known[ids] for ids in own]) for own in runs]
+        # The memos' ids stay known, the others go.
+        lasting = {fresh[p] for p in again}.union(self.fresh_memo)
+        for ids in self.added:
+            if ids not in lasting:
+                del known[ids]
+        self.added, self.fresh_memo = [], []
+        return [b"".join(own) for own in runs], decoded
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

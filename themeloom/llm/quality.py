@@ -79,6 +79,33 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-total))
 
 
+    def score_of(self, stats: dict[str, Column]) -> Column:
+        """The score as one expression of the statistics' own columns, each computed once a row.
+
+        The rules are data in it, so the code that Spark generates stays small however many they are.
+        """
+        if not self.weights:
+            return self.score()
+        names = list(stats)
+
+        def term(name: str, sign: str, at: float) -> Column:
+            return F.struct(F.lit(names.index(name)).alias("i"), F.lit(sign == ">").alias("above"), F.lit(at).alias("at"))
+
+        rules = F.array(
+            *[F.struct(F.array(*[term(*t) for t in rule.terms]).alias("terms"), F.lit(weight).alias("weight")) for rule, weight in self.weights]
+        )
+
+        def scored(values: Column) -> Column:
+            def holds(t: Column) -> Column:
+                value = F.get(values, t["i"])
+                return F.when(t["above"], value > t["at"]).otherwise(value <= t["at"])
+
+            total = F.aggregate(rules, F.lit(self.intercept), lambda sum_, r: sum_ + F.when(F.forall(r["terms"], holds), r["weight"]).otherwise(0.0))
+            return 1 / (1 + F.exp(-total))
+
+        return F.element_at(F.transform(F.array(F.array(*stats.values())), scored), 1)
+
+
 _SPLIT = re.compile(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) ([-+0-9.eE]+)\)$")
 
 
@@ -172,9 +199,7 @@ def keep_good(
     labelled = stage(texts.select("id", "label", *[c.alias(k) for k, c in stats.items()]), "labelled")
     rules = fit_rules(labelled, list(stats))
     drop_staged(chosen, labelled)
-    # Spark would write a filter on plain columns out in terms of the text, each statistic once per rule; on exploded ones it doesn't.
-    inside = docs.select(F.struct("*").alias("row"), F.inline(F.array(F.struct(*[c.alias(k) for k, c in stats.items()]))))
-    return inside.where(rules.score() >= threshold).select("row.*")
+    return docs.where(rules.score_of(stats) >= threshold)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
