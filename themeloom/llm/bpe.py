@@ -2,8 +2,9 @@
 
 A text is cut into pieces by the tokenizer's pattern. The bytes of a piece are rows (piece, position, token); a recursive query joins each
 row and its right neighbour to the table of merges, contracts the piece's leftmost pair of the lowest rank and goes on
-until no pair merges. Ids and decoded bytes are aggregates ordered by position. A piece is merged once per slice of
-texts, not once per occurrence.
+until no pair merges. The ids of a piece, and the bytes of a list of ids (:func:`decode`), are aggregates ordered by position. A piece is merged
+once per slice of texts, not once per occurrence. Whole texts are decoded from their ids in numpy, which gathers the tokens' bytes in the
+same order: as a statement over all ids of all texts that took half as much time again as the encoding.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from themeloom.llm.common import no_collection, offsets, slices, table, worker_state
+from themeloom.llm.common import expanded, no_collection, offsets, slices, table, worker_state
 
 SLICE = 9 << 20
 PIECES = 30_000
 MEMO = 300_000
 LONG = 64
 DUCK_MEMORY = "200MB"
-# Ids that are decoded by one statement, but for a longer list.
-DECODED = 400_000
+# Ids that are decoded at once.
+DECODED = 100_000
 
 # Rows (piece w, position i, token t, next token nt, rank k of the merge of both, round n). A round finds each piece's lowest
 # rank and its leftmost place, contracts this pair, moves what stands behind by one and looks up the two new pairs.
@@ -55,9 +56,9 @@ WITH RECURSIVE step(w, i, t, nt, k, n) AS (
     WHERE s.i <> b.at + 1
   ) c LEFT JOIN merges m ON m.pair = (CAST(c.t AS BIGINT) << 20 | c.nt)
 )
-SELECT w, list(t ORDER BY i) AS ids, unhex(string_agg(h, '' ORDER BY i)) AS decoded
+SELECT w, list(t ORDER BY i) AS ids
 FROM (SELECT w, n, i, t FROM step WHERE k IS NULL) JOIN (SELECT w, max(n) AS n FROM step WHERE i = 0 GROUP BY w) USING (w, n)
-JOIN vocabulary USING (t) GROUP BY w
+GROUP BY w
 """
 
 # Long pieces go through the same contraction as one statement a round, so that no earlier round is kept, and with all
@@ -82,10 +83,7 @@ _LONG_ROUND = """
   ) WHERE NOT gone
 """
 
-_FINISHED = """
-SELECT w, list(t ORDER BY i) AS ids, unhex(string_agg(h, '' ORDER BY i)) AS decoded
-FROM finished JOIN vocabulary USING (t) GROUP BY w
-"""
+_FINISHED = "SELECT w, list(t ORDER BY i) AS ids FROM finished GROUP BY w"
 
 _DECODE = """
 SELECT w, unhex(string_agg(h, '' ORDER BY i)) AS decoded FROM ids JOIN vocabulary USING (t) GROUP BY w
@@ -139,10 +137,11 @@ class Encoder:
         self.cut = regex.compile(tables.pattern)
         self.memo: dict[bytes, bytes] = {}
         self.after_space: dict[str, bytes] = {}
-        # What lists of ids decode to: tokens, and what the queries gave for the ids of pieces and runs.
-        self.known = {rank.to_bytes(4, "little"): token for token, rank in tables.ranks.items()}
-        self.added: list[bytes] = []
-        self.fresh_memo: list[bytes] = []
+        tokens = sorted(tables.ranks.items(), key=lambda item: item[1])
+        self.blob = np.frombuffer(b"".join([token for token, _ in tokens]), np.uint8)
+        self.sizes = np.zeros(tokens[-1][1] + 1, np.int64)
+        self.sizes[[rank for _, rank in tokens]] = [len(token) for token, _ in tokens]
+        self.first = offsets(self.sizes)[:-1]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY})
         merges = pa.table({"pair": tables.pairs, "k": tables.merged})
         vocabulary = pa.table({"t": pa.array(tables.ranks.values(), pa.int32()), "h": [t.hex() for t in tables.ranks]})
@@ -187,36 +186,19 @@ class Encoder:
         ids = found.column("ids").combine_chunks()
         ends = (np.asarray(ids.value_lengths()).cumsum() * 4).tolist()
         flat = np.asarray(ids.flatten()).astype("<i4").tobytes()
-        for n, a, b, decoded in zip(found.column("w").to_pylist(), chain([0], ends), ends, found.column("decoded").to_pylist()):
-            out[pieces[n]] = ids = flat[a:b]
-            self._learn(ids, decoded)
-
-    def _learn(self, ids: bytes, decoded: bytes) -> None:
-        if ids not in self.known:
-            self.known[ids] = decoded
-            self.added.append(ids)
-
-    def decoded(self, ids: Collection[bytes]) -> dict[bytes, bytes]:
-        """The bytes of lists of little-endian ids: tokens joined by their place."""
-        out, rows, part = {}, 0, []
-        for own in [*ids, None]:
-            if part and (own is None or rows + len(own) > 4 * DECODED):
-                sizes = np.fromiter(map(len, part), np.int64, len(part)) // 4
-                w = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
-                i = (np.arange(len(w)) - np.repeat(offsets(sizes)[:-1], sizes)).astype(np.int32)
-                self.db.register("ids", pa.table({"w": w, "i": i, "t": np.frombuffer(b"".join(part), "<i4")}))
-                found = self.db.sql(_DECODE).to_arrow_table()
-                self.db.unregister("ids")
-                out |= {part[n]: text for n, text in zip(found.column("w").to_pylist(), found.column("decoded").to_pylist())}
-                rows, part = 0, []
-            if own is None:
-                return out
-            if own:
-                part.append(own)
-                rows += len(own)
-            else:
-                out[own] = b""
-        return out
+        for n, a, b in zip(found.column("w").to_pylist(), chain([0], ends), ends):
+            out[pieces[n]] = flat[a:b]
+
+    def decoded(self, texts: list[bytes]) -> list[bytes]:
+        """The bytes of lists of little-endian ids: the tokens' bytes in the order of their places, gathered a bounded number at a time."""
+        ids = np.frombuffer(b"".join(texts), "<i4")
+        parts = []
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            parts.append(self.blob[expanded(self.first[part], self.first[part] + self.sizes[part])[1]].tobytes())
+        whole = b"".join(parts)
+        ends = offsets(self.sizes[ids])[offsets(np.fromiter(map(len, texts), np.int64, len(texts)) // 4)].tolist()
+        return [whole[a:b] for a, b in zip(ends, ends[1:])]
 
     def chunks(self, parts: Collection[str], lead: str = "", lasting: Callable[[str], bool] = lambda part: False) -> dict[str, bytes]:
         """Ids of runs of text, each ``lead`` and a part; the pieces of ``lasting`` parts are kept for later."""
@@ -227,20 +209,8 @@ class Encoder:
                 break
             if lasting(part):
                 for piece in own:
-                    if piece not in self.memo:
-                        self.memo[piece] = known[piece]
-                        self.fresh_memo.append(known[piece])
-        out = {}
-        for part, own in cuts.items():
-            if len(own) == 1:
-                out[part] = known[own[0]]
-            else:
-                parts = [known[p] for p in own]
-                out[part] = ids = b"".join(parts)
-                if ids not in self.known:
-                    self.known[ids] = b"".join([self.known[p] for p in parts])
-                    self.added.append(ids)
-        return out
+                    self.memo[piece] = known[piece]
+        return {part: known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for part, own in cuts.items()}
 
     def texts(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids and decoded bytes of whole texts.
@@ -259,19 +229,9 @@ class Encoder:
         runs = [[first[text]] if w else [first[own[0]], *[lookup[p] for p in own[1:]]] for text, own, w in zip(texts, split, whole)]
         again = [p for p in fresh if parts[p] > 1]
         kept.update({p: fresh[p] for p in again[: max(0, MEMO - len(kept))]})
-        # What is decoded are lists of ids, whatever text they came from.
-        if unknown := {ids for own in runs for ids in own if ids not in self.known}:
-            for ids, text in self.decoded(unknown).items():
-                self._learn(ids, text)
-        known = self.known
-        decoded = [b"".join([known[ids] for ids in own]) for own in runs]
-        # The memos' ids stay known, the others go.
-        lasting = {fresh[p] for p in again}.union(self.fresh_memo)
-        for ids in self.added:
-            if ids not in lasting:
-                del known[ids]
-        self.added, self.fresh_memo = [], []
-        return [b"".join(own) for own in runs], decoded
+        ids = [b"".join(own) for own in runs]
+        # What is decoded are these ids, whatever text they came from.
+        return ids, self.decoded(ids)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
