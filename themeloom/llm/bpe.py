@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import expanded, no_collection, offsets, slices, table, worker_state
 
-SLICE = 9 << 20
-PIECES = 30_000
-MEMO = 300_000
+SLICE = 6 << 20
+PIECES = 20_000
+MEMO = 150_000
 LONG = 64
 DUCK_MEMORY = "200MB"
 # Ids that are decoded at once.
@@ -254,6 +254,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
+        # The worker may stay idle beside other work for a while.
+        pa.default_memory_pool().release_unused()
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return narrow.mapInArrow(run, "id bigint, ids array<int>, decoded binary")
