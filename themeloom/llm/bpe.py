@@ -10,7 +10,6 @@ same order: as a statement over all ids of all texts that took half as much time
 from __future__ import annotations
 
 import base64
-import hashlib
 from bisect import bisect
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
@@ -24,9 +23,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from themeloom.llm.common import expanded, no_collection, offsets, slices, table, worker_state
+from themeloom.llm.common import expanded, no_collection, offsets, slices, table
 
-SLICE = 6 << 20
+SLICE = 4 << 20
 PIECES = 20_000
 MEMO = 150_000
 LONG = 64
@@ -240,13 +239,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Null texts count as empty and have no ids. Rows with null or repeated ids stay; an empty table gives an empty result; other columns
     are ignored. ``ranks_path`` is read on the driver.
     """
-    ranks = read_ranks(ranks_path)
-    # A replaced file is another vocabulary to a worker that is used again.
-    content = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
-    tables = docs.sparkSession.sparkContext.broadcast(vars(Tables(ranks, pattern)))
+    tables = docs.sparkSession.sparkContext.broadcast(vars(Tables(read_ranks(ranks_path), pattern)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state("bpe", (content, pattern), lambda: Encoder(Tables.of(tables.value)))
+        encoder = Encoder(Tables.of(tables.value))
         for batch in slices(batches, "text", SLICE):
             with no_collection():
                 ids, decoded = encoder.texts(batch.column("text").to_pylist())
@@ -254,7 +250,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
-        # The worker may stay idle beside other work for a while.
+        # The worker may stay idle beside other work for a while, so nothing is kept in it.
+        encoder.db.close()
+        del encoder
         pa.default_memory_pool().release_unused()
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
