@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom import schemas
-from themeloom.functions.text import trim_boilerplate
+from themeloom.functions.text import split_sentences, trim_boilerplate
 from themeloom.operators import lines, sections
 from themeloom.sources import ranges, readers
 
@@ -132,3 +132,33 @@ def test_trim_of_odd_books(spark, text):
 def test_empty_folder_of_lines(spark, tmp_path):
     Path(tmp_path / "empty.txt").write_text("")
     assert readers.scan_lines(spark, str(tmp_path)).collect() == []
+
+
+def book_of_sentences(seed, n):
+    rng = random.Random(seed)
+    words = [["a", "bb", "ccc", "dddd."][rng.randrange(4)] for _ in range(n)]
+    for _ in range(n // 15):
+        words[rng.randrange(n)] = rng.choice(["end!", "why?", "x" * 90 + ".", "\n", "\n\n", "  "])
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("limits", [(60, 12, 10), (200, 60, 30), (30, 0, 1), (25, 40, 5)])
+def test_sentences_and_chunks_of_lines_equal_those_of_whole_texts(spark, limits):
+    """For any size of blocks and runs, with sentences longer than a block."""
+    texts = {f"s{k}": book_of_sentences(k, n) for k, n in enumerate((1, 7, 300, 1500))} | {"empty": " \n "}
+    scanned = spark.createDataFrame([(s, i, t) for s, own in texts.items() for i, t in enumerate(own.split("\n"), 1)], "source string, line bigint, text string")
+    whole = spark.createDataFrame(list(texts.items()), "doc_id string, content string")
+    want = {}
+    for r in sections.chunk_sentences(whole, *limits).orderBy("doc_id", "position").collect():
+        want.setdefault(r.doc_id, []).append(r.content)
+    plain = {r.doc_id: r.s for r in whole.select("doc_id", split_sentences(F.col("content")).alias("s")).collect() if r.s != [""]}
+    for block_chars, run in ((1, 3), (500, 40), (1 << 20, 50_000)):
+        cut = lines.line_sentences(scanned, run)
+        got = {}
+        for r in cut.orderBy("source", "sentence").collect():
+            got.setdefault(r.source, []).append(r.text)
+        assert got == plain
+        chunks = {}
+        for r in lines.chunk_lines(cut, *limits, block_chars=block_chars, run=run).orderBy("source", "first", "end").collect():
+            chunks.setdefault(r.source, []).append(r.content)
+        assert chunks == {s: c for s, c in want.items() if c != [""]}

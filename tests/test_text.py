@@ -251,3 +251,10 @@ def test_a_second_list_of_stop_words_comes_from_a_file(spark, docs, tmp_path):
     assert sorted(words) == ["cry", "fifteen", "the"]
     tokens = tx.remove_stopwords(tx.tokenize_alpha(F.col("content")), words)
     assert docs("The fifteen dogs cry with the cat").select(tokens.alias("t")).first().t == ["dogs", "with", "cat"]
+
+
+def test_chunks_keep_abbreviations_inside(docs):
+    df = docs("Dr. Smith came here. Then he left us. " * 3)
+    plain = [r.content for r in sections.chunk_sentences(df, 20, 0, 1).collect()]
+    kept = [r.content for r in sections.chunk_sentences(df, 20, 0, 1, abbreviations=["dr"]).collect()]
+    assert any(c.endswith("Dr.") for c in plain) and all(c.endswith(("here.", "us.")) for c in kept) and len(kept) == 6

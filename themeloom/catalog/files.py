@@ -100,6 +100,26 @@ def _headed_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.part_sizes(lines.headed_lines(lines.trim_lines(found), HEADING))
 
 
+@query(
+    "line_sentences",
+    f"""
+    WITH books AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY source),
+    cut AS (
+      SELECT source, unnest(s) AS text, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS sentence
+      FROM (SELECT source, string_split(regexp_replace(trim(regexp_replace(content, '{WS_SQL}+', ' ', 'g')), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS s FROM books)
+    )
+    SELECT source, sentence, md5(text) AS hash FROM cut WHERE text <> ''""",
+)
+def _line_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    found = lines.line_sentences(_without_file(readers.scan_lines(spark, _books(spark, sf, F.col("content")))))
+    return found.select("source", "sentence", F.md5(F.col("text").cast("binary")).alias("hash"))
+
+
+@query("chunk_lines")
+def _chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.chunk_lines(lines.line_sentences(_without_file(readers.scan_lines(spark, _books(spark, sf, F.col("content"))))))
+
+
 SUMMARY_SQL = "WITH " + TOKENS_SQL + """,
 counted AS (SELECT term AS word, CAST(sum(tf) AS BIGINT) AS frequency FROM tf GROUP BY term)
 """

@@ -6,13 +6,14 @@ Every splitter works inside its row and then explodes, so none of them shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from themeloom.functions.text import SPACES, let, positions, split_sentences, trim_boilerplate
+from themeloom.operators.sentences import split_sentences_by
 
 # Headings that count as the first of two categories; all others are the second.
 OLD_TESTAMENT = (
@@ -87,15 +88,19 @@ def chunk_spans(lengths: Column, chunk_size: int, overlap: int, min_chunk_size:
 
 
 def chunk_sentences(
-    docs: DataFrame, chunk_size: int = 1000, overlap: int = 100, min_chunk_size: int = 100
+    docs: DataFrame, chunk_size: int = 1000, overlap: int = 100, min_chunk_size: int = 100, abbreviations: Sequence[str] | None = None
 ) -> DataFrame:
     """``<doc_id, position, content>``: overlapping chunks of whole sentences.
 
     A chunk closes when the next sentence would pass ``chunk_size`` and it already holds
     ``min_chunk_size`` characters; the next one starts with the trailing sentences that fit in
-    ``overlap``. Lengths leave out the joining spaces.
+    ``overlap``. Lengths leave out the joining spaces. With ``abbreviations``, full stops that belong to a word end no
+    sentence (:func:`operators.sentences.split_sentences_by`). A document is worked on in its row; books larger than that go through
+    :func:`operators.lines.chunk_lines`.
     """
-    sentences = docs.select("doc_id", split_sentences(F.col("content")).alias("sentences"))
+    text = F.col("content")
+    cut = split_sentences(text) if abbreviations is None else split_sentences_by(text, abbreviations)
+    sentences = docs.select("doc_id", cut.alias("sentences"))
     lengths = F.transform("sentences", lambda s: F.length(s))
     cut = sentences.withColumn("spans", chunk_spans(lengths, chunk_size, overlap, min_chunk_size))
     # Chunks are joined before the explode: exploding the spans would copy the whole document to each of them.

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -159,21 +159,22 @@ def _sum_over_rows(x: DataFrame, n_terms: int, k: int, weights: Callable) -> tup
             [pa.array(blocks, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["block", "sums"]
         )
 
-    rows = (
+    found = (
         x.select("indices", "values")
         .mapInArrow(partial, "block int, sums array<double>")
         .groupBy("block")
         .agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
-        .collect()
+        .select("block", vector_to_array("sums").alias("sums"))
+        .toArrow()
     )
     wx, ww = np.zeros((n_terms, k)), np.zeros((k, k))
-    for row in rows:
-        sums = row.sums.toArray()
-        if row.block < 0:
-            ww = sums[: k * k].reshape(k, k)
+    lists = found.column("sums").combine_chunks()
+    flat = lists.flatten().to_numpy().reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
+    for block, sums in zip(found.column("block").to_pylist(), flat):
+        if block < 0:
+            ww = sums[: k * k].reshape(k, k).copy()
         else:
-            b = row.block * BLOCK
-            part = wx[b : b + BLOCK]
+            part = wx[block * BLOCK : (block + 1) * BLOCK]
             part[:] = sums[: part.size].reshape(part.shape)
     return wx.T, ww
 
