@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.llm.common import expanded, no_collection, offsets, slices, table
 
-SLICE = 4 << 20
+SLICE = 8 << 20
 PIECES = 20_000
-MEMO = 150_000
+MEMO = 250_000
 LONG = 64
 DUCK_MEMORY = "200MB"
 # Ids that are decoded at once.
