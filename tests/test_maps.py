@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom import schemas, session
-from themeloom.operators import chart, responses, themes
+from themeloom.operators import chart, responses, stats, themes
 from themeloom.plans import theme_maps
 from themeloom.sources import checks, manifest, readers, theme_files
 
@@ -282,3 +282,11 @@ def test_a_source_changed_twice_is_one_row(spark):
     new = spark.createDataFrame([("s", "h1"), ("s", "h2"), ("u", "h3")], "source string, content_hash string")
     rows = manifest.manifest_upsert(old, new).collect()
     assert sorted((r.source, r.content_hash) for r in rows) == [("s", "h2"), ("t", "h"), ("u", "h3")]
+
+
+def test_category_records_hold_all_sizes_on_every_row(spark):
+    rows = [(3, "money", 5), (1, "sport", 2), (2, "money", 4), (4, None, 1)]
+    records = stats.category_volume_records(spark.createDataFrame(rows, "doc_id bigint, category string, word_count int"))
+    assert {r.grp: (r.volume, r.cluster_sizes) for r in records.collect()} == {
+        "global": (12, [2, 9, 1]), "sport": (2, [2, 9, 1]), "money": (9, [2, 9, 1]), None: (1, [2, 9, 1])
+    }

@@ -80,28 +80,27 @@ def volumes_grouping_sets(docs: DataFrame) -> DataFrame:
     )
 
 
-def category_volume_records(docs: DataFrame, max_categories: int = 100_000) -> DataFrame:
+def category_volume_records(docs: DataFrame, max_categories: int = 100_000, repeat: bool = True) -> DataFrame:
     """Volume records of given categories: scores 0.0, the sizes are the category word totals.
 
-    Sizes follow the order of first appearance. The array stands once, on the ``global`` row: on every row it would grow with the square of
-    the categories, whose number is checked all the same.
+    Sizes follow the order of first appearance. They are one array repeated on every row, so the number of categories is checked.
+    Without ``repeat`` the array stands once, on the ``global`` row.
     """
     sizes = docs.groupBy("category").agg(
         F.min("doc_id").alias("first_doc"), F.sum("word_count").alias("volume")
     )
-    sizes = stage(sizes, "category-sizes")  # read twice below, counted once
+    sizes = stage(sizes, "category-sizes")  # read three times below, counted once
     listed = F.transform(
         F.array_sort(F.collect_list(F.struct("first_doc", "volume"))), lambda s: s["volume"]
     )
     checked = F.when(F.count("*") <= max_categories, listed).otherwise(
         F.raise_error(F.lit(f"more than {max_categories} categories"))
     )
-    total = sizes.limit(max_categories + 1).agg(
-        F.lit("global").alias("grp"), F.sum("volume").alias("volume"), checked.alias("cluster_sizes")
-    )
-    none = F.lit(None).cast("array<bigint>").alias("cluster_sizes")
+    everything = sizes.limit(max_categories + 1).agg(checked.alias("s")).scalar()
+    total = sizes.agg(F.lit("global").alias("grp"), F.sum("volume").alias("volume")).withColumn("cluster_sizes", everything)
+    own = everything if repeat else F.lit(None).cast("array<bigint>")
     zero = F.lit(0.0)
-    return total.unionByName(sizes.select(F.col("category").alias("grp"), "volume", none)).select(
+    return total.unionByName(sizes.select(F.col("category").alias("grp"), "volume", own.alias("cluster_sizes"))).select(
         "grp",
         "volume",
         zero.alias("silhouette_score"),

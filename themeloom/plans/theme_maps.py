@@ -242,7 +242,7 @@ def category_theme_map(
     )
     split = themes.category_themes_tfidf(cells, by_category, words, n_themes)
     named = whole.unionByName(split.withColumnRenamed("category", "grp"))
-    return ThemeMap(named, stats.category_volume_records(prepared))
+    return ThemeMap(named, stats.category_volume_records(prepared, repeat=False))
 
 
 def category_prompts(docs: DataFrame, span: int = 64) -> DataFrame:
@@ -258,4 +258,4 @@ def response_theme_map(docs: DataFrame, answers: DataFrame) -> ThemeMap:
     refuse_value(docs, "category", themes.GLOBAL)
     keys = [c for c in ("grp", "perspective", "segment") if c in answers.columns]
     chosen = responses.first_valid_attempt(responses.validate_responses(answers), keys)
-    return ThemeMap(responses.merge_perspectives(chosen), stats.category_volume_records(docs))
+    return ThemeMap(responses.merge_perspectives(chosen), stats.category_volume_records(docs, repeat=False))
