@@ -511,3 +511,32 @@ def test_embeddings_factorise_like_a_dense_solver(spark):
     h = model.components
     np.testing.assert_allclose(w, topics.coordinate_sweeps(x @ h.T, h @ h.T, 20_000), atol=1e-5)
     assert ((x - w @ h) ** 2).sum() < 1e-3 * (x**2).sum()
+
+
+def test_packed_slices_hold_all_cells_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(topics, "NEAR", 3)
+    monkeypatch.setattr(topics, "RUN", 2)
+    rows = [([0, 3], [1.0, 2.0]), ([], []), ([1, 2, 3], [0.5, 0.25, 4.0]), ([3], [1.0]), ([], [])]
+    x = spark.createDataFrame(rows, "indices array<int>, values array<double>").coalesce(1)
+    dense = np.zeros((len(rows), 4))
+    for r, (cols, vals) in enumerate(rows):
+        dense[r, cols] = vals
+    right = np.arange(8.0).reshape(4, 2)
+    for given in (x, topics._packed(x, 3)):
+        wx, ww = topics._sum_over_rows(given, 4, 2, lambda n, r, c, v: topics._project(n, r, c, v, right))
+        assert np.allclose(wx, (dense @ right).T @ dense) and np.allclose(ww, (dense @ right).T @ (dense @ right))
+    assert sum(r.n for r in topics._packed(x, 3).collect()) == len(rows)
+    batch = topics._packed(x, 1).toArrow().combine_chunks().to_batches()[0]
+    n, r, c, v = next(topics._slices(iter([batch])))
+    sums = np.zeros((2, 4))
+    topics._add_cells(sums, dense @ right, r, c, v)
+    assert n == len(rows) and np.allclose(sums, (dense @ right).T @ dense)
+
+
+def test_positive_weights_solve_their_own_equations():
+    rng = np.random.default_rng(0)
+    base = rng.random((5, 9))
+    gram, target, positive = base @ base.T, rng.random((40, 5)), rng.random((40, 5)) < 0.5
+    positive[0] = False
+    for w, t, own in zip(topics._solved(target, gram, positive), target, positive):
+        assert not w[~own].any() and np.allclose(gram[np.ix_(own, own)] @ w[own], t[own])

@@ -20,9 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.operators.features import MAX_VOCABULARY, Vocabulary
 from themeloom.operators.ranking import RANK_DIGITS, by_score, top_n_per_group
+from themeloom.session import drop_staged, released_shuffles, stage
 
 BLOCK = 256  # terms per row of partial sums
 SLICE = 400_000  # non-zero cells handled at once inside a task
+NEAR = 2_000  # cells multiplied at once, so that their products stay in the processor's cache
+RUN = 100_000  # cells added to the sums of terms at once
+PART_BYTES = 64 << 20  # of packed cells that a task of a pass reads
 MAX_TOPICS = 512
 MAX_CELLS = 20_000_000  # the topic-term matrix: on the driver and once in every running task
 TINY = 1e-12
@@ -52,12 +56,30 @@ def _cells(indices: pa.Array, values: pa.Array) -> Iterator[tuple[int, int, np.n
 def _project(n: int, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sparse rows times a ``terms x k`` matrix."""
     out = np.zeros((n, right.shape[1]))
-    if len(rows):
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        out[rows[starts]] = np.add.reduceat(right[cols] * vals[:, None], starts, axis=0)
+    if not len(rows):
+        return out
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    ends = np.r_[starts[1:], len(rows)]
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + NEAR, side="right")))
+        lo, hi = starts[first], ends[last - 1]
+        part = right.take(cols[lo:hi], axis=0)
+        part *= vals[lo:hi, None]
+        out[rows[starts[first:last]]] = np.add.reduceat(part, starts[first:last] - lo, axis=0)
+        first = last
     return out
 
 
+def _add_cells(sums: np.ndarray, w: np.ndarray, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray) -> None:
+    """Adds ``w'`` times sparse rows to the ``k x terms`` matrix ``sums``."""
+    by_topic = np.ascontiguousarray(w.T)
+    for a in range(0, len(cols), RUN):
+        r, c, v = rows[a : a + RUN], cols[a : a + RUN].astype(np.intp), vals[a : a + RUN]
+        for total, weights in zip(sums, by_topic):
+            total += np.bincount(c, weights=weights.take(r) * v, minlength=len(total))
+
+
 def coordinate_sweeps(target: np.ndarray, gram: np.ndarray, sweeps: int, start=None) -> np.ndarray:
     """Rows ``w >= 0`` that lower ``w gram w' - 2 w target'``, one coordinate after the other.
 
@@ -91,6 +113,18 @@ def nonnegative_least_squares(target: np.ndarray, gram: np.ndarray, start=None)
     return np.concatenate(parts) if parts else guess
 
 
+def _solved(target: np.ndarray, gram: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """Rows with the weights of the positive places from their own equations, zero elsewhere; rows with as many places go together."""
+    w = np.zeros(target.shape)
+    sizes = positive.sum(axis=1)
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)[:, None]
+        places = np.nonzero(positive[rows[:, 0]])[1].reshape(-1, size)
+        system = gram[places[:, :, None], places[:, None, :]]
+        w[rows, places] = np.linalg.solve(system, target[rows, places][:, :, None])[:, :, 0]
+    return w
+
+
 def _pivoted(target: np.ndarray, gram: np.ndarray, positive: np.ndarray) -> np.ndarray:
     n, k = target.shape
     out, todo = np.zeros((n, k)), np.arange(n)
@@ -99,11 +133,7 @@ def _pivoted(target: np.ndarray, gram: np.ndarray, positive: np.ndarray) -> np.n
     least, patience = np.full(n, k + 1), np.full(n, 3)
     slack = 1e-12 * np.abs(target).max(axis=1, initial=0.0)[:, None] + TINY**2
     for _ in range(5 * k + 20):
-        side = positive[todo].astype(np.float64)
-        # Weights that are held at zero get an equation of their own.
-        system = gram * (side[:, :, None] * side[:, None, :])
-        system[:, np.arange(k), np.arange(k)] += 1 - side
-        w = np.linalg.solve(system, (target[todo] * side)[:, :, None])[:, :, 0]
+        w = _solved(target[todo], gram, positive[todo])
         slope = w @ gram - target[todo]
         wrong = np.where(positive[todo], w < 0, (slope < -slack[todo]) & allowed)
         count = wrong.sum(axis=1)
@@ -128,55 +158,79 @@ def _pivoted(target: np.ndarray, gram: np.ndarray, positive: np.ndarray) -> np.n
 # --- passes over the distributed vectors ------------------------------------------------------------
 
 
-def _sum_over_rows(x: DataFrame, n_terms: int, k: int, weights: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """``(sum of w'x as k x terms, sum of w'w as k x k)`` for the row weights that ``weights`` computes.
+def _packed(x: DataFrame, parts: int) -> DataFrame:
+    """``<n, lengths, cols, vals>``: slices of rows ``<indices, values>`` as bytes, dealt to ``parts`` partitions.
 
-    A task adds up its own rows and emits one row per touched block of terms; blocks are summed by Spark
-    with map-side combine. The driver receives one row per block: k x terms numbers in all.
+    Arrays pass between Spark and Python number by number, bytes as a whole, and a fit makes some dozen passes.
     """
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wx, ww, touched = np.zeros((n_terms, k)), np.zeros((k, k)), False
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, n, rows, cols, vals in _cells(batch.column(0), batch.column(1)):
-                w = weights(n, rows, cols, vals)
-                ww += w.T @ w
-                touched = True
-                for t in range(k):
-                    wx[:, t] += np.bincount(cols, weights=w[rows, t] * vals, minlength=n_terms)
+                own = (np.bincount(rows, minlength=n).astype("<i4"), cols.astype("<i4"), vals.astype("<f8"))
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32())] + [pa.array([v.tobytes()]) for v in own], ["n", "lengths", "cols", "vals"])
+
+    slices = x.select("indices", "values").mapInArrow(pack, "n int, lengths binary, cols binary, vals binary")
+    return slices.repartition(parts)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(n rows, row of cell, column of cell, value)`` of packed slices."""
+    for batch in batches:
+        for n, *own in zip(*batch.columns):
+            lengths, cols, vals = (np.frombuffer(v.as_buffer(), t) for v, t in zip(own, ("<i4", "<i4", "<f8")))
+            yield n.as_py(), np.repeat(np.arange(n.as_py()), lengths), cols, vals
+
+
+def _sum_over_rows(x: DataFrame, n_terms: int, k: int, weights: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """``(sum of w'x as k x terms, sum of w'w as k x k)`` for the row weights that ``weights`` computes from slices.
+
+    ``x`` is packed (:func:`_packed`) or is packed on the way.
+
+    A task adds up its own rows and emits one row per touched block of terms; the tasks behind one shuffle add up the rows of their
+    blocks as they come. The driver receives one row per block: k x terms numbers in all.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wx, ww, touched = np.zeros((k, n_terms)), np.zeros((k, k)), False
+        for n, rows, cols, vals in _slices(batches):
+            w = weights(n, rows, cols, vals)
+            ww += w.T @ w
+            touched = True
+            _add_cells(wx, w, rows, cols, vals)
         if not touched:
             return
-        blocks, sums = [-1], [np.pad(ww.ravel(), (0, max(0, BLOCK * k - k * k)))]
+        blocks, sums = [-1], [ww.tobytes()]
         for b in range(0, n_terms, BLOCK):
-            part = wx[b : b + BLOCK]
+            part = wx[:, b : b + BLOCK]
             if part.any():
                 blocks.append(b // BLOCK)
-                sums.append(np.pad(part.ravel(), (0, BLOCK * k - part.size)))
-        width = max(len(s) for s in sums)
-        flat = np.concatenate([np.pad(s, (0, width - len(s))) for s in sums])
-        offsets = pa.array(np.arange(len(blocks) + 1) * width, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["block", "sums"]
-        )
+                sums.append(part.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
 
-    found = (
-        x.select("indices", "values")
-        .mapInArrow(partial, "block int, sums array<double>")
-        .groupBy("block")
-        .agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
-        .select("block", vector_to_array("sums").alias("sums"))
-        .toArrow()
-    )
-    wx, ww = np.zeros((n_terms, k)), np.zeros((k, k))
-    lists = found.column("sums").combine_chunks()
-    flat = lists.flatten().to_numpy().reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
-    for block, sums in zip(found.column("block").to_pylist(), flat):
-        if block < 0:
-            ww = sums[: k * k].reshape(k, k).copy()
-        else:
-            part = wx[block * BLOCK : (block + 1) * BLOCK]
-            part[:] = sums[: part.size].reshape(part.shape)
-    return wx.T, ww
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(sums.as_buffer(), np.float64)
+                if block in found:
+                    found[block] += part
+                else:
+                    found[block] = part.copy()
+        if found:
+            sums = pa.array([v.tobytes() for v in found.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), sums], ["block", "sums"])
+
+    if "vals" not in x.columns:
+        x = _packed(x, x.sparkSession.sparkContext.defaultParallelism)
+    shape = "block int, sums binary"
+    with released_shuffles(x.sparkSession):
+        found = x.mapInArrow(partial, shape).repartition("block").mapInArrow(total, shape).toArrow()
+    wx, ww = np.zeros((k, n_terms)), np.zeros((k, k))
+    for block, sums in zip(found.column("block").to_pylist(), found.column("sums").to_pylist()):
+        part = ww if block < 0 else wx[:, block * BLOCK : (block + 1) * BLOCK]
+        part[:] = np.frombuffer(sums, np.float64).reshape(part.shape)
+    return wx, ww
 
 
 def _on_executors(spark: SparkSession, value: np.ndarray):
@@ -227,17 +281,15 @@ def _sign_norms(x: DataFrame, right: np.ndarray) -> np.ndarray:
 
     def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * k)
-        for batch in batches:
-            for _, n, r, c, v in _cells(batch.column(0), batch.column(1)):
-                u = _project(n, r, c, v, shared.value)
-                total += np.concatenate([(np.maximum(u, 0) ** 2).sum(0), (np.minimum(u, 0) ** 2).sum(0)])
+        for n, r, c, v in _slices(batches):
+            u = _project(n, r, c, v, shared.value)
+            total += np.concatenate([(np.maximum(u, 0) ** 2).sum(0), (np.minimum(u, 0) ** 2).sum(0)])
         yield pa.RecordBatch.from_arrays(
             [pa.ListArray.from_arrays(pa.array([0, 2 * k], pa.int32()), pa.array(total))], ["sums"]
         )
 
     row = (
-        x.select("indices", "values")
-        .mapInArrow(squares, "sums array<double>")
+        x.mapInArrow(squares, "sums array<double>")
         .agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
         .first()
     )
@@ -308,7 +360,7 @@ def fit_topics(
 ) -> TopicModel:
     """Factorise the packed rows ``<indices, values>`` as weights times topics under Frobenius loss.
 
-    ``vectors`` is read once per round: pass a staged table (``session.stage``). Stops after ``max_iter``
+    ``vectors`` is read twice: pass a staged table (``session.stage``). What is read once per round is a packed copy of it. Stops after ``max_iter``
     rounds, or earlier when the projected gradient of the topics has fallen to ``tol`` of its first value. A round solves all
     row weights exactly and then improves the topics; the step is carried on beyond its end by a share that grows
     while the loss falls and shrinks when it rises, which takes a third of the rounds of plain steps.
@@ -317,13 +369,15 @@ def fit_topics(
         raise ValueError(f"at most {MAX_TOPICS} topics, {MAX_VOCABULARY} terms and {MAX_CELLS} topic-term weights")
     spark = vectors.sparkSession
     x = vectors.select("indices", "values")
-    total, square, n_rows = x.select(
+    total, square, n_rows, n_cells = x.select(
         F.expr("aggregate(values, 0D, (a, v) -> a + v)").alias("s"),
         F.expr("aggregate(values, 0D, (a, v) -> a + v * v)").alias("q"),
-    ).agg(F.sum("s"), F.sum("q"), F.count("*")).first()
+        F.size("values").cast("bigint").alias("n"),
+    ).agg(F.sum("s"), F.sum("q"), F.count("*"), F.sum("n")).first()
     if not total:
         raise ValueError("no document holds a vocabulary term")
     mean = total / (n_rows * n_terms)
+    packed = x = stage(_packed(x, max(spark.sparkContext.defaultParallelism, 1 + 12 * n_cells // PART_BYTES)), "packed")
     if start == "spectral":
         h = _spectral_start(x, n_terms, n_topics, seed, mean)
     elif start == "random":
@@ -358,6 +412,7 @@ def fit_topics(
             most = min(1.0, 1.01 * most)
             reach = min(most, 1.05 * reach)
         before = solved
+    drop_staged(packed)
     return TopicModel(h, tuple(losses))
 
 
