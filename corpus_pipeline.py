@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from themeloom.llm import bpe, common, decontaminate, pii, quality, simhash
 from themeloom.session import drop_staged, stage
 
+BPE_SLICE, BPE_KEPT = 1 << 20, 60_000
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
@@ -34,7 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``<doc_id, n_tokens, ids_sha256, decoded_sha256>`` of the byte-level BPE of every text."""
-    return bpe.token_digests(docs)
+    # The workers stand beside what the stages before have left in the executor's memory.
+    return bpe.token_digests(docs, BPE_SLICE, BPE_KEPT)
 
 
 STAGES = [

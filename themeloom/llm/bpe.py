@@ -131,8 +131,9 @@ class Tables:
 class Encoder:
     """Texts to ids, and ids to bytes, with DuckDB in this process; bounded memos keep what was seen before."""
 
-    def __init__(self, tables: Tables):
+    def __init__(self, tables: Tables, kept: int = MEMO):
         self.tables = tables
+        self.most = kept
         self.cut = regex.compile(tables.pattern)
         self.memo: dict[bytes, bytes] = {}
         self.after_space: dict[str, bytes] = {}
@@ -204,7 +205,7 @@ class Encoder:
         cuts = {part: [p.encode() for p in self.cut.findall(lead + part)] for part in parts}
         known = self.pieces(set(chain.from_iterable(cuts.values())))
         for part, own in cuts.items():
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= self.most:
                 break
             if lasting(part):
                 for piece in own:
@@ -227,23 +228,26 @@ class Encoder:
         lookup = fresh | {p: kept[p] for p in parts if p in kept}
         runs = [[first[text]] if w else [first[own[0]], *[lookup[p] for p in own[1:]]] for text, own, w in zip(texts, split, whole)]
         again = [p for p in fresh if parts[p] > 1]
-        kept.update({p: fresh[p] for p in again[: max(0, MEMO - len(kept))]})
+        kept.update({p: fresh[p] for p in again[: max(0, self.most - len(kept))]})
         ids = [b"".join(own) for own in runs]
         # What is decoded are these ids, whatever text they came from.
         return ids, self.decoded(ids)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE, kept: int = MEMO
+) -> DataFrame:
     """``<id, ids, decoded>`` of every row: token ids of the whole text, and the bytes these ids decode to.
 
     Null texts count as empty and have no ids. Rows with null or repeated ids stay; an empty table gives an empty result; other columns
-    are ignored. ``ranks_path`` is read on the driver.
+    are ignored. ``ranks_path`` is read on the driver. A task holds the words of ``slice_bytes`` of text at once and the ids of ``kept``
+    words and of as many pieces: smaller numbers take less memory and more time.
     """
     tables = docs.sparkSession.sparkContext.broadcast(vars(Tables(read_ranks(ranks_path), pattern)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Tables.of(tables.value))
-        for batch in slices(batches, "text", SLICE):
+        encoder = Encoder(Tables.of(tables.value), kept)
+        for batch in slices(batches, "text", slice_bytes):
             with no_collection():
                 ids, decoded = encoder.texts(batch.column("text").to_pylist())
             ends = offsets(np.fromiter(map(len, ids), np.int64, len(ids)) // 4).astype(np.int32)
@@ -285,10 +289,10 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "id", ids_col: str
     return narrow.mapInArrow(run, "id bigint, decoded binary")
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
+def token_digests(docs: DataFrame, slice_bytes: int = SLICE, kept: int = MEMO) -> DataFrame:
     """``<doc_id, n_tokens, ids_sha256, decoded_sha256>`` of the public 50k vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode(docs, path, public_tokenizers.PATTERN).select(
+    return encode(docs, path, public_tokenizers.PATTERN, slice_bytes=slice_bytes, kept=kept).select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
