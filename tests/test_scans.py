@@ -162,3 +162,10 @@ def test_sentences_and_chunks_of_lines_equal_those_of_whole_texts(spark, limits)
         for r in lines.chunk_lines(cut, *limits, block_chars=block_chars, run=run).orderBy("source", "first", "end").collect():
             chunks.setdefault(r.source, []).append(r.content)
         assert chunks == {s: c for s, c in want.items() if c != [""]}
+
+
+def test_chunks_of_lines_cut_the_sentences_once(spark):
+    scanned = spark.createDataFrame([("s", i, "One two. Three four! Five") for i in range(1, 9)], "source string, line bigint, text string")
+    found = lines.chunk_lines(lines.line_sentences(scanned), 40, 10, 5)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 1

@@ -186,6 +186,7 @@ def chunk_lines(
     if min_chunk_size < 1:
         raise ValueError("a chunk has a character at least")
     width = max(block_chars, chunk_size, min_chunk_size, overlap) + 1
+    sentences = stage(sentences.select("source", "sentence", "text"), "sentences")  # read twice: cut out of the books once
     bounds = stage(_sentence_totals(sentences, run), "bounds")
     home = F.floor(F.col("total") / width)
     around = F.explode(F.array(home - 1, home, home + 1)).alias("block")
