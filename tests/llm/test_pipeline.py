@@ -70,3 +70,9 @@ def test_run_is_the_registered_query(spark, sf_dir):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     names = [n for n in entry_points.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+def test_tokens_are_the_same_in_smaller_slices(spark):
+    docs = spark.createDataFrame([(i, f"word{i} again  and again\n {i * 7919}") for i in range(40)] + [(None, None)], "doc_id bigint, text string")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(bpe.token_digests(docs, 64, 3)) == key(bpe.token_digests(docs))
