@@ -597,6 +597,58 @@ def test_bpe_needs_all_bytes():
         bpe.Tables({b"a": 0}, "")
 
 
+class Cuts:
+    """A pattern that notes what it is given."""
+
+    def __init__(self, cut):
+        self.cut, self.given = cut, []
+
+    def findall(self, text):
+        self.given.append(text)
+        return self.cut.findall(text)
+
+
+def test_bpe_cuts_distinct_words_and_all_at_once(public_encoding):
+    """The pattern runs over the distinct words in few calls, also in texts with white space beside white space."""
+    encoder = bpe.Encoder(bpe.Tables(bpe.read_ranks(RANKS), public_tokenizers.PATTERN))
+    encoder.cut = Cuts(encoder.cut)
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}w{i}x," for i in range(n, 1000 + n)) + "  end\n end" for n in range(10)]
+    ids, decoded = encoder.texts(texts)
+    assert [np.frombuffer(i, "<i4").tolist() for i in ids] == [public_encoding.encode_ordinary(t) for t in texts]
+    assert [d.decode() for d in decoded] == texts
+    assert len(encoder.cut.given) < 50
+    assert sum(map(len, encoder.cut.given)) < sum(map(len, texts)) / 5
+
+
+@pytest.mark.parametrize("kept", [0, 3, 10_000])
+def test_bpe_of_odd_vocabularies(kept):
+    """Ranks in any order and with gaps; the patterns may leave characters out, and a memo may be full."""
+    for seed in range(6):
+        own = random.Random(seed)
+        tokens = {bytes([b]) for b in range(256)}
+        while len(tokens) < 400:
+            tokens.add(bytes(own.choice(b"abc ") for _ in range(own.randrange(2, 6))))
+        tokens = sorted(tokens)
+        own.shuffle(tokens)
+        ranks = {token: n * (1 + 2 * (seed % 2)) for n, token in enumerate(tokens)}
+        for pattern in (public_tokenizers.PATTERN, r"[a-c]+", r"\p{L}+| ", r" ?[abc]+|\s+"):
+            encoder = bpe.Encoder(bpe.Tables(ranks, pattern), kept)
+            library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            for _ in range(3):
+                texts = ["".join(own.choice("aabbcc  \n") for _ in range(own.randrange(40))) for _ in range(60)]
+                wanted = [library.encode_ordinary(t) for t in texts]
+                ids, decoded = encoder.texts(texts)
+                assert [np.frombuffer(i, "<i4").tolist() for i in ids] == wanted
+                assert decoded == [library.decode_bytes(w) for w in wanted]
+            assert len(encoder.memo) <= kept and len(encoder.after_space) <= kept
+
+
+def test_bpe_refuses_ids_it_cannot_pack():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": bpe.NONE}
+    with pytest.raises(ValueError, match="ids have to be below"):
+        bpe.Tables(ranks, "")
+
+
 # --- urls -------------------------------------------------------------------------------------------
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]

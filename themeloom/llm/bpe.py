@@ -1,9 +1,10 @@
 """Byte-level BPE by recursive queries: every task runs DuckDB over the distinct pieces of its texts.
 
-A text is cut into pieces by the tokenizer's pattern. The bytes of a piece are rows (piece, position, token); a recursive query joins each
-row and its right neighbour to the table of merges, contracts the piece's leftmost pair of the lowest rank and goes on
-until no pair merges. The ids of a piece, and the bytes of a list of ids (:func:`decode`), are aggregates ordered by position. A piece is merged
-once per slice of texts, not once per occurrence. Whole texts are decoded from their ids in numpy, which gathers the tokens' bytes in the
+A text is cut into pieces by the tokenizer's pattern. A piece is a row with the list of its tokens, each beside the rank of its merge with the
+next; a recursive query contracts the piece's leftmost pair of the lowest rank, joins the two new pairs to the table of merges and goes on
+until no pair merges. The bytes of a list of ids (:func:`decode`) are an aggregate ordered by position. A piece is merged
+once per slice of texts, not once per occurrence. Words, pieces and lists of ids are Arrow and numpy arrays, so that
+Python sees distinct words only. Whole texts are decoded from their ids by a gather of the tokens' bytes in the
 same order: as a statement over all ids of all texts that took half as much time again as the encoding.
 """
 
@@ -11,9 +12,9 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect
-from collections import Counter
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import duckdb
 import numpy as np
@@ -27,37 +28,39 @@ from themeloom.llm.common import expanded, no_collection, offsets, slices, table
 
 SLICE = 8 << 20
 PIECES = 20_000
+WORDS = 50_000
 MEMO = 250_000
 LONG = 64
 DUCK_MEMORY = "200MB"
-# Ids that are decoded at once.
-DECODED = 100_000
-
-# Rows (piece w, position i, token t, next token nt, rank k of the merge of both, round n). A round finds each piece's lowest
-# rank and its leftmost place, contracts this pair, moves what stands behind by one and looks up the two new pairs.
-_ENCODE = """
-WITH RECURSIVE step(w, i, t, nt, k, n) AS (
-  SELECT s.w, s.i, s.t, s.nt, m.k, 0
-  FROM (SELECT w, i, t, lead(t) OVER (PARTITION BY w ORDER BY i) AS nt FROM pieces) s
-  LEFT JOIN merges m ON m.pair = (CAST(s.t AS BIGINT) << 20 | s.nt)
+# Ids that are decoded, and lists that are gathered, at once.
+DECODED = 1_000_000
+GATHERED = 200_000
+# Stands for no merge and for no token; ids have to be below it.
+NONE = (1 << 20) - 1
+
+# A row is a piece w and its tokens e, each an entry (rank k of the merge with the next token, token t) in one number, between two ends
+# that merge with nothing. A round contracts the piece's leftmost pair of the lowest rank, whose entry is the least and the first of its
+# value, and looks up the two new pairs.
+_ENCODE = f"""
+WITH RECURSIVE step(w, e, low) AS (
+  SELECT w, e, list_min(e) FROM pieces
   UNION ALL
-  SELECT c.w, c.i, c.t, c.nt, m.k, c.n
+  SELECT w, e, list_min(e)
   FROM (
-    SELECT s.w, s.i - CAST(s.i > b.at AS INTEGER) AS i, s.n + 1 AS n, CASE WHEN s.i = b.at THEN b.k ELSE s.t END AS t,
-      CASE WHEN s.i = b.at THEN b.after WHEN s.i = b.at - 1 THEN b.k ELSE s.nt END AS nt
-    FROM step s JOIN (
-      SELECT best.w, best.at, best.k, x.nt AS after
-      FROM (
-        SELECT w, min(k) AS k, CAST(min(CAST(k AS BIGINT) << 20 | i) & 1048575 AS INTEGER) AS at
-        FROM step WHERE k IS NOT NULL GROUP BY w
-      ) best JOIN step x ON x.w = best.w AND x.i = best.at + 1
-    ) b ON s.w = b.w
-    WHERE s.i <> b.at + 1
-  ) c LEFT JOIN merges m ON m.pair = (CAST(c.t AS BIGINT) << 20 | c.nt)
+    SELECT s.w, list_concat(
+      list_slice(s.e, 1, s.n - 2),
+      [CAST(coalesce(a.k, {NONE}) AS BIGINT) << 20 | s.t, CAST(coalesce(b.k, {NONE}) AS BIGINT) << 20 | s.k],
+      list_slice(s.e, s.n + 2, len(s.e))
+    ) AS e
+    FROM (
+      SELECT w, e, n, low >> 20 AS k, e[n - 1] & {NONE} AS t, e[n + 2] & {NONE} AS u
+      FROM (SELECT w, e, low, list_position(e, low) AS n FROM step WHERE low >> 20 < {NONE})
+    ) s
+    LEFT JOIN merges a ON a.pair = (s.t << 20 | s.k)
+    LEFT JOIN merges b ON b.pair = (s.k << 20 | s.u)
+  )
 )
-SELECT w, list(t ORDER BY i) AS ids
-FROM (SELECT w, n, i, t FROM step WHERE k IS NULL) JOIN (SELECT w, max(n) AS n FROM step WHERE i = 0 GROUP BY w) USING (w, n)
-GROUP BY w
+SELECT w, e AS ids FROM step WHERE low >> 20 = {NONE}
 """
 
 # Long pieces go through the same contraction as one statement a round, so that no earlier round is kept, and with all
@@ -110,6 +113,8 @@ class Tables:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"bytes without a token: {missing[:5]}")
+        if max(ranks.values()) >= NONE:
+            raise ValueError(f"ids have to be below {NONE}")
         merges = [
             (left << 20 | right, rank)
             for token, rank in ranks.items()
@@ -119,7 +124,7 @@ class Tables:
         self.pairs = np.array([p for p, _ in merges], np.int64)
         self.merged = np.array([k for _, k in merges], np.int32)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int32)
 
     @classmethod
     def of(cls, values: dict) -> Tables:
@@ -128,6 +133,44 @@ class Tables:
         return tables
 
 
+class Lists(NamedTuple):
+    """Lists of ids: where each begins in ``flat``, and its length."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list[bytes]) -> Lists:
+        """Lists of little-endian 32-bit ids."""
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        return cls(np.frombuffer(b"".join(lists), "<i4"), offsets(size)[:-1], size)
+
+    @classmethod
+    def joined(cls, parts: list[Lists]) -> Lists:
+        """The lists of all parts, one after the other."""
+        at = offsets(np.array([len(part.flat) for part in parts]))
+        first = np.concatenate([part.first + start for part, start in zip(parts, at)])
+        return cls(np.concatenate([part.flat for part in parts]), first, np.concatenate([part.size for part in parts]))
+
+    def take(self, chosen: np.ndarray) -> Lists:
+        return Lists(self.flat, self.first[chosen], self.size[chosen])
+
+    def of_each(self, chosen: np.ndarray, ends: np.ndarray) -> Lists:
+        """New lists, each of the chosen lists between two ``ends``, in one flat order."""
+        flat = [self.flat[:0]]
+        for start in range(0, len(chosen), GATHERED):
+            part = self.take(chosen[start : start + GATHERED])
+            flat.append(self.flat[expanded(part.first, part.first + part.size)[1]])
+        at = offsets(self.size[chosen])[ends]
+        return Lists(np.concatenate(flat), at[:-1], np.diff(at))
+
+    def slices(self) -> list[bytes]:
+        """Each list as little-endian 32-bit ids."""
+        flat = self.flat.astype("<i4", copy=False).tobytes()
+        return [flat[4 * a : 4 * (a + n)] for a, n in zip(self.first.tolist(), self.size.tolist())]
+
+
 class Encoder:
     """Texts to ids, and ids to bytes, with DuckDB in this process; bounded memos keep what was seen before."""
 
@@ -137,11 +180,12 @@ class Encoder:
         self.cut = regex.compile(tables.pattern)
         self.memo: dict[bytes, bytes] = {}
         self.after_space: dict[str, bytes] = {}
-        tokens = sorted(tables.ranks.items(), key=lambda item: item[1])
-        self.blob = np.frombuffer(b"".join([token for token, _ in tokens]), np.uint8)
-        self.sizes = np.zeros(tokens[-1][1] + 1, np.int64)
-        self.sizes[[rank for _, rank in tokens]] = [len(token) for token, _ in tokens]
-        self.first = offsets(self.sizes)[:-1]
+        self.tokens = pa.array(tables.ranks, pa.binary())
+        self.token_ids = np.fromiter(tables.ranks.values(), np.int32, len(tables.ranks))
+        spelled = [b""] * (int(self.token_ids.max()) + 1)
+        for token, rank in tables.ranks.items():
+            spelled[rank] = token
+        self.spelled = pa.array(spelled, pa.binary())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY})
         merges = pa.table({"pair": tables.pairs, "k": tables.merged})
         vocabulary = pa.table({"t": pa.array(tables.ranks.values(), pa.int32()), "h": [t.hex() for t in tables.ranks]})
@@ -150,89 +194,184 @@ class Encoder:
             self.db.sql(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Little-endian 32-bit ids of each piece."""
-        memo, ranks = self.memo, self.tables.ranks
-        out = {p: memo[p] for p in pieces if p in memo}
+    def pieces(self, pieces: pa.Array, lasting: np.ndarray) -> Lists:
+        """The ids of distinct pieces; those of ``lasting`` pieces that had to be merged are kept for later."""
         # A piece that is a token as a whole is that token.
-        out |= {p: ranks[p].to_bytes(4, "little") for p in pieces if p in ranks}
-        rest = sorted((p for p in pieces if p not in out), key=len)
-        split = bisect(rest, LONG, key=len)
-        for part, contract in ((rest[:split], self._recursive), (rest[split:], self._in_rounds)):
+        found = pc.index_in(pieces, value_set=self.tokens)
+        rest = np.flatnonzero(np.asarray(found.is_null()))
+        whole = self.token_ids[np.asarray(found.fill_null(0))]
+        names = pieces.take(pa.array(rest)).to_pylist()
+        known = [self.memo.get(name) for name in names]
+        fresh = sorted((n for n, ids in enumerate(known) if ids is None), key=lambda n: len(names[n]))
+        parts = [Lists.of([ids for ids in known if ids is not None])]
+        places = [rest[[n for n, ids in enumerate(known) if ids is not None]]]
+        split = bisect(fresh, LONG, key=lambda n: len(names[n]))
+        for part, contract in ((fresh[:split], self._recursive), (fresh[split:], self._in_rounds)):
             for at in range(0, len(part), PIECES):
-                self._merge(part[at : at + PIECES], contract, out)
-        return out
-
-    def _recursive(self) -> pa.Table:
-        return self.db.sql(_ENCODE).to_arrow_table()
-
-    def _in_rounds(self) -> pa.Table:
-        self.db.sql("CREATE OR REPLACE TABLE step AS SELECT w, i, t, true AS live FROM pieces")
-        self.db.sql("CREATE OR REPLACE TABLE finished AS SELECT w, i, t FROM step WHERE false")
-        while self.db.sql("SELECT count(*) FROM step").fetchall()[0][0]:
-            self.db.sql(f"CREATE OR REPLACE TABLE contracted AS {_LONG_ROUND}")
-            self.db.sql("INSERT INTO finished SELECT w, i, t FROM contracted WHERE NOT live")
-            self.db.sql("CREATE OR REPLACE TABLE step AS SELECT * FROM contracted WHERE live")
-        return self.db.sql(_FINISHED).to_arrow_table()
-
-    def _merge(self, pieces: list[bytes], contract: Callable[[], pa.Table], out: dict[bytes, bytes]) -> None:
+                own = part[at : at + PIECES]
+                order, lists = contract([names[n] for n in own])
+                chosen = np.array(own)[order]
+                parts.append(lists)
+                places.append(rest[chosen])
+                for n, ids in zip(chosen.tolist(), lists.slices()):
+                    if len(self.memo) >= self.most:
+                        break
+                    if lasting[rest[n]]:
+                        self.memo[names[n]] = ids
+        merged = Lists.joined(parts)
+        # Each piece is its token or a list of those merged.
+        first = np.arange(len(pieces))
+        size = np.ones(len(pieces), np.int64)
+        where = np.concatenate(places)
+        first[where] = len(pieces) + merged.first
+        size[where] = merged.size
+        return Lists(np.concatenate([whole, merged.flat]), first, size)
+
+    def _recursive(self, pieces: list[bytes]) -> tuple[np.ndarray, Lists]:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        rank = np.full(len(raw), NONE, np.int64)
+        rank[:-1] = self.tables.byte_pairs[raw[:-1], raw[1:]]
+        rank[np.cumsum(sizes) - 1] = NONE
+        ends = offsets(sizes + 2)
+        e = np.full(ends[-1], NONE << 20 | NONE)
+        e[np.arange(len(raw)) + np.repeat(2 * np.arange(len(pieces)) + 1, sizes)] = rank << 20 | self.tables.bytes[raw]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(e))
+        w, found = self._contracted(pa.table({"w": np.arange(len(pieces), dtype=np.int32), "e": lists}), lambda: self.db.sql(_ENCODE))
+        return w, Lists((found.flat & NONE).astype(np.int32), found.first + 1, found.size - 2)
+
+    def _in_rounds(self, pieces: list[bytes]) -> tuple[np.ndarray, Lists]:
+        def run() -> duckdb.DuckDBPyRelation:
+            self.db.sql("CREATE OR REPLACE TABLE step AS SELECT w, i, t, true AS live FROM pieces")
+            self.db.sql("CREATE OR REPLACE TABLE finished AS SELECT w, i, t FROM step WHERE false")
+            while self.db.sql("SELECT count(*) FROM step").fetchall()[0][0]:
+                self.db.sql(f"CREATE OR REPLACE TABLE contracted AS {_LONG_ROUND}")
+                self.db.sql("INSERT INTO finished SELECT w, i, t FROM contracted WHERE NOT live")
+                self.db.sql("CREATE OR REPLACE TABLE step AS SELECT * FROM contracted WHERE live")
+            return self.db.sql(_FINISHED)
+
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         i = (np.arange(len(w)) - np.repeat(offsets(sizes)[:-1], sizes)).astype(np.int32)
         t = self.tables.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
-        self.db.register("pieces", pa.table({"w": w, "i": i, "t": t}))
-        found = contract()
+        return self._contracted(pa.table({"w": w, "i": i, "t": t}), run)
+
+    def _contracted(self, pieces: pa.Table, run: Callable[[], duckdb.DuckDBPyRelation]) -> tuple[np.ndarray, Lists]:
+        """The piece numbers and lists of a statement over ``pieces``."""
+        self.db.register("pieces", pieces)
+        found = run().to_arrow_table()
         self.db.unregister("pieces")
-        ids = found.column("ids").combine_chunks()
-        ends = (np.asarray(ids.value_lengths()).cumsum() * 4).tolist()
-        flat = np.asarray(ids.flatten()).astype("<i4").tobytes()
-        for n, a, b in zip(found.column("w").to_pylist(), chain([0], ends), ends):
-            out[pieces[n]] = flat[a:b]
+        lists = found.column("ids").combine_chunks()
+        size = np.asarray(lists.value_lengths()).astype(np.int64)
+        return found.column("w").to_numpy(), Lists(np.asarray(lists.flatten()), offsets(size)[:-1], size)
 
-    def decoded(self, texts: list[bytes]) -> list[bytes]:
-        """The bytes of lists of little-endian ids: the tokens' bytes in the order of their places, gathered a bounded number at a time."""
-        ids = np.frombuffer(b"".join(texts), "<i4")
-        parts = []
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The tokens' bytes in the order of their places, gathered a bounded number at a time, and where each token's begin and the last's end."""
+        parts, sizes = [], []
         for at in range(0, len(ids), DECODED):
-            part = ids[at : at + DECODED]
-            parts.append(self.blob[expanded(self.first[part], self.first[part] + self.sizes[part])[1]].tobytes())
-        whole = b"".join(parts)
-        ends = offsets(self.sizes[ids])[offsets(np.fromiter(map(len, texts), np.int64, len(texts)) // 4)].tolist()
-        return [whole[a:b] for a, b in zip(ends, ends[1:])]
+            part = self.spelled.take(pa.array(ids[at : at + DECODED]))
+            sizes.append(np.asarray(pc.binary_length(part)))
+            parts.append(memoryview(part.buffers()[2] or b"")[: sizes[-1].sum()])
+        return b"".join(parts), offsets(np.concatenate([[], *sizes]).astype(np.int64))
 
-    def chunks(self, parts: Collection[str], lead: str = "", lasting: Callable[[str], bool] = lambda part: False) -> dict[str, bytes]:
-        """Ids of runs of text, each ``lead`` and a part; the pieces of ``lasting`` parts are kept for later."""
-        cuts = {part: [p.encode() for p in self.cut.findall(lead + part)] for part in parts}
-        known = self.pieces(set(chain.from_iterable(cuts.values())))
-        for part, own in cuts.items():
-            if len(self.memo) >= self.most:
-                break
-            if lasting(part):
-                for piece in own:
-                    self.memo[piece] = known[piece]
-        return {part: known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for part, own in cuts.items()}
+    def decoded(self, texts: list[bytes]) -> list[bytes]:
+        """The bytes of lists of little-endian 32-bit ids."""
+        whole, at = self.bytes_of(np.frombuffer(b"".join(texts), "<i4"))
+        ends = at[offsets(np.fromiter(map(len, texts), np.int64, len(texts)) // 4)].tolist()
+        return [whole[a:b] for a, b in zip(ends, ends[1:])]
 
-    def texts(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids and decoded bytes of whole texts.
+    def _cut(self, words: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of each word after a space, one after the other, and how many each has.
 
-        A space between two other characters always begins a piece, so texts are cut before it, and what follows is looked up.
-        Texts with other white space at a cut stay whole.
+        The words neither begin nor end with white space and hold no space, so a piece that begins with a space begins a word.
         """
-        split = [text.split(" ") for text in texts]
-        parts = Counter(chain.from_iterable(split))
-        odd = {p for p in parts if not p or p[0].isspace() or p[-1].isspace()}
-        whole = [bool(odd) and not odd.isdisjoint(own) for own in split]
-        first = self.chunks({text if w else own[0] for text, own, w in zip(texts, split, whole)})
+        joined = "".join([" " + word for word in words])
+        pieces = pa.array(self.cut.findall(joined), pa.string())
+        starts = np.flatnonzero(np.asarray(pc.starts_with(pieces, " ")))
+        if len(starts) == len(words) and pc.sum(pc.utf8_length(pieces)).as_py() == len(joined):
+            return pieces, np.diff(np.append(starts, len(pieces)))
+        return self._cut_each([" " + word for word in words])
+
+    def _cut_each(self, runs: list[str]) -> tuple[pa.Array, np.ndarray]:
+        own = [self.cut.findall(run) for run in runs]
+        return pa.array(chain.from_iterable(own), pa.string()), np.fromiter(map(len, own), np.int64, len(own))
+
+    def _distinct(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The pieces of words after a space and of other runs, as numbers of distinct pieces, and how many each run has."""
+        cuts = [self._cut(words[at : at + WORDS]) for at in range(0, len(words), WORDS)] + [self._cut_each(others)]
+        pieces = pa.chunked_array([piece for piece, _ in cuts], pa.string()).combine_chunks().dictionary_encode()
+        return np.asarray(pieces.indices), np.concatenate([size for _, size in cuts]), pieces.dictionary.cast(pa.binary())
+
+    def runs(self, words: list[str], others: list[str], times: np.ndarray) -> Lists:
+        """Ids of runs of text: of words after a space, then of any others; ``times`` is how often each of them occurs."""
         kept = self.after_space
-        fresh = self.chunks([p for p in parts if p not in kept and p not in odd], " ", lambda part: parts[part] > 1)
-        lookup = fresh | {p: kept[p] for p in parts if p in kept}
-        runs = [[first[text]] if w else [first[own[0]], *[lookup[p] for p in own[1:]]] for text, own, w in zip(texts, split, whole)]
-        again = [p for p in fresh if parts[p] > 1]
-        kept.update({p: fresh[p] for p in again[: max(0, self.most - len(kept))]})
-        ids = [b"".join(own) for own in runs]
-        # What is decoded are these ids, whatever text they came from.
+        known = [kept.get(word) for word in words]
+        old = np.array([n for n, ids in enumerate(known) if ids is not None], np.int64)
+        seen = Lists.of([ids for ids in known if ids is not None])
+        new = [word for word, ids in zip(words, known) if ids is None]
+        fresh = np.delete(np.arange(len(words) + len(others)), old)
+        codes, sizes, pieces = self._distinct(new, others)
+        often = np.bincount(codes, np.repeat(times[fresh], sizes), len(pieces)) > 1
+        found = self.pieces(pieces, often).of_each(codes, offsets(sizes))
+        again = np.flatnonzero(times[fresh[: len(new)]] > 1)[: max(0, self.most - len(kept))]
+        kept.update(zip([new[n] for n in again.tolist()], found.take(again).slices()))
+        return Lists.joined([found, seen]).take(np.argsort(np.concatenate([fresh, old])))
+
+    def _numbered(self, texts: pa.Array) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """Distinct words after a space, other distinct runs, the numbers of all runs among both, and where each text's begin and the last's end."""
+        split = pc.split_pattern(texts, " ")
+        ends = offsets(np.asarray(split.value_lengths()))
+        parts = split.flatten().dictionary_encode()
+        codes, words = np.asarray(parts.indices), parts.dictionary.to_pylist()
+        opens = np.array([bool(word[:1].strip()) for word in words], bool)
+        closes = np.array([bool(word[-1:].strip()) for word in words], bool)
+        leads = np.zeros(len(codes), bool)
+        leads[ends[:-1]] = True
+        begins = leads.copy()
+        begins[1:] |= closes[codes[:-1]] & opens[codes[1:]]
+        first = np.flatnonzero(begins).astype(np.int32)
+        last = np.append(first[1:], np.int32(len(codes)))
+        leads = leads[first]
+        # A run of one word after a space is looked up by its word, any other run is made here.
+        plain = (last == first + 1) & ~leads & closes[codes[first]]
+        looked_up = codes[first[plain]]
+        used = np.flatnonzero(np.bincount(looked_up, minlength=len(words)))
+        place = np.zeros(len(words), np.int32)
+        place[used] = np.arange(len(used))
+        numbers: dict[str, int] = {}
+        other = [
+            numbers.setdefault(("" if lead else " ") + " ".join([words[n] for n in codes[a:b].tolist()]), len(numbers))
+            for a, b, lead in zip(first[~plain].tolist(), last[~plain].tolist(), leads[~plain].tolist())
+        ]
+        run = np.empty(len(first), np.int32)
+        run[plain] = place[looked_up]
+        run[~plain] = np.array(other, np.int32) + len(used)
+        return [words[n] for n in used.tolist()], list(numbers), run, np.searchsorted(first, ends)
+
+    def ids(self, texts: pa.Array) -> Lists:
+        """Ids of whole texts.
+
+        A space between two other characters always begins a piece, so texts are cut before it, and the words after it are looked up.
+        Where other white space stands at a space, the words on both sides stay in one run.
+        """
+        words, others, run, ends = self._numbered(texts)
+        return self.runs(words, others, np.bincount(run, minlength=len(words) + len(others))).of_each(run, ends)
+
+    def texts(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded bytes of whole texts."""
+        ids = self.ids(pa.array(texts, pa.string())).slices()
         return ids, self.decoded(ids)
 
+    def columns(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded bytes of whole texts as Arrow arrays."""
+        ids = self.ids(texts)
+        # What is decoded are these ids, whatever text they came from.
+        decoded, at = self.bytes_of(ids.flat)
+        ends = np.append(ids.first, len(ids.flat))
+        buffers = [None, pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(decoded)]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.flat))
+        return lists, pa.Array.from_buffers(pa.binary(), len(texts), buffers)
+
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE, kept: int = MEMO
@@ -249,11 +388,10 @@ def encode(
         encoder = Encoder(Tables.of(tables.value), kept)
         for batch in slices(batches, "text", slice_bytes):
             with no_collection():
-                ids, decoded = encoder.texts(batch.column("text").to_pylist())
-            ends = offsets(np.fromiter(map(len, ids), np.int64, len(ids)) // 4).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
+                made = pa.RecordBatch.from_arrays([batch.column("id"), *encoder.columns(batch.column("text"))], ["id", "ids", "decoded"])
+            yield made
+            del made
+            pa.default_memory_pool().release_unused()
         # The worker may stay idle beside other work for a while, so nothing is kept in it.
         encoder.db.close()
         del encoder
